@@ -1,0 +1,23 @@
+"""Joins against dimension tables whose size is checked before they are broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def small_side(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+               max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when `dim` is measured to fit, else leave the join to Catalyst.
+
+    The probe reads at most `max_rows + 1` rows and returns two numbers.  Past
+    the bound the same join runs as a shuffle join with AQE skew handling.
+    """
+    width = F.octet_length(F.to_json(F.struct("*")))
+    rows, size = (
+        dim.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    )
+    return F.broadcast(dim) if rows <= max_rows and size <= max_bytes else dim
