@@ -17,6 +17,7 @@ from clearwright.functions import verdict as V
 from clearwright.functions.text import blank_to_null, statement_id, strip_space
 from clearwright.operators.joins import small_side
 from clearwright.operators.resolve import resolve_purls
+from clearwright.operators.tables import materialize
 
 PATTERNS_PER_PASS = 200
 
@@ -264,7 +265,8 @@ def decide(findings: DataFrame, cat: Catalogue, facts: BinaryFacts) -> DataFrame
     Inventory lists stay in `component_inventories`; here only their counts
     appear, because one artifact may hold any number of binaries.
     """
-    resolved = resolved_findings(findings, cat)
+    # Read three times below: once for the refusals, twice for the open rows.
+    resolved = materialize(resolved_findings(findings, cat))
     refused = resolved.where(F.col("early_reason").isNotNull()).select(
         *_KEPT, F.lit("D03").alias("rule_id"), F.col("early_reason").alias("reason_code"),
         F.lit(None).cast("bigint").alias("n_component_inventories"),
@@ -318,7 +320,7 @@ def decision_records(decisions: DataFrame, bundle_root: str = "evidence") -> Dat
     path = F.concat_ws("/", F.lit(bundle_root), F.col("artifact_id"), F.lit("statements"), F.col("statement_id"))
     return decisions.select(
         "artifact_id", "cve", "component_purl", "verdict", "rule_id", "reason_code", "justification",
-        "component", "statement_id", F.when("has_slice", path).alias("evidence_bundle"),
+        "component", "statement_id", F.when(F.col("has_slice"), path).alias("evidence_bundle"),
     )
 
 

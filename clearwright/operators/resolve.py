@@ -62,17 +62,17 @@ def with_identity(direct: DataFrame, aliases: DataFrame) -> DataFrame:
         strip_space(F.col("component")).alias("alias_component"),
         F.col("status").alias("alias_status"),
     )
-    asked = needs_alias(F.col("purl"), F.col("direct_quality"))
-    upstream = P.upstream_source(F.col("purl"))
+    asked = F.col("__asked")
     staged = (
-        direct.withColumn("__up", upstream)
+        P.with_upstream(direct, "purl", "__up")
+        .withColumn("__asked", needs_alias(F.col("purl"), F.col("direct_quality")))
         .withColumn("source_name", F.when(asked, F.col("__up.name")))
+        .withColumn("__version", F.coalesce(
+            blank_to_null(strip_space(F.col("__up.version"))),
+            P.upstream_version(F.col("purl.type"), F.col("purl.version"))))
         .join(small_side(known), F.col("source_name") == F.col("alias_source"), "left")
     )
-    version = F.coalesce(
-        blank_to_null(strip_space(F.col("__up.version"))),
-        P.upstream_version(F.col("purl.type"), F.col("purl.version")),
-    )
+    version = F.col("__version")
     target = F.when(
         F.col("alias_component").contains("@"), F.col("alias_component")
     ).otherwise(F.concat(F.col("alias_component"), F.lit("@"), version))
@@ -136,7 +136,7 @@ def identity_of_purls(purls: DataFrame, aliases: DataFrame) -> DataFrame:
     known = aliases.select(
         F.col("source_name").alias("alias_source"), F.col("component").alias("alias_component"), "status"
     )
-    staged = parsed.withColumn("upstream_name", P.upstream_source(F.col("purl"))["name"])
+    staged = P.with_upstream(parsed).withColumn("upstream_name", F.col("upstream.name"))
     joined = staged.join(small_side(known), F.col("upstream_name") == F.col("alias_source"), "left")
     distro, valid = P.is_distro(F.col("purl")), F.col("purl").isNotNull()
     return joined.select(

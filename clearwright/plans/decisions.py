@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from clearwright.functions import purl as P
 from clearwright.functions import symbols as S
 from clearwright.operators import decide as D
+from clearwright.operators import metrics as M
 from clearwright.operators import resolve as R
+from clearwright.operators.tables import once
 from clearwright.plans import sqltext as Q
 from clearwright.plans import views as W
 from clearwright.plans.registry import query
@@ -30,7 +32,15 @@ def binary_facts(spark: SparkSession, sf: str) -> D.BinaryFacts:
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
-    return D.decide(W.findings(spark, sf), catalogue(spark, sf), binary_facts(spark, sf))
+    """The decision table, written once per application and read by every report."""
+    return once(spark, f"decisions:{sf}", lambda: D.decide(
+        W.findings(spark, sf), catalogue(spark, sf), binary_facts(spark, sf)))
+
+
+def staged(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions with stage and artifact class; unlisted artifacts are `unknown`."""
+    classes = W.artifacts(spark, sf).select("artifact_id", "class")
+    return M.with_class(D.stages(decisions(spark, sf)), classes)
 
 
 @query("p01_normalized_findings", Q.select([W.FINDINGS], "SELECT * FROM findings"))
