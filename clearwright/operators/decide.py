@@ -1,7 +1,7 @@
 """Decide findings: refused, affected or not affected, with the rule and reason.
 
-Refusals that need no binary facts are settled first; only the remaining rows
-meet the symbol side, whose facts are computed once per artifact.
+Findings without a reviewed entry are refused first, on resolution alone; only the
+rest meets the symbol side, whose facts are computed once per artifact.
 """
 
 from __future__ import annotations
@@ -240,7 +240,8 @@ def verdict_columns() -> dict[str, Column]:
     usable = F.coalesce(F.col("any_usable"), F.lit(False))
     seen = F.coalesce(F.size("symbols_observed"), F.lit(0)) > 0
     refusal = (
-        F.when(~usable, "symbol_table_unusable")
+        F.when(F.col("early_reason").isNotNull(), F.col("early_reason"))
+        .when(~usable, "symbol_table_unusable")
         .when(~F.col("verified"), "provenance_unverified")
         .when(F.col("blocked_reason").isNotNull(), F.col("blocked_reason"))
         .when(~identified & (q == P.NAME_VERSION_ONLY), "identity_unverified")
@@ -265,15 +266,16 @@ def decide(findings: DataFrame, cat: Catalogue, facts: BinaryFacts) -> DataFrame
     Inventory lists stay in `component_inventories`; here only their counts
     appear, because one artifact may hold any number of binaries.
     """
-    # Read three times below: once for the refusals, twice for the open rows.
+    # Read three times below: once for rows without an entry, twice for the rest.
     resolved = materialize(resolved_findings(findings, cat))
-    refused = resolved.where(F.col("early_reason").isNotNull()).select(
+    refused = resolved.where(F.col("has_entry").isNull()).select(
         *_KEPT, F.lit("D03").alias("rule_id"), F.col("early_reason").alias("reason_code"),
         F.lit(None).cast("bigint").alias("n_component_inventories"),
         F.lit(None).cast("array<string>").alias("symbols_observed"),
         F.lit(None).cast("array<string>").alias("symbols_absent"),
     )
-    open_rows = resolved.where(F.col("early_reason").isNull())
+    # Rows with an entry carry evidence whatever the verdict, so all of them meet the symbols.
+    open_rows = resolved.where(F.col("has_entry").isNotNull())
     wanted = open_rows.select("artifact_id", "component", "cve").distinct()
     verified = cat.components.select(
         "component", (F.coalesce("provenance_status", F.lit("unverified")) == "verified").alias("verified")

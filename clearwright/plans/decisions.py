@@ -108,7 +108,7 @@ def _(spark, sf):
                 "array_to_string(symbols_absent, ',') AS symbols_absent FROM observed"))
 def _(spark, sf):
     wanted = D.resolved_findings(W.findings(spark, sf), catalogue(spark, sf)).where(
-        F.col("early_reason").isNull()).select("artifact_id", "component", "cve").distinct()
+        F.col("has_entry").isNotNull()).select("artifact_id", "component", "cve").distinct()
     return D.observed_per_entry(wanted, W.symbols(spark, sf), W.entry_symbols(spark, sf)).select(
         "artifact_id", "component", "cve", F.array_join("symbols_observed", ",").alias("symbols_observed"),
         F.array_join("symbols_absent", ",").alias("symbols_absent"))

@@ -186,7 +186,7 @@ observed AS (
   SELECT w.artifact_id, w.component, w.cve,
     list_sort(coalesce(list(DISTINCT s.symbol) FILTER (WHERE o.symbol IS NOT NULL), [])) AS symbols_observed,
     list_sort(coalesce(list(DISTINCT s.symbol) FILTER (WHERE o.symbol IS NULL), [])) AS symbols_absent
-  FROM (SELECT DISTINCT artifact_id, component, cve FROM resolved_findings WHERE early_reason IS NULL) w
+  FROM (SELECT DISTINCT artifact_id, component, cve FROM resolved_findings WHERE has_slice) w
   JOIN entry_symbols s ON w.component = s.component AND w.cve = s.cve AND s.confidence = 'definitive'
   LEFT JOIN observed_symbols o ON o.artifact_id = w.artifact_id AND o.symbol = s.symbol
   GROUP BY w.artifact_id, w.component, w.cve)"""
