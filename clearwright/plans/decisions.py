@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearwright.functions import purl as P
-from clearwright.functions import symbols as S
 from clearwright.operators import decide as D
 from clearwright.operators import metrics as M
 from clearwright.operators import resolve as R
@@ -121,3 +119,50 @@ def _(spark, sf):
     return decisions(spark, sf).select(
         "artifact_id", "cve", "component_purl", "verdict", "justification", "rule_id", "reason_code", "component",
         "statement_id", "purl_match_quality")
+
+
+def _outcome(name: str, condition: str) -> None:
+    """Findings that end at one rule or refusal."""
+    @query(name, Q.select(Q.DECISIONS, f"SELECT artifact_id, cve, component_purl, component FROM decisions WHERE {condition}"))
+    def _(spark, sf):
+        return decisions(spark, sf).where(condition).select("artifact_id", "cve", "component_purl", "component")
+
+
+for _name, _code in (
+    ("d03a", "no_identity_mapping"), ("d03b", "mapping_probable_only"), ("d03c", "version_underivable"),
+    ("d03d", "purl_match_insufficient"), ("d03e", "manifest_no_entry"), ("d03f", "manifest_probable_only"),
+    ("d03g", "symbol_table_unusable"), ("d03h", "provenance_unverified"), ("d03i", "stripped_static_binary"),
+    ("d03j", "stripped_insufficient_dynsym"), ("d03k", "identity_unverified"), ("d03l", "symbol_not_observable"),
+    ("d03m", "default_insufficient"),
+):
+    _outcome(f"{_name}_{_code}", f"reason_code = '{_code}'")
+_outcome("d04_affected", "rule_id = 'D04'")
+_outcome("d02_code_absent", "rule_id = 'D02'")
+_outcome("d01_component_absent", "rule_id = 'D01'")
+
+
+@query("dx1_inputs_used", Q.select(Q.DECISIONS, """
+SELECT artifact_id, cve, component_purl, purl_match_quality, component, CASE WHEN has_slice THEN n_members END AS n_component_inventories,
+  array_to_string(symbols_observed, ',') AS symbols_observed, array_to_string(symbols_absent, ',') AS symbols_absent FROM decisions"""))
+def _(spark, sf):
+    return decisions(spark, sf).select(
+        "artifact_id", "cve", "component_purl", "purl_match_quality", "component", "n_component_inventories",
+        F.array_join("symbols_observed", ",").alias("symbols_observed"), F.array_join("symbols_absent", ",").alias("symbols_absent"))
+
+
+@query("w02_best_match_first_on_ties", Q.select(Q.DIRECT, """
+SELECT direct_component, direct_quality, count(*) AS n FROM direct GROUP BY direct_component, direct_quality"""))
+def _(spark, sf):
+    direct = R.direct_matches(W.findings(spark, sf), W.component_purls(spark, sf))
+    return direct.groupBy("direct_component", "direct_quality").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("o01_sorted_statements", Q.select(Q.DECISIONS, """
+SELECT artifact_id, cve, component_purl, CAST(row_number() OVER (PARTITION BY artifact_id, cve ORDER BY component_purl, statement_id) AS INTEGER) AS position
+FROM decisions WHERE has_slice"""))
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("artifact_id", "cve").orderBy("component_purl", "statement_id")
+    rows = decisions(spark, sf).where("has_slice")
+    return rows.select("artifact_id", "cve", "component_purl", F.row_number().over(order).alias("position"))

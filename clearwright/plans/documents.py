@@ -381,3 +381,13 @@ def _(spark, sf):
     return graded.groupBy("statement_id").agg(first.alias("m")).select(
         "statement_id", (-F.col("m.negated")).alias("quality"),
         F.replace("m.component", F.lit("@acme"), F.lit("%40acme")).alias("purl_text"))
+
+
+@query("w03_first_registration_wins", f"""
+SELECT CAST(p_partkey AS VARCHAR) AS doc_id, {_PURL_SQL} AS purl_text, CASE WHEN p_partkey % 2 = 0 THEN 'os' END AS platform FROM part""")
+def _(spark, sf):
+    rows = W.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.expr(_PART_PURL).alias("own"), "p_partkey")
+    regs = rows.select("doc_id", F.inline(F.array(
+        F.struct(F.lit("id").alias("product_id"), F.col("own").alias("purl_text"), F.lit(None).cast("string").alias("platform"), F.array(F.lit(0)).alias("place"), F.lit(False).alias("indirect")),
+        F.struct(F.lit("id").alias("product_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("own")).otherwise("pkg:other/x").alias("purl_text"), F.lit("os").alias("platform"), F.array(F.lit(1)).alias("place"), F.lit(True).alias("indirect")))))
+    return SV.first_registrations(regs).select("doc_id", "purl_text", "platform")

@@ -1,7 +1,7 @@
 """The domain relations as views over the driver tables.
 
 Each relation is given twice: as a DataFrame for Spark and as a SQL common table
-expression for the check engine.  `docs/VIEWS.md` lists what stands in for what.
+expression for the check engine.  `FIXTURES.md` lists what stands in for what.
 """
 
 from __future__ import annotations
