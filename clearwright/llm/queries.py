@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearwright.llm import bpe, quality, sharding, simhash, token_counts, toxicity
+from clearwright.llm import bpe, decontaminate, embeddings, pii, quality, sharding, simhash, token_counts, toxicity, warc
 from clearwright.llm.common import held_out, labelled_sample, shared_folder, table
 
 QUERIES = {}
@@ -23,6 +23,60 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+OP1_SQL = r"""
+WITH responses AS (
+  SELECT md5(concat_ws('|', coalesce(CAST(page_id AS VARCHAR), ''), coalesce(url, ''), 'response')) AS h, coalesce(url, '') AS target_uri, coalesce(html, '') AS html
+  FROM pages),
+named AS (
+  SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS refers_to, target_uri, html,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) AS source_headers
+  FROM responses),
+plain AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+      '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '[	
+
+ ]+', ' ', 'g'),
+      '<(br|/p|/li|/h[1-6]|/div|/title|/tr)[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS bare,
+    trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) AS title,
+    regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1, 'i') AS language,
+    regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1, 'i') AS links
+  FROM named),
+blocks AS (
+  SELECT refers_to, target_uri, source_headers, html, 'conversion' AS record_type, 'text/plain; charset=utf-8' AS content_type,
+    regexp_replace(regexp_replace(regexp_replace(RESOLVED(bare), ' +', ' ', 'g'), ' ?
+[
+ ]*', chr(10), 'g'), '^[
+ ]+|[
+ ]+$', '', 'g') AS block
+  FROM plain
+  UNION ALL
+  SELECT refers_to, target_uri, source_headers, html, 'metadata', 'application/warc-fields',
+    'title: ' || trim(RESOLVED(title)) || chr(13) || chr(10) || 'language: ' || language || chr(13) || chr(10)
+      || coalesce(array_to_string([('outlink: ' || RESOLVED(u) || chr(13) || chr(10)) FOR u IN links], ''), '')
+  FROM plain),
+ids AS (SELECT *, md5(refers_to || '|' || record_type) AS h FROM blocks)
+SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS record_id, record_type, refers_to, target_uri,
+  '2024-01-01T00:00:00Z' AS date, content_type, source_headers, 'sha256:' || sha256(html) AS source_digest,
+  'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length, block
+FROM ids
+"""
+
+
+def _resolved_sql(sql: str) -> str:
+    """RESOLVED(x) as nested replacements of character references."""
+    for name in ("bare", "title", "u"):
+        text = name
+        for reference, character in warc.REFERENCES:
+            text = f"replace({text}, '{reference}', " + (f"chr({ord(character)})" if character in "'\"" else f"'{character}'") + ")"
+        sql = sql.replace(f"RESOLVED({name})", text)
+    return sql
+
+
+@query("op1_warc_derivatives", _resolved_sql(OP1_SQL))
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derivatives(warc.responses_of_pages(table(spark, folder, "pages")))
+
+
 @query("op2_simhash_near_duplicates")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
@@ -63,6 +117,25 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(quality.score(docs.select("doc_id", "text"), model), 0.3)
 
 
+@query("op7_benchmark_contamination")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.all_spans(table(spark, folder, "documents"))
+    return found.select("doc_id", *(pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.every_span_text().alias("spans"))
+
+
+@query("op9_embedding_near_duplicates")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query("op10_interleaved_shards")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.interleave(table(spark, folder, "documents"))

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearwright.llm.common import small_batches
+from clearwright.llm.common import small_batches, written
 
 SPACE = "▁"
 MEMO = 600_000
@@ -152,5 +152,6 @@ def count_tokens(docs: DataFrame, cache: str, model_file: str, limit: int = 4096
     """(doc_id, n_bytes, n_tokens, over_limit), a row per row of `docs`; the cache holds all its texts afterwards."""
     update_cache(docs, cache, model_file, text, **options)
     counts = read_cache(docs, cache, version_of(model_file)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = written(counts, "token-counts")  # a stored side lets the join split a hot digest
     keyed = docs.select("doc_id", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), digest(text).alias("of"))
     return keyed.join(counts, keyed.of == counts.digest, "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
