@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from clearwright.functions.text import blank_to_null, strip_space
 
 MIN_STRING_LENGTH = 6
-MAX_BINARY_BYTES = 512 * 1024 * 1024
-MAX_READONLY_STRINGS = 10_000
 
 
 def split_version(raw: Column, hint: Column | None = None) -> Column:
@@ -45,12 +43,6 @@ def magic_format(content: Column) -> Column:
     )
 
 
-def capped_strings(strings: Column, cap: int = MAX_READONLY_STRINGS) -> Column:
-    """First `cap` distinct strings of one binary and whether the cap was reached."""
-    distinct = F.array_distinct(strings)
-    return F.struct(F.slice(distinct, 1, cap).alias("strings"), (F.size(distinct) > cap).alias("capped"))
-
-
 def usable_symbol_table(fmt: Column, stripped: Column, static: Column,
                         has_dynamic: Column, has_table: Column) -> Column:
     known = F.lower(F.coalesce(fmt, F.lit("unknown"))) != "unknown"

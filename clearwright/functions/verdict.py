@@ -124,38 +124,37 @@ def reason_words(reason: Column) -> Column:
     return lookup(reason, REASON_WORDS, F.coalesce(F.nullif(reason, F.lit("")), F.lit("unspecified")))
 
 
+# Own wording, by verdict or by (verdict, justification).
+VERDICT_WORDS = {
+    "AFFECTED": "at risk: a listed symbol is present",
+    "UNDER_INVESTIGATION": "open: the evidence does not decide",
+    "NOT_AFFECTED": "clear",
+    "NOT_AFFECTED/component_not_present": "clear: no binary carries the component",
+    "NOT_AFFECTED/vulnerable_code_not_present": "clear: no binary carries a listed symbol",
+}
+RULE_WORDS = {
+    "D01": "D01 (component absent)",
+    "D02": "D02 (code absent)",
+    "D04": "D04 (code present)",
+}
+CLOSING_WORDS = {
+    "UNDER_INVESTIGATION": "Stays open until more evidence is stored.",
+    "NOT_AFFECTED": "Can be derived again from the stored tables.",
+}
+
+
 def verdict_words(verdict: Column, justification: Column) -> Column:
     v = F.upper(verdict)
-    return (
-        F.when((v == NOT_AFFECTED) & (justification == COMPONENT_ABSENT),
-               "Not affected: component not present in the scanned artifact")
-        .when((v == NOT_AFFECTED) & (justification == CODE_ABSENT),
-              "Not affected: vulnerable code not present in the scanned artifact")
-        .when(v == NOT_AFFECTED, "Not affected")
-        .when(v == AFFECTED, "Affected: vulnerable code observed")
-        .when(v == UNDER_INVESTIGATION, "Refused: insufficient evidence (under investigation)")
-        .otherwise(verdict)
-    )
+    return lookup(F.concat_ws("/", v, justification), VERDICT_WORDS, lookup(v, VERDICT_WORDS, verdict))
 
 
 def rule_words(rule: Column, reason: Column) -> Column:
-    return (
-        F.when(rule == "D01", "D01: component identity not found in scanned binaries")
-        .when(rule == "D02", "D02: listed vulnerable symbols not observed")
-        .when(rule == "D03", F.concat(
-            F.lit("D03: evidence insufficient to claim not affected ("), reason_words(reason), F.lit(")")))
-        .when(rule == "D04", "D04: vulnerable symbol observed in scanned binaries")
-        .otherwise(rule)
-    )
+    refused = F.concat(F.lit("D03 (refused: "), reason_words(reason), F.lit(")"))
+    return lookup(rule, RULE_WORDS, F.when(rule == "D03", refused).otherwise(rule))
 
 
 def closing_words(verdict: Column) -> Column:
-    return (
-        F.when(verdict == UNDER_INVESTIGATION,
-               "Not cleared; no justification that would need proof of a negative is ever given.")
-        .when(verdict == NOT_AFFECTED, "Backed by the evidence tables and re-derivable from them.")
-        .otherwise("Review the evidence and re-run verification before filing.")
-    )
+    return lookup(verdict, CLOSING_WORDS, F.lit("Have a person read the evidence first."))
 
 
 def verdict_kind(verdict: Column) -> Column:

@@ -51,17 +51,15 @@ def audit(statements: DataFrame, components: DataFrame) -> DataFrame:
 
     `statements` has statement_id, sbom_id, status and the array `products`.
     """
-    rows = statements.select("statement_id", "sbom_id", "status", F.explode("products").alias("product_text"))
-    parsed = P.with_purl(rows, "product_text", "product")
-    unversioned = parsed.where(is_suppression(F.col("status"))).groupBy("statement_id").agg(
-        F.bool_or(~P.has_version(F.col("product"))).alias("versionless"))
-    matches = graded_matches(
-        parsed.where(is_suppression(F.col("status")) & F.col("product").isNotNull()), components)
-    strong = F.col("quality") >= P.TYPE_NORMALIZED
-    hits = matches.groupBy("statement_id").agg(
-        F.max("quality").alias("best"), F.count_if(strong & F.col("is_root")).alias("root_hits"),
-        F.count_if(strong & ~F.col("is_root")).alias("sub_hits"))
-    joined = statements.drop("products").join(unversioned, "statement_id", "left").join(hits, "statement_id", "left")
+    rows = statements.where(is_suppression(F.col("status"))).select("statement_id", "sbom_id", F.explode("products").alias("product_text"))
+    own = P.with_parsed_purl(rows, "product_text", "product").withColumn("__name", F.col("product.name"))
+    theirs = components.select("sbom_id", F.col("purl.name").alias("__name"), "purl", "is_root")
+    rank = P.match_quality(F.col("product"), F.col("purl"))
+    strong = F.coalesce(rank >= P.TYPE_NORMALIZED, F.lit(False))
+    hits = own.join(theirs, ["sbom_id", "__name"], "left").groupBy("statement_id").agg(
+        F.bool_or(~P.has_version(F.col("product"))).alias("versionless"), F.max(rank).alias("best"),
+        F.count_if(strong & F.col("is_root")).alias("root_hits"), F.count_if(strong & ~F.col("is_root")).alias("sub_hits"))
+    joined = statements.drop("products").join(hits, "statement_id", "left")
     best, sub, root = (F.coalesce(c, F.lit(0)) for c in ("best", "sub_hits", "root_hits"))
     versionless = F.coalesce("versionless", F.lit(False))
     outcome = (

@@ -15,11 +15,11 @@ from clearwright.functions import purl as P
 from clearwright.functions import symbols as S
 from clearwright.functions import verdict as V
 from clearwright.functions.text import blank_to_null, statement_id, strip_space
-from clearwright.operators.joins import small_side
 from clearwright.operators.resolve import resolve_purls
 from clearwright.operators.tables import materialize
 
-PATTERNS_PER_PASS = 200
+# Lengths of the pieces of a string on which it meets the literal start of an identity regex.
+GRAMS = (8, 4)
 
 
 @dataclass(frozen=True)
@@ -117,11 +117,21 @@ def observable(symbols: DataFrame) -> DataFrame:
     return symbols.select("artifact_id", "inventory_id", F.explode(names).alias("symbol"))
 
 
-def symbol_identity_hits(symbols: DataFrame, identity_symbols: DataFrame) -> DataFrame:
+def _asked(rows: DataFrame, wanted: DataFrame | None, key: str) -> DataFrame:
+    """Rows whose `key` occurs among the wanted (artifact, component) pairs; all without such a list."""
+    return rows if wanted is None else rows.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def _of_wanted(hits: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    return hits if wanted is None else hits.join(wanted, ["artifact_id", "component"], "left_semi")
+
+
+def symbol_identity_hits(symbols: DataFrame, identity_symbols: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """First listed identity symbol each inventory shows per component."""
-    listed = small_side(identity_symbols.select("component", "symbol", "position"))
+    listed = _asked(identity_symbols.select("component", "symbol", "position"), wanted, "component")
+    found = observable(_asked(symbols, wanted, "artifact_id")).join(listed, "symbol")
     return (
-        observable(symbols).join(listed, "symbol")
+        _of_wanted(found, wanted)
         .groupBy("artifact_id", "inventory_id", "component")
         .agg(F.min(F.struct("position", "symbol")).alias("first"))
         .select("artifact_id", "inventory_id", "component",
@@ -129,61 +139,70 @@ def symbol_identity_hits(symbols: DataFrame, identity_symbols: DataFrame) -> Dat
     )
 
 
-def string_identity_hits(ro_strings: DataFrame, identity_strings: DataFrame) -> DataFrame:
-    """First identity regex of each component that some read-only string matches.
+def literal_start(pattern: Column) -> Column:
+    """Text that every match of a regex begins with; empty where that is not plain from the pattern."""
+    plain = F.regexp_extract(pattern, r"^([A-Za-z0-9 _/:,;<>=@#%&~-]*)", 1)
+    following = F.substring(pattern, F.length(plain) + 1, F.lit(1))
+    optional = following.isin("?", "*", "{")
+    return F.when(pattern.contains("|"), "").when(optional, F.left(plain, F.length(plain) - 1)).otherwise(plain)
+
+
+def string_pattern_hits(ro_strings: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Distinct (artifact, inventory, pattern) with a read-only string that matches.
 
-    Regexes are configuration: they are read to the driver and become literal
-    expressions, a bounded number per pass, so no row pairs are formed.
+    A pattern with a literal start meets only strings that hold its first GRAMS characters: the strings'
+    pieces of that length are equi-joined with them, in one pass over the strings whatever the number
+    of patterns, and the regex runs on these pairs.  Patterns without one become literal expressions
+    behind a common gate, each tested once per string.
     """
-    wanted = [
-        (r["component"], int(r["position"]), r["pattern"])
-        for r in identity_strings.select("component", "position", "pattern").toLocalIterator()
-    ]
-    wanted.sort()
-    passes = [wanted[i:i + PATTERNS_PER_PASS] for i in range(0, len(wanted), PATTERNS_PER_PASS)]
-    hit_type = "array<struct<component:string,position:bigint,pattern:string>>"
-    hits = None
-    for some in passes or [[]]:
-        tested = [
-            F.when(
-                F.col("value").rlike(pattern),
-                F.struct(F.lit(component).alias("component"), F.lit(position).cast("bigint").alias("position"),
-                         F.lit(pattern).alias("pattern")),
-            )
-            for component, position, pattern in some
-        ]
-        distinct = list(dict.fromkeys(pattern for _, _, pattern in some))
-        gate = F.col("value").rlike("|".join(f"(?:{p})" for p in distinct)) if distinct else F.lit(False)
-        found = F.array_compact(F.array(*tested)) if tested else F.array()
-        one = (
-            ro_strings.where(gate)
-            .select("artifact_id", "inventory_id", F.explode(found.cast(hit_type)).alias("h"))
-            .select("artifact_id", "inventory_id", "h.component", "h.position", "h.pattern")
-        )
-        hits = one if hits is None else hits.unionByName(one)
+    each = patterns.select("pattern").distinct().withColumn("start", literal_start(F.col("pattern")))
+    size = F.greatest(*(F.when(F.length("start") >= n, F.lit(n)).otherwise(0) for n in GRAMS))
+    each = each.withColumn("gram", F.when(size > 0, F.left("start", size)))
+    value, at = F.col("value"), F.col("at")
+    pieces = ro_strings.where(F.length("value") >= min(GRAMS)).select(
+        "artifact_id", "inventory_id", "value", F.explode(F.sequence(F.lit(1), F.length("value") - (min(GRAMS) - 1))).alias("at"))
+    grams = F.explode(F.array(*(F.substring(value, at, F.lit(n)) for n in GRAMS)))
+    met = pieces.select("artifact_id", "inventory_id", "value", grams.alias("gram")).join(each.where("gram IS NOT NULL").select("gram", "pattern"), "gram")
+    hits = met.where(F.expr("value RLIKE pattern")).select("artifact_id", "inventory_id", "pattern")
+
+    bare = [r["pattern"] for r in each.where("gram IS NULL").select("pattern").collect()]  # configuration, usually none
+    if bare:
+        gate = value.rlike("|".join(f"(?:{p})" for p in bare))
+        tested = F.array_compact(F.array(*(F.when(value.rlike(p), F.lit(p)) for p in bare)))
+        hits = hits.unionByName(ro_strings.where(gate).select("artifact_id", "inventory_id", F.explode(tested).alias("pattern")))
+    return hits.distinct()
+
+
+def string_identity_hits(ro_strings: DataFrame, identity_strings: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """First identity regex of each component that some read-only string matches."""
+    listed = _asked(identity_strings.select("component", F.col("position").cast("bigint").alias("position"), "pattern"), wanted, "component")
+    found = string_pattern_hits(_asked(ro_strings, wanted, "artifact_id"), listed).join(listed, "pattern")
     return (
-        hits.groupBy("artifact_id", "inventory_id", "component")
+        _of_wanted(found, wanted).groupBy("artifact_id", "inventory_id", "component")
         .agg(F.min(F.struct("position", "pattern")).alias("first"))
         .select("artifact_id", "inventory_id", "component",
                 F.concat(F.lit("string:"), F.col("first.pattern")).alias("reason"))
     )
 
 
-def identity_hits(facts: BinaryFacts, cat: Catalogue) -> DataFrame:
+def identity_hits(facts: BinaryFacts, cat: Catalogue, wanted: DataFrame | None = None) -> DataFrame:
     """Both hit kinds; a regex hit counts only where no symbol hit exists."""
-    by_symbol = symbol_identity_hits(facts.symbols, cat.identity_symbols)
-    by_string = string_identity_hits(facts.ro_strings, cat.identity_strings).join(
-        by_symbol, ["artifact_id", "inventory_id", "component"], "left_anti"
-    )
-    return by_symbol.withColumn("kind", F.lit("symbol")).unionByName(
-        by_string.withColumn("kind", F.lit("string"))
+    by_symbol = symbol_identity_hits(facts.symbols, cat.identity_symbols, wanted).withColumn("kind", F.lit("symbol"))
+    by_string = string_identity_hits(facts.ro_strings, cat.identity_strings, wanted).withColumn("kind", F.lit("string"))
+    first = F.max(F.struct("kind", "reason"))  # "symbol" sorts after "string"
+    return (
+        by_symbol.unionByName(by_string).groupBy("artifact_id", "inventory_id", "component").agg(first.alias("hit"))
+        .select("artifact_id", "inventory_id", "component", "hit.reason", "hit.kind")
     )
 
 
-def component_inventories(facts: BinaryFacts, cat: Catalogue) -> DataFrame:
-    """Inventories that carry a component, with the flags that can block a verdict."""
+def component_inventories(facts: BinaryFacts, cat: Catalogue, wanted: DataFrame | None = None) -> DataFrame:
+    """Inventories that carry a component, with the flags that can block a verdict.
+
+    `wanted` (artifact_id, component) restricts the search to pairs that a finding asks about.
+    """
     inv = facts.inventories.select("artifact_id", "inventory_id", "stripped", "static_linked", "has_dynamic")
-    return identity_hits(facts, cat).join(inv, ["artifact_id", "inventory_id"], "left")
+    return identity_hits(facts, cat, wanted).join(inv, ["artifact_id", "inventory_id"], "left")
 
 
 def identification(members: DataFrame) -> DataFrame:
@@ -212,7 +231,7 @@ def usable_artifacts(inventories: DataFrame) -> DataFrame:
 def observed_definitive(symbols: DataFrame, entry_symbols: DataFrame) -> DataFrame:
     """Distinct (artifact, symbol) for symbols that some entry lists as definitive."""
     listed = entry_symbols.where(F.col("confidence") == "definitive").select("symbol").distinct()
-    return observable(symbols).join(small_side(listed), "symbol", "left_semi").select("artifact_id", "symbol").distinct()
+    return observable(symbols).join(listed, "symbol", "left_semi").select("artifact_id", "symbol").distinct()
 
 
 def observed_per_entry(wanted: DataFrame, symbols: DataFrame, entry_symbols: DataFrame) -> DataFrame:
@@ -223,7 +242,8 @@ def observed_per_entry(wanted: DataFrame, symbols: DataFrame, entry_symbols: Dat
     listed = entry_symbols.where(F.col("confidence") == "definitive").select(
         "component", F.upper(strip_space(F.col("cve"))).alias("cve"), "symbol"
     )
-    seen = observed_definitive(symbols, entry_symbols).withColumn("__seen", F.lit(True))
+    asked = listed.join(wanted.select("component", "cve").distinct(), ["component", "cve"], "left_semi").select("symbol", F.lit("definitive").alias("confidence"))
+    seen = observed_definitive(_asked(symbols, wanted, "artifact_id"), asked).withColumn("__seen", F.lit(True))
     checked = wanted.join(listed, ["component", "cve"]).join(seen, ["artifact_id", "symbol"], "left")
     return checked.groupBy("artifact_id", "component", "cve").agg(
         F.array_sort(F.collect_set(F.when(F.col("__seen"), F.col("symbol")))).alias("symbols_observed"),
@@ -276,7 +296,8 @@ def decide(findings: DataFrame, cat: Catalogue, facts: BinaryFacts) -> DataFrame
     )
     # Rows with an entry carry evidence whatever the verdict, so all of them meet the symbols.
     open_rows = resolved.where(F.col("has_entry").isNotNull())
-    wanted = open_rows.select("artifact_id", "component", "cve").distinct()
+    wanted = materialize(open_rows.select("artifact_id", "component", "cve").distinct())
+    pairs = wanted.select("artifact_id", "component").distinct()
     verified = cat.components.select(
         "component", (F.coalesce("provenance_status", F.lit("unverified")) == "verified").alias("verified")
     )
@@ -284,7 +305,7 @@ def decide(findings: DataFrame, cat: Catalogue, facts: BinaryFacts) -> DataFrame
         open_rows
         .join(usable_artifacts(facts.inventories), "artifact_id", "left")
         .join(verified, "component", "left")
-        .join(identification(component_inventories(facts, cat)), ["artifact_id", "component"], "left")
+        .join(identification(component_inventories(facts, cat, pairs)), ["artifact_id", "component"], "left")
         .join(observed_per_entry(wanted, facts.symbols, cat.entry_symbols), ["artifact_id", "component", "cve"], "left")
         .select(*_KEPT, *[c.alias(k) for k, c in verdict_columns().items()],
                 "n_component_inventories", "symbols_observed", "symbols_absent")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,13 +12,14 @@ from pyspark.sql import functions as F
 from clearwright.functions import stats
 from clearwright.functions import verdict as V
 from clearwright.functions.text import blank_to_null
-from clearwright.operators.joins import small_side
 
 # Strata reported next to the overall histogram.
 STRATA = ("firmware", "substitute-container")
 CONTAINER_CLASSES = ("oci-base", "oci-app", "substitute-container")
 # Percentage points from which two strata count as different.
 MATERIAL_POINTS = 15.0
+# Fixed value: how many points less stripped firmware must be for a static difference to count.
+CLEAR_POINTS = 10.0
 # The evaluability gate: this share or more stopping before the symbol stages.
 UPSTREAM_LIMIT_PCT = 99.0
 
@@ -24,7 +28,7 @@ def with_class(df: DataFrame, classes: DataFrame) -> DataFrame:
     """Left join of the artifact class, `unknown` when the catalogue lacks it."""
     known = classes.select("artifact_id", F.col("class").alias("__class"))
     return (
-        df.join(small_side(known), "artifact_id", "left")
+        df.join(known, "artifact_id", "left")
         .withColumn("class", F.coalesce("__class", F.lit("unknown"))).drop("__class")
     )
 
@@ -183,15 +187,26 @@ def materiality(inventories: DataFrame) -> DataFrame:
         share("static_linked", firmware).alias("ft"), share("static_linked", container).alias("ct"),
     )
     strip, static = F.col("fs") - F.col("cs"), F.col("ft") - F.col("ct")
-    verdict = (
-        F.when(F.col("firmware_binaries") == 0, "no firmware binaries")
-        .when(F.col("container_binaries") == 0, "no container binaries")
-        .when((F.abs(strip) < MATERIAL_POINTS) & (F.abs(static) < MATERIAL_POINTS), "not materially different")
-        .when((strip <= -MATERIAL_POINTS) | ((static >= MATERIAL_POINTS) & (F.col("fs") + 10 < F.col("cs"))),
-              "firmware less stripped or more static")
-        .when(strip >= MATERIAL_POINTS, "firmware at least as stripped")
-        .otherwise("mixed")
+    # Named facts first; the verdict is the first of a list of outcomes whose facts all hold.
+    facts = {
+        "no_firmware": F.col("firmware_binaries") == 0,
+        "no_container": F.col("container_binaries") == 0,
+        "stripped_differs": F.abs(strip) >= MATERIAL_POINTS,
+        "static_differs": F.abs(static) >= MATERIAL_POINTS,
+        "less_stripped": strip < 0,
+        "clearly_less_stripped": strip < -CLEAR_POINTS,
+        "more_static": static > 0,
+    }
+    outcomes = (
+        ("no firmware binaries", ["no_firmware"]),
+        ("no container binaries", ["no_container"]),
+        ("firmware less stripped or more static", ["stripped_differs", "less_stripped"]),
+        ("firmware less stripped or more static", ["static_differs", "more_static", "clearly_less_stripped"]),
+        ("firmware at least as stripped", ["stripped_differs"]),
+        ("mixed", ["static_differs"]),
     )
+    verdict = F.coalesce(
+        *(F.when(reduce(and_, (facts[f] for f in needed)), F.lit(name)) for name, needed in outcomes), F.lit("not materially different"))
     return row.select(
         "firmware_binaries", "container_binaries", F.round(strip, 4).alias("stripped_delta"),
         F.round(static, 4).alias("static_delta"), verdict.alias("verdict"))
@@ -207,23 +222,26 @@ def _scored(labelled: DataFrame) -> DataFrame:
 
 
 def agreement(labelled: DataFrame, complete: int = 100) -> DataFrame:
-    """Soundness against hand labels: false clearances, agreement and whether the set can be scored."""
+    """Soundness against hand labels: false clearances and agreement at any number of labels.
+
+    `full_evaluable` tells whether the set has the `complete` labels a published figure needs.
+    """
     df = _scored(labelled)
     has, cleared = F.col("human") != "", F.col("pipe") == V.NOT_AFFECTED
     counts = df.agg(
         F.count(F.lit(1)).alias("label_count"), count_where(~has, "empty_labels"),
         count_where(cleared, "not_affected_total"), count_where(cleared & has, "not_affected_labeled"),
-        count_where(has & (F.col("pipe") == F.col("human")), "agreed"),
-        count_where(has & cleared & (F.col("human") != V.NOT_AFFECTED), "false_labeled"),
+        count_where(has & (F.col("pipe") == F.col("human")), "agreement_count"),
+        count_where(has & cleared & (F.col("human") != V.NOT_AFFECTED), "false_not_affected"),
     )
     sound = (F.col("not_affected_total") > 0) & (F.col("not_affected_labeled") == F.col("not_affected_total"))
     full = (F.col("empty_labels") == 0) & (F.col("label_count") == complete)
+    labels = F.col("label_count") - F.col("empty_labels")
     return counts.select(
         "label_count", "empty_labels", "not_affected_total", "not_affected_labeled",
         sound.alias("soundness_evaluable"), full.alias("full_evaluable"), (sound | full).alias("evaluable"),
-        F.when(sound | full, F.col("false_labeled")).alias("false_not_affected"),
-        F.when(full, F.col("agreed")).alias("agreement_count"),
-        F.when(full, F.round(stats.percent(F.col("agreed"), F.col("label_count")), 4)).alias("agreement_rate_pct"),
+        "false_not_affected", "agreement_count",
+        F.round(stats.percent(F.col("agreement_count"), labels), 4).alias("agreement_rate_pct"),
     )
 
 

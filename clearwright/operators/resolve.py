@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from clearwright.functions import purl as P
 from clearwright.functions.text import blank_to_null, strip_space
-from clearwright.operators.joins import small_side
 
 
 def parsed_component_purls(component_purls: DataFrame) -> DataFrame:
@@ -70,7 +69,7 @@ def with_identity(direct: DataFrame, aliases: DataFrame) -> DataFrame:
         .withColumn("__version", F.coalesce(
             blank_to_null(strip_space(F.col("__up.version"))),
             P.upstream_version(F.col("purl.type"), F.col("purl.version"))))
-        .join(small_side(known), F.col("source_name") == F.col("alias_source"), "left")
+        .join(known, F.col("source_name") == F.col("alias_source"), "left")
     )
     version = F.col("__version")
     target = F.when(
@@ -89,7 +88,7 @@ def with_identity(direct: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def direct_matches(purls: DataFrame, component_purls: DataFrame) -> DataFrame:
     """Distinct `component_purl` texts, parsed and graded against the catalogue."""
-    catalogue = small_side(parsed_component_purls(component_purls))
+    catalogue = parsed_component_purls(component_purls)
     parsed = P.with_purl(purls.select("component_purl").distinct(), "component_purl")
     return best_component(parsed, "component_purl", "purl", catalogue, "direct_quality", "direct_component")
 
@@ -100,7 +99,7 @@ def resolve_purls(purls: DataFrame, component_purls: DataFrame, aliases: DataFra
     Columns: component_purl, valid, purl_type, direct_quality, source_name,
     alias_status, mapped_text, quality, component, identity_refusal.
     """
-    catalogue = small_side(parsed_component_purls(component_purls))
+    catalogue = parsed_component_purls(component_purls)
     parsed = P.with_purl(purls.select("component_purl").distinct(), "component_purl")
     direct = best_component(parsed, "component_purl", "purl", catalogue, "direct_quality", "direct_component")
     asked = with_identity(direct, aliases)
@@ -137,7 +136,7 @@ def identity_of_purls(purls: DataFrame, aliases: DataFrame) -> DataFrame:
         F.col("source_name").alias("alias_source"), F.col("component").alias("alias_component"), "status"
     )
     staged = P.with_upstream(parsed).withColumn("upstream_name", F.col("upstream.name"))
-    joined = staged.join(small_side(known), F.col("upstream_name") == F.col("alias_source"), "left")
+    joined = staged.join(known, F.col("upstream_name") == F.col("alias_source"), "left")
     distro, valid = P.is_distro(F.col("purl")), F.col("purl").isNotNull()
     return joined.select(
         "component_purl",

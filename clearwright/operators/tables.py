@@ -7,26 +7,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_DONE: dict[tuple[str, str], DataFrame] = {}
+_DONE: dict[tuple, DataFrame] = {}
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` to the session's checkpoint folder and read it from there.
 
-    The folder is the cluster's `spark.checkpoint.dir`; a local run without one
-    gets a temporary folder of its own.
+    The folder is the cluster's `spark.checkpoint.dir`.  A local session without one gets a folder of its
+    own; any other master is an error, as its executors could not read a driver's folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
 def once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A materialised table per application and name, built at first use."""
-    key = (spark.sparkContext.applicationId, name)
+    """A materialised table per application, name and input files, built at first use."""
+    df = build()
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(df.inputFiles())))
     if key not in _DONE:
-        _DONE[key] = materialize(build())
+        _DONE[key] = materialize(df)
     return _DONE[key]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import functions as F
 
 from clearwright.operators import metrics as M
@@ -17,53 +15,43 @@ from clearwright.sources import binaries as B
 from clearwright.sources import corpus as C
 from clearwright.operators.decide import decision_records
 
-NAME_FIELD = 32
-
-
-def elf_template(needed: str = "libc.so.6") -> bytes:
-    """A small 64-bit ELF file with one dynamic symbol, whose name field is all `N`.
-
-    Sections: null, .shstrtab, .dynstr, .dynsym, .dynamic, .rodata.
-    """
-    names = b"\0.shstrtab\0.dynstr\0.dynsym\0.dynamic\0.rodata\0"
-    strings = b"\0" + b"N" * NAME_FIELD + b"\0" + needed.encode() + b"\0"
-    symbols = b"\0" * 24 + struct.pack("<IBBHQQ", 1, 0x12, 0, 1, 0, 0)
-    dynamic = struct.pack("<qQqQ", 1, NAME_FIELD + 2, 0, 0)
-    rodata = b"constant text\0short\0"
-    bodies = [b"", names, strings, symbols, dynamic, rodata]
-    kinds = [0, 3, 3, 11, 6, 1]
-    links = [0, 0, 0, 2, 2, 0]
-    offset, placed, blob = 64, [], b""
-    for b in bodies:
-        placed.append(offset + len(blob))
-        blob += b
-    at = [names.index(n) for n in (b"\0", b".shstrtab", b".dynstr", b".dynsym", b".dynamic", b".rodata")]
-    table = b"".join(struct.pack("<IIQQQQIIQQ", a, k, 0, 0, p, len(b), link, 0, 1, 0)
-                     for a, k, p, b, link in zip(at, kinds, placed, bodies, links))
-    head = b"\x7fELF\x02\x01\x01" + b"\0" * 9 + struct.pack("<HHIQQQIHHHHHH", 3, 62, 1, 0, 0, 64 + len(blob), 0, 64, 56, 0, 64, len(bodies), 1)
-    return head + blob + table
-
-
-def elf_files(spark, sf):
-    """Every part as a small binary that exports its name; each fifth file is cut short."""
-    whole = elf_template()
-    spot = whole.index(b"N" * NAME_FIELD)
-    field = F.unhex(F.rpad(F.hex(F.encode(F.concat(F.lit("_"), F.replace("p_name", F.lit(" "), F.lit("_"))), "UTF-8")), 2 * NAME_FIELD, "0"))
-    content = F.concat(F.lit(whole[:spot]), field, F.lit(whole[spot + NAME_FIELD:]))
-    content = F.when(F.col("p_partkey") % 5 == 0, F.substring(content, 1, 40)).otherwise(content)
-    return W.table(spark, sf, "part").select(F.concat(F.lit("usr/lib/"), F.col("p_partkey").cast("string")).alias("path"), content.alias("content")).withColumn(
-        "length", F.length("content").cast("bigint"))
-
-
-@query("i03_elf_facts", """
-SELECT 'usr/lib/' || CAST(p_partkey AS VARCHAR) AS path, 'amd64' AS arch, p_partkey % 5 <> 0 AS parsed, TRUE AS stripped, p_partkey % 5 = 0 AS static_linked,
-  CASE WHEN p_partkey % 5 <> 0 THEN replace(p_name, ' ', '_') END AS symbol, CASE WHEN p_partkey % 5 <> 0 THEN 'libc.so.6' ELSE '' END AS needed,
-  CASE WHEN p_partkey % 5 <> 0 THEN 'constant text' END AS strings FROM part""")
-def _(spark, sf):
-    return B.elf_inventory(elf_files(spark, sf)).select(
+def part_sections(spark, sf):
+    """Every part as the parsed sections of a binary that exports its name; each fifth could not be parsed."""
+    broken, name = F.col("p_partkey") % 5 == 0, F.replace("p_name", F.lit(" "), F.lit("_"))
+    symbol = F.struct(F.concat(F.lit("_"), name).alias("name"), F.lit(1).alias("bind"), F.lit(2).alias("kind"), F.lit(True).alias("defined"), F.lit(None).cast("string").alias("version"))
+    strings = F.encode(F.concat(F.lit("constant text\0short\0"), F.col("p_type"), F.lit("\0constant text\0")), "UTF-8")
+    columns = [
+        F.concat(F.lit("usr/lib/"), F.col("p_partkey").cast("string")).alias("path"), F.sha2("p_name", 256).alias("sha256"),
+        F.when(~broken, F.when(F.col("p_size") % 2 == 0, 62).otherwise(77)).alias("machine"), (~broken & (F.col("p_size") % 3 == 0)).alias("has_symtab"),
+        (~broken & (F.col("p_size") % 4 == 0)).alias("has_interp"),
+        F.when(~broken & (F.col("p_size") % 7 != 0), F.array(F.lit("libm.so.6"), F.lit("libc.so.6"))).otherwise(F.array().cast("array<string>")).alias("needed"),
+        F.lit(None).cast("binary").alias("note"), F.when(~broken, strings).alias("rodata"),
+        F.when(~broken, F.array(symbol)).otherwise(F.array().cast("array<struct<name:string,bind:int,kind:int,defined:boolean,version:string>>")).alias("dyn_syms"),
+        F.array().cast("array<struct<name:string,bind:int,kind:int,defined:boolean,version:string>>").alias("symtab"),
+        F.when(broken, "elf_parse: short").alias("warning"),
+    ]
+    return W.table(spark, sf, "part").select(*columns)
+
+
+@query("i03_inventory_facts", """
+SELECT 'usr/lib/' || CAST(p_partkey AS VARCHAR) AS path, CASE WHEN ok THEN CASE WHEN p_size % 2 = 0 THEN 'amd64' ELSE '77' END END AS arch, ok AS parsed,
+  CASE WHEN ok THEN p_size % 3 <> 0 END AS stripped, CASE WHEN ok THEN p_size % 4 <> 0 AND p_size % 7 = 0 END AS static_linked,
+  CASE WHEN ok THEN replace(p_name, ' ', '_') END AS symbol, CASE WHEN ok THEN 'GLOBAL' END AS bind, CASE WHEN ok THEN 'FUNC' END AS type,
+  CASE WHEN ok THEN CASE WHEN p_size % 7 <> 0 THEN 'libc.so.6,libm.so.6' ELSE '' END END AS needed
+FROM (SELECT *, p_partkey % 5 <> 0 AS ok FROM part)""")
+def _(spark, sf):
+    first = F.try_element_at("dyn_syms", F.lit(1))
+    return B.inventory_facts(part_sections(spark, sf)).select(
         "path", "arch", F.col("warning").isNull().alias("parsed"), "stripped", "static_linked",
-        F.try_element_at("dyn_syms", F.lit(1))["normalized"].alias("symbol"), F.array_join("needed", ",").alias("needed"),
-        F.array_join("ro_strings", "|").alias("strings"))
+        first["normalized"].alias("symbol"), first["bind"].alias("bind"), first["type"].alias("type"), F.array_join("needed", ",").alias("needed"))
+
+
+@query("o06_string_rows", """
+SELECT 'usr/lib/' || CAST(p_partkey AS VARCHAR) AS path, position, value FROM part,
+  (SELECT 0 AS position UNION ALL SELECT 1), LATERAL (SELECT CASE position WHEN 0 THEN 'constant text' ELSE p_type END AS value)
+WHERE p_partkey % 5 <> 0 AND length(value) >= 6""")
+def _(spark, sf):
+    return B.string_rows(part_sections(spark, sf))
 
 
 def document_files(spark, sf):
@@ -76,7 +64,7 @@ def document_files(spark, sf):
 
 @query("i01_file_inventory", """
 SELECT 'Bin/' || CAST(doc_id AS VARCHAR) AS path, CASE doc_id % 4 WHEN 0 THEN 'ELF' WHEN 1 THEN 'PE' ELSE 'MachO' END AS format,
-  sha256(unhex(CASE doc_id % 4 WHEN 0 THEN '7F454C46' WHEN 1 THEN '4D5A' ELSE 'CFFAEDFE' END) || encode(text)) AS sha256, FALSE AS too_large
+  sha256(unhex(CASE doc_id % 4 WHEN 0 THEN '7F454C46' WHEN 1 THEN '4D5A' ELSE 'CFFAEDFE' END) || encode(text)) AS sha256
 FROM documents WHERE doc_id % 4 <> 3""")
 def _(spark, sf):
     return B.file_inventory(document_files(spark, sf)).drop("length")
@@ -90,10 +78,7 @@ def _(spark, sf):
 @query("o05_inventories_by_path", Q.select([W.INVENTORIES], """
 SELECT artifact_id, path, CAST(row_number() OVER (PARTITION BY artifact_id ORDER BY lower(path)) AS INTEGER) AS position FROM inventories"""))
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("artifact_id").orderBy(F.lower("path"))
-    return W.inventories(spark, sf).select("artifact_id", "path", F.row_number().over(order).alias("position"))
+    return B.positions_by_path(W.inventories(spark, sf))
 
 
 # ----------------------------------------------------------- corpus readers
@@ -154,6 +139,20 @@ def _(spark, sf):
     return C.summary_rows(docs).select("artifact_id", "cves_in", "refused", "coverage_percent")
 
 
+def _broken_query(name, kind, body):
+    """Documents of a kind, each fourth cut short: the reader gets the whole ones, the quarantine the rest."""
+    @query(name, "SELECT CAST(p_partkey AS VARCHAR) AS doc_id, 'not a JSON object of this kind' AS reason FROM part WHERE p_partkey % 4 = 1")
+    def _(spark, sf):
+        content = F.expr(f"CASE WHEN p_partkey % 4 = 1 THEN substr({body}, 1, 12) ELSE {body} END")
+        return C.broken(W.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), content.alias("content")), kind)
+
+
+_broken_query("s15_broken_alias_documents", "aliases", "to_json(named_struct('aliases', array(named_struct('source_name', p_brand, 'component', p_name))))")
+_broken_query("s16_broken_catalogue_documents", "catalogue", "to_json(named_struct('artifacts', array(named_struct('id', p_brand, 'class', p_type))))")
+_broken_query("s18_broken_summary_documents", "summary", "to_json(named_struct('cves_in', p_size, 'success', true))")
+_broken_query("s25_broken_label_documents", "labels", "to_json(named_struct('statements', array(named_struct('id', p_brand, 'human_label', 'AFFECTED'))))")
+
+
 @query("s21_checksum_lines", """
 SELECT CASE WHEN doc_id % 7 <> 3 THEN sha256(text) END AS sha256, CASE WHEN doc_id % 7 <> 3 THEN 'bin/' || CAST(doc_id AS VARCHAR) END AS path, doc_id % 7 = 3 AS malformed
 FROM documents WHERE doc_id % 7 <> 5""")

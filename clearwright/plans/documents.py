@@ -94,16 +94,26 @@ SELECT DISTINCT 'sbom' || CAST(l_orderkey AS VARCHAR) AS artifact_id, vulnerabil
   FALSE AS version_checked
 FROM sbom_parsed p JOIN osv_keys k ON k.key = p.type || '/' || p.name OR k.key = p.type || '/' || p.namespace || '/' || p.name"""))
 def _(spark, sf):
-    comps = P.with_purl(sbom_lines(spark, sf).select(
+    comps = P.with_parsed_purl(sbom_lines(spark, sf).select(
         F.concat(F.lit("sbom"), F.col("l_orderkey").cast("string")).alias("sbom_id"), "purl_text"), "purl_text")
     return SF.osv_findings(comps, SF.osv_keys(osv_lines(spark, sf)))
 
 
+@query("s28_bills_without_osv_key", Q.select([*_SBOM_TEXT, _OSV_KEYS], """
+SELECT 'sbom' || CAST(l_orderkey AS VARCHAR) AS artifact_id, 'no component matches a key of the dump' AS reason FROM sbom_lines
+WHERE l_orderkey NOT IN (SELECT l_orderkey FROM sbom_parsed p JOIN osv_keys k ON k.key = p.type || '/' || p.name OR k.key = p.type || '/' || p.namespace || '/' || p.name)
+GROUP BY l_orderkey"""))
+def _(spark, sf):
+    comps = P.with_parsed_purl(sbom_lines(spark, sf).select(
+        F.concat(F.lit("sbom"), F.col("l_orderkey").cast("string")).alias("sbom_id"), "purl_text"), "purl_text")
+    return SF.without_osv_key(comps, SF.osv_keys(osv_lines(spark, sf)))
+
+
 @query("j09_osv_join_counts", Q.select([*_SBOM_TEXT, _OSV_KEYS], """
 SELECT vulnerability AS cve, count(DISTINCT l_orderkey) AS sboms
 FROM sbom_parsed p JOIN osv_keys k ON k.key = p.type || '/' || p.name OR k.key = p.type || '/' || p.namespace || '/' || p.name GROUP BY vulnerability"""))
 def _(spark, sf):
-    comps = P.with_purl(sbom_lines(spark, sf).select(F.col("l_orderkey").cast("string").alias("sbom_id"), "purl_text"), "purl_text")
+    comps = P.with_parsed_purl(sbom_lines(spark, sf).select(F.col("l_orderkey").cast("string").alias("sbom_id"), "purl_text"), "purl_text")
     return SF.osv_findings(comps, SF.osv_keys(osv_lines(spark, sf))).groupBy("cve").agg(F.countDistinct("artifact_id").alias("sboms"))
 
 
@@ -157,6 +167,12 @@ def _(spark, sf):
     return SB.load_sboms(part_documents(spark, sf, body)).select("sbom_id", "name", "purl_text", "is_root")
 
 
+@query("s08_unrecognized_sboms", "SELECT CAST(p_partkey AS VARCHAR) AS doc_id, 'no known bill of materials' AS reason FROM part WHERE p_partkey % 3 = 2")
+def _(spark, sf):
+    body = f"CASE p_partkey % 3 WHEN 0 THEN {_CDX_DOC} WHEN 1 THEN {_SPDX_DOC} ELSE if(p_size % 2 = 0, '{{}}', '{{broken') END"
+    return SB.unrecognized(part_documents(spark, sf, body))
+
+
 @query("s23_sbom_package_counts", """
 SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'cyclonedx' ELSE 'spdx' END AS format,
   CAST(CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 3 END AS BIGINT) AS total, CAST(CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS with_purl,
@@ -279,6 +295,12 @@ def _(spark, sf):
     return SV.csaf_statements(part_documents(spark, sf, _CSAF_DOC)).groupBy("justification").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s12_unrecognized_vex", "SELECT CAST(p_partkey AS VARCHAR) AS doc_id, 'no known VEX document' AS reason FROM part WHERE p_partkey % 4 = 3")
+def _(spark, sf):
+    body = f"CASE p_partkey % 4 WHEN 0 THEN {_OPENVEX_DOC} WHEN 1 THEN {_CDXVEX_DOC} WHEN 2 THEN {_CSAF_DOC} ELSE if(p_size % 2 = 0, '{{}}', '{{broken') END"
+    return SV.unrecognized(part_documents(spark, sf, body))
+
+
 @query("s13_verifier_statements", f"""
 SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN {_CVE_OF} ELSE 'cve-x' END AS vulnerability,
   CASE WHEN p_partkey % 2 = 0 THEN {_PURL_SQL} ELSE 'pkg:a/b' END AS product_purl, CASE WHEN p_partkey % 2 = 0 THEN 'not_affected' ELSE 'affected' END AS status FROM part""")
@@ -304,7 +326,7 @@ flagged AS (
     CAST(l_orderkey AS VARCHAR) AS sbom_id, CASE o_orderstatus WHEN 'F' THEN 'known_not_affected' WHEN 'O' THEN 'known_affected' END AS status,
     CASE p_size % 4 WHEN 0 THEN 'pkg:generic/' || {W._NAME} || '@' || {W._VERSION} WHEN 1 THEN 'pkg:deb/debian/' || {W._NAME} || '@' || {W._VERSION}
       WHEN 2 THEN 'pkg:deb/debian/' || {W._NAME} ELSE 'pkg:npm/%40acme/' || {W._NAME} || '@' || {W._VERSION} END AS product_text
-  FROM line_parts JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 3)""",
+  FROM line_parts JOIN orders ON l_orderkey = o_orderkey)""",
     Q.parsed("statements", "product_text", "products")]
 _GRADED = [*_STATEMENTS, f"""graded AS (
   SELECT p.statement_id, p.sbom_id, p.status, p.product_text, c.purl_text, c.is_root, {Q.quality('p', 'c')} AS quality
@@ -325,14 +347,14 @@ def sbom_components(spark, sf):
     edges = W.table(spark, sf, "lineitem").where(F.col("l_linenumber") % 2 == 1).select(
         F.col("l_orderkey").cast("string").alias("sbom_id"),
         F.concat(F.lit("ref-"), (F.col("l_linenumber") + 1).cast("string")).alias("child_ref"))
-    return P.with_purl(A.root_flags(rows, edges), "purl_text")
+    return P.with_parsed_purl(A.root_flags(rows, edges), "purl_text")
 
 
 def vex_statements(spark, sf):
     product = (f"CASE p_size % 4 WHEN 0 THEN 'pkg:generic/' || {W._NAME} || '@' || {W._VERSION} WHEN 1 THEN 'pkg:deb/debian/' || {W._NAME} || '@' || {W._VERSION} "
                f"WHEN 2 THEN 'pkg:deb/debian/' || {W._NAME} ELSE 'pkg:npm/%40acme/' || {W._NAME} || '@' || {W._VERSION} END")
     orders = W.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    lines = W._line_parts(spark, sf).where(F.col("l_linenumber") <= 3)
+    lines = W._line_parts(spark, sf)
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("p_partkey").cast("string")).alias("statement_id"),
         F.col("l_orderkey").cast("string").alias("sbom_id"),
@@ -350,7 +372,7 @@ SELECT statement_id, purl_text, is_root, quality FROM graded WHERE quality > 0""
 def _(spark, sf):
     rows = vex_statements(spark, sf).select("statement_id", "sbom_id", F.explode("products").alias("product_text"))
     comps = sbom_components(spark, sf)
-    return A.graded_matches(P.with_purl(rows, "product_text", "product"), comps).select(
+    return A.graded_matches(P.with_parsed_purl(rows, "product_text", "product"), comps).select(
         "statement_id", F.replace("component", F.lit("@acme"), F.lit("%40acme")).alias("purl_text"), "is_root", "quality")
 
 
@@ -376,7 +398,7 @@ SELECT statement_id, quality, purl_text FROM (SELECT *, row_number() OVER (PARTI
   FROM graded WHERE quality > 0) WHERE rn = 1"""))
 def _(spark, sf):
     rows = vex_statements(spark, sf).select("statement_id", "sbom_id", F.explode("products").alias("product_text"))
-    graded = A.graded_matches(P.with_purl(rows, "product_text", "product"), sbom_components(spark, sf))
+    graded = A.graded_matches(P.with_parsed_purl(rows, "product_text", "product"), sbom_components(spark, sf))
     first = F.min(F.struct((-F.col("quality")).alias("negated"), "component"))
     return graded.groupBy("statement_id").agg(first.alias("m")).select(
         "statement_id", (-F.col("m.negated")).alias("quality"),

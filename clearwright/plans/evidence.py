@@ -238,9 +238,9 @@ def _(spark, sf):
 
 
 @query("p18_explanations", Q.select(_PACK, f"""
-SELECT artifact_id, cve, component_purl, CASE WHEN justification = 'component_not_present' THEN 'Not affected: component not present in the scanned artifact'
-  WHEN verdict = 'NOT_AFFECTED' THEN 'Not affected: vulnerable code not present in the scanned artifact' WHEN verdict = 'AFFECTED' THEN 'Affected: vulnerable code observed'
-  ELSE 'Refused: insufficient evidence (under investigation)' END AS verdict_text, present AS symbols_present, absent AS symbols_absent, provenance FROM pack"""))
+SELECT artifact_id, cve, component_purl, CASE WHEN justification = 'component_not_present' THEN 'clear: no binary carries the component'
+  WHEN verdict = 'NOT_AFFECTED' THEN 'clear: no binary carries a listed symbol' WHEN verdict = 'AFFECTED' THEN 'at risk: a listed symbol is present'
+  ELSE 'open: the evidence does not decide' END AS verdict_text, present AS symbols_present, absent AS symbols_absent, provenance FROM pack"""))
 def _(spark, sf):
     return E.explanations(pack(spark, sf)).drop("rule_text", "closing_text")
 

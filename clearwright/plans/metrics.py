@@ -288,10 +288,10 @@ def _(spark, sf):
 
 
 _WORDS = {
-    "rule_text": "CASE rule_id WHEN 'D01' THEN 'D01: component identity not found in scanned binaries' "
-                 "WHEN 'D02' THEN 'D02: listed vulnerable symbols not observed' "
-                 "WHEN 'D04' THEN 'D04: vulnerable symbol observed in scanned binaries' ELSE "
-                 "'D03: evidence insufficient to claim not affected (' || CASE reason_code "
+    "rule_text": "CASE rule_id WHEN 'D01' THEN 'D01 (component absent)' "
+                 "WHEN 'D02' THEN 'D02 (code absent)' "
+                 "WHEN 'D04' THEN 'D04 (code present)' ELSE "
+                 "'D03 (refused: ' || CASE reason_code "
                  + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.REASON_WORDS.items()) + " ELSE reason_code END || ')' END"}
 
 
@@ -399,9 +399,10 @@ LABELLED = f"""labelled AS (
 
 @query("a09_label_agreement", Q.select([LABELLED], """
 SELECT label_count, empty_labels, na AS not_affected_total, na AS not_affected_labeled, na > 0 AS soundness_evaluable,
-  FALSE AS full_evaluable, na > 0 AS evaluable, CASE WHEN na > 0 THEN false_na END AS false_not_affected,
-  CAST(NULL AS BIGINT) AS agreement_count, CAST(NULL AS DOUBLE) AS agreement_rate_pct
+  label_count = 100 AS full_evaluable, na > 0 OR label_count = 100 AS evaluable, false_na AS false_not_affected,
+  agreed AS agreement_count, round(100.0 * agreed / label_count, 4) AS agreement_rate_pct
 FROM (SELECT count(*) AS label_count, CAST(0 AS BIGINT) AS empty_labels, count(*) FILTER (WHERE pipe = 'NOT_AFFECTED') AS na,
+  count(*) FILTER (WHERE pipe = human) AS agreed,
   count(*) FILTER (WHERE pipe = 'NOT_AFFECTED' AND human <> 'NOT_AFFECTED') AS false_na FROM labelled)"""))
 def _(spark, sf):
     return M.agreement(labelled(spark, sf))

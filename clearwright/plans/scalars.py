@@ -469,14 +469,6 @@ def _(spark, sf):
     return W.symbols(spark, sf).groupBy("inventory_id").agg(F.sha2(text, 256).alias("digest"))
 
 
-@query("o06_capped_strings", """
-SELECT doc_id, least(len(list_distinct(string_split(text, chr(10)))), 5) AS kept, len(list_distinct(string_split(text, chr(10)))) > 5 AS capped FROM documents""")
-def _(spark, sf):
-    c = S.capped_strings(F.split("text", "\n"), 5)
-    return W.table(spark, sf, "documents").select("doc_id", c.alias("c")).select(
-        "doc_id", F.size("c.strings").cast("bigint").alias("kept"), F.col("c.capped").alias("capped"))
-
-
 @query("u01_observable_symbols", Q.select([W.INVENTORIES, W.SYMBOLS], """
 SELECT artifact_id, count(DISTINCT symbol) AS n FROM (SELECT artifact_id, raw AS symbol FROM symbols UNION ALL SELECT artifact_id, normalized FROM symbols) GROUP BY artifact_id"""))
 def _(spark, sf):

@@ -79,19 +79,24 @@ DIRECT = [
     best("parsed_findings", "direct", "direct_quality", "direct_component"),
 ]
 
-_COSMETIC = r"(?i)(?:[+.]?(?:dfsg|really|ubuntu)[^.-]*)+$"
-
-
 def upstream_version(t: str, v: str) -> str:
-    def cosmetic(x: str) -> str:
-        return f"nullif(regexp_replace(regexp_replace(trim({x}), '{_COSMETIC}', ''), '^\\.+|\\.+$', '', 'g'), '')"
-
-    body = f"regexp_replace({v}, '^[^:]*:', '')"
-    deb = cosmetic(f"string_split({body}, '-')[1]")
-    rpm_body = f"regexp_replace({body}, '-[0-9]+(?:\\.[A-Za-z0-9_]+)+$', '')"
-    apk_body = f"regexp_replace({v}, '-r[0-9]+$', '')"
+    marker = "(dfsg|really|ubuntu)"
+
+    def clean(x: str) -> str:
+        """Parts before the trailing run of marker parts, the last of them cut at a marker."""
+        parts = f"string_split(trim({x}), '.')"
+        run = f"len(list_filter(p[i:], lambda q: NOT regexp_matches(q, '^[+]?{marker}[^-]*$', 'i'))) = 0"
+        kept = f"list_transform([{parts}], lambda p: array_to_string(p[1:coalesce(list_min(list_filter(range(1, len(p) + 1), lambda i: {run})), len(p) + 1) - 1], '.'))[1]"
+        return f"nullif(trim(regexp_replace({kept}, '[+]?{marker}[^.-]*$', '', 'i'), '.'), '')"
+
+    body = f"CASE WHEN contains({v}, ':') THEN substr({v}, strpos({v}, ':') + 1) ELSE {v} END"
+    deb = clean(f"string_split({body}, '-')[1]")
+    words = "string_split(d[-1], '.')"
+    release = f"len(d) > 1 AND len({words}) > 1 AND regexp_full_match({words}[1], '[0-9]+') AND len(list_filter({words}, lambda w: NOT regexp_full_match(w, '[A-Za-z0-9_]+'))) = 0"
+    rpm_body = f"list_transform([string_split({body}, '-')], lambda d: CASE WHEN {release} THEN array_to_string(d[1:-2], '-') ELSE array_to_string(d, '-') END)[1]"
+    apk_body = f"CASE WHEN regexp_matches({v}, '-r[0-9]+$') THEN regexp_extract({v}, '^(.*)-r[0-9]+$', 1) ELSE {v} END"
     return f"""CASE {t} WHEN 'deb' THEN CASE WHEN NOT contains({deb}, '%') THEN {deb} END
-      WHEN 'apk' THEN {cosmetic(apk_body)} WHEN 'rpm' THEN {cosmetic(rpm_body)} END"""
+      WHEN 'apk' THEN {clean(apk_body)} WHEN 'rpm' THEN {clean(rpm_body)} END"""
 
 
 UPSTREAM = f"""upstreams AS (

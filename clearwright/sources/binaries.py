@@ -1,19 +1,17 @@
-"""File inventory of extracted artifacts and ELF facts per binary."""
+"""File inventory of extracted artifacts, and facts of binaries from their parsed sections."""
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clearwright.functions import symbols as S
+from clearwright.operators.tables import materialize
 
 _SYMBOLS = "array<struct<name: string, bind: int, kind: int, defined: boolean, version: string>>"
-RAW_ELF = (f"path string, machine int, has_symtab boolean, has_interp boolean, needed array<string>, note binary, rodata binary, "
-           f"dyn_syms {_SYMBOLS}, symtab {_SYMBOLS}, warning string")
+# One row per binary as a section parser gives it; `warning` is set where parsing failed.
+SECTIONS = (f"path string, sha256 string, machine int, has_symtab boolean, has_interp boolean, needed array<string>, note binary, "
+            f"rodata binary, dyn_syms {_SYMBOLS}, symtab {_SYMBOLS}, warning string")
 
 # ELF machine numbers, symbol bindings and symbol kinds by name.
 MACHINES = {62: "amd64", 3: "386", 183: "arm64", 40: "arm", 21: "ppc64", 22: "s390x", 243: "riscv"}
@@ -22,48 +20,55 @@ KINDS = {0: "NOTYPE", 1: "OBJECT", 2: "FUNC", 3: "SECTION", 4: "FILE", 5: "COMMO
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files under `root` with content up to the size limit; larger files come without content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    small = files.where(F.col("length") <= S.MAX_BINARY_BYTES).select("path", "length", "content")
-    # The content of larger files is never read: the column is not asked for.
-    large = files.where(F.col("length") > S.MAX_BINARY_BYTES).select(
-        "path", "length", F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large)
+    """Files under `root` with their whole content; a file too large for one value fails the read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
 
 
 def file_inventory(files: DataFrame) -> DataFrame:
-    """Binaries among the files: path, size, format, SHA-256 and the too-large flag."""
-    large = F.col("length") > S.MAX_BINARY_BYTES
-    fmt = F.when(~large, S.magic_format(F.col("content"))).otherwise("unknown")
-    return files.select(
-        "path", "length", fmt.alias("format"), F.when(~large, F.sha2("content", 256)).alias("sha256"),
-        large.alias("too_large")).where((F.col("format") != "unknown") | F.col("too_large"))
+    """Binaries among the files: path, size, format and SHA-256, from one pass over the content."""
+    facts = files.select("path", "length", S.magic_format(F.col("content")).alias("format"), F.sha2("content", 256).alias("sha256"))
+    return facts.where(F.col("format") != "unknown")
 
 
 def binaries(files: DataFrame) -> DataFrame:
-    """Files worth parsing, ordered by lower-case path."""
-    return files.where((F.col("length") <= S.MAX_BINARY_BYTES) & (S.magic_format(F.col("content")) != "unknown")).orderBy(F.lower("path"))
-
+    """Files worth parsing."""
+    return files.where(S.magic_format(F.col("content")) != "unknown")
+
+
+def positions_by_path(inventories: DataFrame) -> DataFrame:
+    """(artifact_id, path, position): place of each binary in its artifact, by lower-case path.
+
+    Rows are range-sorted over all tasks and numbered inside a task; the counts of the tasks
+    before it are added, so no artifact has to fit one task.
+    """
+    key = ["artifact_id", "folded", "path"]
+    rows = inventories.select("artifact_id", F.lower("path").alias("folded"), "path")
+    dealt = materialize(rows.repartitionByRange(*key).withColumn("task", F.spark_partition_id()))
+    earlier = Window.partitionBy("artifact_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("artifact_id", "task").agg(F.count(F.lit(1)).alias("n")).select(
+        "artifact_id", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("artifact_id", "task").orderBy("folded", "path"))
+    return dealt.withColumn("place", place).join(before, ["artifact_id", "task"]).select(
+        "artifact_id", "path", (F.col("place") + F.col("before")).cast("int").alias("position"))
+
+
+def inventory_facts(sections: DataFrame) -> DataFrame:
+    """Facts per binary; one that could not be parsed keeps its warning, and nothing is claimed about it."""
+    parsed = F.col("warning").isNull()
+    arch = F.try_element_at(F.create_map(*[F.lit(x) for kv in MACHINES.items() for x in kv]), F.col("machine"))
+    return sections.select(
+        "path", "sha256", F.lit("ELF").alias("format"),
+        F.when(parsed, F.coalesce(arch, F.col("machine").cast("string"))).alias("arch"),
+        F.when(parsed, S.gnu_build_id(F.col("note"))).alias("build_id"),
+        F.when(parsed, ~F.col("has_symtab")).alias("stripped"), F.when(parsed, F.array_sort("needed")).alias("needed"),
+        F.when(parsed, ~F.col("has_interp") & (F.size("needed") == 0)).alias("static_linked"),
+        _symbols("dyn_syms"), _symbols("symtab"), "warning")
 
-def elf_inventory(files: DataFrame) -> DataFrame:
-    """ELF facts per file; files that cannot be parsed keep a warning and no symbols."""
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([{"path": p, **_raw_facts(bytes(c))} for p, c in zip(batch["path"], batch["content"])],
-                               columns=[x.split(" ")[0] for x in
-                                        ("path", "machine", "has_symtab", "has_interp", "needed", "note", "rodata", "dyn_syms", "symtab", "warning")])
 
-    elf = files.where((F.col("length") <= S.MAX_BINARY_BYTES) & (S.magic_format(F.col("content")) == "ELF"))
-    raw = elf.select("path", "content").mapInPandas(parse, RAW_ELF)
-    hashes = elf.select("path", F.sha2("content", 256).alias("sha256"))
-    arch = F.try_element_at(F.create_map(*[F.lit(x) for kv in MACHINES.items() for x in kv]), F.col("machine"))
-    strings = S.capped_strings(S.printable_runs(F.col("rodata")))
-    facts = raw.select(
-        "path", F.coalesce(arch, F.col("machine").cast("string")).alias("arch"), S.gnu_build_id(F.col("note")).alias("build_id"),
-        (~F.col("has_symtab")).alias("stripped"), F.array_sort("needed").alias("needed"),
-        (~F.col("has_interp") & (F.size("needed") == 0)).alias("static_linked"), _symbols("dyn_syms"), _symbols("symtab"),
-        F.array_sort(strings["strings"]).alias("ro_strings"), strings["capped"].alias("ro_strings_capped"), "warning")
-    return facts.join(hashes, "path").withColumn("format", F.lit("ELF"))
+def string_rows(sections: DataFrame) -> DataFrame:
+    """(path, position, value): every distinct read-only string of a binary, at its first place."""
+    strings = F.array_distinct(S.printable_runs(F.col("rodata")))
+    return sections.select("path", F.posexplode(strings).alias("position", "value"))
 
 
 def _symbols(column: str):
@@ -80,66 +85,3 @@ def _symbols(column: str):
 
     named = F.filter(column, lambda s: F.coalesce(s["name"], F.lit("")) != "")
     return F.array_sort(F.transform(named, one)).alias(column)
-
-
-def _raw_facts(data: bytes) -> dict:
-    """Section-level facts of one ELF file."""
-    out = dict(machine=None, has_symtab=False, has_interp=False, needed=[], note=None, rodata=None, dyn_syms=[], symtab=[], warning=None)
-    try:
-        wide, order = data[4] == 2, "<" if data[5] == 1 else ">"
-        out["machine"] = struct.unpack_from(order + "H", data, 18)[0]
-        phoff, shoff = struct.unpack_from(order + ("QQ" if wide else "II"), data, 32 if wide else 28)
-        phsize, phnum, shsize, shnum, shstr = struct.unpack_from(order + "5H", data, 54 if wide else 42)
-        out["has_interp"] = any(struct.unpack_from(order + "I", data, phoff + i * phsize)[0] == 3 for i in range(phnum))
-        layout = order + ("IIQQQQIIQQ" if wide else "10I")
-        heads = [struct.unpack_from(layout, data, shoff + i * shsize) for i in range(shnum)]
-
-        def body(h):
-            return b"" if h[1] == 8 else data[h[4]:h[4] + h[5]]
-
-        def text(table, at):
-            return table[at:table.index(b"\0", at)].decode("utf-8", "replace")
-
-        names = [text(body(heads[shstr]), h[0]) for h in heads] if heads else []
-        by_name = dict(zip(names, heads))
-        out["has_symtab"] = ".symtab" in by_name
-        if ".note.gnu.build-id" in by_name:
-            out["note"] = body(by_name[".note.gnu.build-id"])
-        out["rodata"] = b"".join(body(h) for n, h in zip(names, heads) if n.startswith(".rodata")) or None
-        versions = _versions(order, names, heads, body, text)
-        for head in heads:
-            linked = body(heads[head[6]]) if head[6] < len(heads) else b""
-            if head[1] == 6:  # dynamic entries: tag 1 names a needed library
-                pair = order + ("qQ" if wide else "iI")
-                out["needed"] = [text(linked, v) for t, v in struct.iter_unpack(pair, body(head)) if t == 1]
-            if head[1] in (2, 11):
-                rows = []
-                for i, e in enumerate(struct.iter_unpack(order + ("IBBHQQ" if wide else "IIIBBH"), body(head))):
-                    info, section = (e[1], e[3]) if wide else (e[3], e[5])
-                    hint = versions.get(i) if head[1] == 11 else None
-                    rows.append((text(linked, e[0]), info >> 4, info & 15, section != 0, hint))
-                out["dyn_syms" if head[1] == 11 else "symtab"] = rows
-    except (struct.error, IndexError, ValueError) as e:
-        out["warning"] = f"elf_parse: {e}"
-    return out
-
-
-def _versions(order, names, heads, body, text) -> dict[int, str]:
-    """Dynamic symbol index to needed version name."""
-    by_name = dict(zip(names, heads))
-    if ".gnu.version" not in by_name or ".gnu.version_r" not in by_name:
-        return {}
-    need, at, known = body(by_name[".gnu.version_r"]), 0, {}
-    strings = body(heads[by_name[".gnu.version_r"][6]])
-    while True:
-        _, count, _, aux, following = struct.unpack_from(order + "HHIII", need, at)
-        spot = at + aux
-        for _ in range(count):
-            _, _, index, name, step = struct.unpack_from(order + "IHHII", need, spot)
-            known[index & 0x7FFF] = text(strings, name)
-            spot += step
-        if following == 0:
-            break
-        at += following
-    marks = struct.iter_unpack(order + "H", body(by_name[".gnu.version"]))
-    return {i: known[v & 0x7FFF] for i, (v,) in enumerate(marks) if v & 0x7FFF in known}

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearwright.functions.text import blank_to_null, strip_space
-from clearwright.sources.documents import read_documents, read_json_lines
+from clearwright.sources.documents import broken_documents, broken_lines, read_documents, read_json_lines
 
 SYMBOL = ("STRUCT<name: STRING, confidence: STRING, dynsym_export_verified: BOOLEAN, provenance: STRUCT<upstream_fix_commit: STRING, "
           "derivation: STRING, reviewed_by: STRING, reviewed_at: STRING>>")
@@ -29,26 +26,10 @@ CATALOGUE = ("id STRING, class STRING, ref STRING, url STRING, path STRING, sour
 ARTIFACT_FOLDER = r"([^/]+)/[^/]+$"
 
 
-def yaml_to_json(docs: DataFrame) -> DataFrame:
-    """YAML documents as JSON text; a document that does not parse fails the job."""
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        import yaml
-
-        for batch in batches:
-            batch["content"] = [json.dumps(yaml.safe_load(x), default=str) for x in batch["content"]]
-            yield batch
-
-    return docs.select("doc_id", "content").mapInPandas(convert, "doc_id string, content string")
-
-
 def load_manifest_files(spark: SparkSession, path: str) -> DataFrame:
-    """Component documents under `path`, JSON and YAML, one row per file."""
+    """Component documents (JSON) under `path`, one row per file."""
     docs = read_documents(spark, path, r"(components/.*|candidates/.*|[^/]+)$")
-    listed = docs.where(F.col("doc_id").rlike(r"(?i)\.(json|ya?ml)$"))
-    is_json = F.lower("doc_id").endswith(".json")
-    return manifest_documents(listed.where(is_json).unionByName(yaml_to_json(listed.where(~is_json))))
+    return manifest_documents(docs.where(F.lower("doc_id").endswith(".json")))
 
 
 def manifest_documents(docs: DataFrame) -> DataFrame:
@@ -89,15 +70,29 @@ def load_aliases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def catalogue_rows(docs: DataFrame) -> DataFrame:
-    """Catalogue documents (JSON text, see `yaml_to_json`) as artifact rows."""
+    """Catalogue documents (JSON text) as artifact rows."""
     nested = ", ".join(part.strip().replace(" ", ": ", 1) for part in CATALOGUE.split(","))
     parsed = F.from_json("content", f"artifacts ARRAY<STRUCT<{nested}>>")
     return docs.select(F.explode(parsed["artifacts"]).alias("a")).select(F.col("a.id").alias("artifact_id"), "a.*").drop("id")
 
 
-def load_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """`<artifact>/decisions.jsonl` files; the artifact id is the folder name."""
-    return read_json_lines(spark, f"{path}/*/decisions.jsonl", DECISION, ARTIFACT_FOLDER)
+def load_decisions(spark: SparkSession, path: str, skip_broken: bool = False) -> DataFrame:
+    """`<artifact>/decisions.jsonl` files; the artifact id is the folder name.  A malformed line fails the job unless skipped."""
+    return read_json_lines(spark, f"{path}/*/decisions.jsonl", DECISION, ARTIFACT_FOLDER, skip_broken)
+
+
+def broken_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """Malformed decision lines with their artifact and reason."""
+    return broken_lines(spark, f"{path}/*/decisions.jsonl", DECISION, ARTIFACT_FOLDER)
+
+
+def broken(docs: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, reason): documents that the reader of `kind` (aliases, catalogue, labels, summary) cannot parse."""
+    nested = {"catalogue": ("artifacts", CATALOGUE), "labels": ("statements", LABEL)}
+    if kind in nested:
+        name, fields = nested[kind]
+        return broken_documents(docs, f"{name} ARRAY<STRUCT<{', '.join(x.strip().replace(' ', ': ', 1) for x in fields.split(','))}>>")
+    return broken_documents(docs, {"aliases": ALIASES, "summary": SUMMARY}[kind])
 
 
 def load_summaries(spark: SparkSession, path: str) -> DataFrame:

@@ -107,19 +107,32 @@ def osv_keys(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def osv_findings(components: DataFrame, keys: DataFrame) -> DataFrame:
-    """Components (sbom_id, purl struct) against dump keys: name, or namespace and name; versions are not checked."""
+def _purl_matches(components: DataFrame, keys: DataFrame) -> DataFrame:
+    """(component_purl, vulnerability): distinct component PURLs with the vulnerabilities of their dump keys."""
     p = F.col("purl")
     short = F.concat(p["type"], F.lit("/"), p["name"])
     full = F.concat(p["type"], F.lit("/"), p["namespace"], F.lit("/"), p["name"])
     own = F.array_distinct(F.array(p["canonical"], short, F.when(p["namespace"] != "", full).otherwise(short)))
-    return (
-        components.select("sbom_id", p["canonical"].alias("component_purl"), F.explode(own).alias("key"))
-        .distinct().join(keys, "key")
-        .select(F.col("sbom_id").alias("artifact_id"), F.col("vulnerability").alias("cve"), "component_purl",
-                F.lit(False).alias("version_checked"))
-        .distinct()
-    )
+    distinct = components.select(p["canonical"].alias("component_purl"), own.alias("own")).where("component_purl IS NOT NULL").distinct()
+    return distinct.select("component_purl", F.explode("own").alias("key")).join(keys, "key").select("component_purl", "vulnerability").distinct()
+
+
+def osv_findings(components: DataFrame, keys: DataFrame) -> DataFrame:
+    """Components (sbom_id, purl struct) against dump keys: name, or namespace and name; versions are not checked.
+
+    Keys are looked up for distinct PURLs, which then meet the bills.
+    """
+    bills = components.select("sbom_id", F.col("purl.canonical").alias("component_purl")).distinct()
+    return bills.join(_purl_matches(components, keys), "component_purl").select(
+        F.col("sbom_id").alias("artifact_id"), F.col("vulnerability").alias("cve"), "component_purl", F.lit(False).alias("version_checked"))
+
+
+def without_osv_key(components: DataFrame, keys: DataFrame) -> DataFrame:
+    """(artifact_id, reason): bills of which no component matches any key, so an empty result is told from a clean one."""
+    matched = _purl_matches(components, keys).select(F.col("component_purl").alias("__hit")).distinct()
+    seen = components.select("sbom_id", F.col("purl.canonical").alias("p")).join(matched, F.col("p") == F.col("__hit"), "left")
+    return seen.groupBy(F.col("sbom_id").alias("artifact_id")).agg(F.count("__hit").alias("n")).where("n = 0").select(
+        "artifact_id", F.lit("no component matches a key of the dump").alias("reason"))
 
 
 def scanner_metadata(docs: DataFrame) -> DataFrame:

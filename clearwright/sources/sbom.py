@@ -58,11 +58,17 @@ def spdx_components(docs: DataFrame) -> DataFrame:
 
 
 def load_sboms(docs: DataFrame) -> DataFrame:
-    """Components of mixed documents, routed by their keys, with the parsed PURL."""
+    """Components of mixed documents, routed by their keys, with the parsed PURL; `unrecognized` has the rest."""
     marked = docs.withColumn("__format", sbom_format(F.col("content")))
     rows = cyclonedx_components(marked.where(F.col("__format") == "cyclonedx")).unionByName(
         spdx_components(marked.where(F.col("__format") == "spdx")))
-    return P.with_purl(rows, "purl_text")
+    return P.with_parsed_purl(rows, "purl_text")
+
+
+def unrecognized(docs: DataFrame) -> DataFrame:
+    """(doc_id, reason): documents that `load_sboms` cannot route."""
+    known = sbom_format(F.col("content")) != "unrecognized"
+    return docs.where(~F.coalesce(known, F.lit(False))).select("doc_id", F.lit("no known bill of materials").alias("reason"))
 
 
 def sbom_counts(docs: DataFrame) -> DataFrame:

@@ -96,8 +96,9 @@ def csaf_branch_products(trees: DataFrame) -> DataFrame:
     level = trees.select("doc_id", F.col("branches").alias("text"), F.array().cast("array<int>").alias("place"))
     found = None
     while True:
-        nodes = level.select("doc_id", "place", F.posexplode(F.from_json("text", BRANCHES)).alias("pos", "b")).select(
-            "doc_id", F.concat("place", F.array("pos")).alias("place"), "b")
+        # Stored, so that a level parses its own texts only.
+        nodes = materialize(level.select("doc_id", "place", F.posexplode(F.from_json("text", BRANCHES)).alias("pos", "b")).select(
+            "doc_id", F.concat("place", F.array("pos")).alias("place"), "b"))
         here = nodes.where(F.col("b.product").isNotNull()).select(
             "doc_id", "place",
             F.coalesce(blank_to_null(F.col("b.product.product_id")), F.col("b.product.name")).alias("product_id"),
@@ -137,14 +138,15 @@ def csaf_products(docs: DataFrame) -> DataFrame:
     direct = _usable(branches.unionByName(
         rels.where(F.col("purl_text").isNotNull()).withColumn("indirect", F.lit(False)).select(*names)))
     open_rels = rels.where(F.col("purl_text").isNull())
-    regs = direct
+    regs, mark = direct, None
     while True:
         known = first_registrations(regs).select(
             "doc_id", F.col("product_id").alias("reference"), "purl_text", "first_place")
         resolved = open_rels.drop("purl_text").join(known, ["doc_id", "reference"]).where(
             F.col("first_place") < F.col("place")).withColumn("indirect", F.lit(True)).select(*names)
         following = materialize(direct.unionByName(_usable(resolved)))
-        if following.exceptAll(regs).isEmpty() and regs.exceptAll(following).isEmpty():
+        before, mark = mark, tuple(following.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*names))).first())
+        if mark == before:  # a round that changed nothing
             return first_registrations(following).drop("first_place")
         regs = following
 
@@ -172,7 +174,7 @@ def csaf_statements(docs: DataFrame) -> DataFrame:
 
 
 def load_vex(docs: DataFrame) -> DataFrame:
-    """Statements of mixed documents, routed by their keys."""
+    """Statements of mixed documents, routed by their keys; `unrecognized` has the rest."""
     marked = docs.withColumn("__format", vex_format(F.col("content")))
     return (
         openvex_statements(marked.where(F.col("__format") == "openvex"))
@@ -181,6 +183,12 @@ def load_vex(docs: DataFrame) -> DataFrame:
     )
 
 
+def unrecognized(docs: DataFrame) -> DataFrame:
+    """(doc_id, reason): documents that `load_vex` cannot route."""
+    known = vex_format(F.col("content")) != "unrecognized"
+    return docs.where(~F.coalesce(known, F.lit(False))).select("doc_id", F.lit("no known VEX document").alias("reason"))
+
+
 def verifier_statements(docs: DataFrame) -> DataFrame:
     """Rows for evidence verification, one per product: a native list or OpenVEX."""
     native = docs.select("doc_id", F.from_json("content", NATIVE).alias("d")).where(F.col("d.format").isNotNull()).select(

@@ -1,6 +1,7 @@
 import json
 
-from clearwright.plans.binaries import NAME_FIELD, elf_template
+import pytest
+
 from clearwright.sources import binaries as B
 from clearwright.sources import corpus as C
 from clearwright.sources import findings as SF
@@ -54,12 +55,12 @@ def test_spdx_purpose_text_is_ignored(spark):
     assert r["name"] == "p" and r["is_root"] is True
 
 
-def test_manifest_yaml_and_json(spark, tmp_path):
+def test_manifest_documents(spark, tmp_path):
     folder = tmp_path / "components" / "native"
     folder.mkdir(parents=True)
-    (folder / "z.yaml").write_text(
-        "component: {name: z, ecosystem: native, purls: ['pkg:generic/z'], identity_symbols: [a, b]}\n"
-        "entries:\n- {cve: cve-2024-1, affected_versions: ['<1'], manifest_version: '1', vulnerable_symbols: [{name: f, confidence: definitive}]}\n")
+    (folder / "z.json").write_text(json.dumps({
+        "component": {"name": "z", "ecosystem": "native", "purls": ["pkg:generic/z"], "identity_symbols": ["a", "b"]},
+        "entries": [{"cve": "cve-2024-1", "affected_versions": ["<1"], "manifest_version": "1", "vulnerable_symbols": [{"name": "f", "confidence": "definitive"}]}]}))
     (folder / "a.json").write_text(json.dumps({"component": {"name": "a", "ecosystem": "native", "purls": [], "identity_symbols": []}, "entries": []}))
     t = C.manifest_tables(C.load_manifest_files(spark, str(tmp_path)))
     assert {r["component"] for r in t["components"].collect()} == {"a", "z"}
@@ -70,21 +71,36 @@ def test_manifest_yaml_and_json(spark, tmp_path):
 def test_decision_lines_take_the_folder_as_artifact(spark, tmp_path):
     (tmp_path / "art-1").mkdir()
     (tmp_path / "art-1" / "decisions.jsonl").write_text('{"cve":"CVE-1","verdict":"AFFECTED"}\n{broken\n')
-    rows = C.load_decisions(spark, str(tmp_path)).collect()
+    rows = C.load_decisions(spark, str(tmp_path), skip_broken=True).collect()
+    assert [(r["artifact_id"], r["value"]) for r in C.broken_decisions(spark, str(tmp_path)).collect()] == [("art-1", "{broken")]
+    with pytest.raises(Exception, match="MALFORMED"):
+        C.load_decisions(spark, str(tmp_path)).collect()
     assert [(r["artifact_id"], r["cve"]) for r in rows] == [("art-1", "CVE-1")]
 
 
-def test_elf_files(spark, tmp_path):
-    whole = elf_template().replace(b"N" * NAME_FIELD, b"_inflate@@ZLIB_1.2".ljust(NAME_FIELD, b"\0"))
-    (tmp_path / "Lib.so").write_bytes(whole)
-    (tmp_path / "cut").write_bytes(whole[:50])
+def test_binaries(spark, tmp_path):
+    (tmp_path / "Lib.so").write_bytes(b"\x7fELF" + b"x" * 100)
     (tmp_path / "note.txt").write_text("hello")
     files = B.read_files(spark, str(tmp_path))
-    assert B.file_inventory(files).count() == 2
-    rows = {r["path"].rsplit("/", 1)[1]: r for r in B.elf_inventory(files).collect()}
-    good, cut = rows["Lib.so"], rows["cut"]
+    assert [(r["format"], r["length"]) for r in B.file_inventory(files).collect()] == [("ELF", 104)]
+    many = b"".join(b"constant %05d\0" % i for i in range(12_000)) + b"short\0"
+    symbol = [("_inflate@@ZLIB_1.2", 1, 2, True, None)]
+    sections = spark.createDataFrame([
+        ("good", "aa", 62, False, True, ["libc.so.6"], None, bytearray(many), symbol, [], None),
+        ("cut", "bb", 62, False, False, [], None, None, [], [], "elf_parse: short")], B.SECTIONS)
+    rows = {r["path"]: r for r in B.inventory_facts(sections).collect()}
+    good, cut = rows["good"], rows["cut"]
     assert (good["arch"], good["stripped"], good["static_linked"], good["needed"]) == ("amd64", True, False, ["libc.so.6"])
     s = good["dyn_syms"][0]
     assert (s["raw"], s["normalized"], s["version"], s["bind"], s["type"], s["defined"]) == ("_inflate", "inflate", "ZLIB_1.2", "GLOBAL", "FUNC", True)
-    assert good["ro_strings"] == ["constant text"]
-    assert cut["warning"].startswith("elf_parse") and cut["dyn_syms"] == []
+    assert (cut["arch"], cut["stripped"], cut["static_linked"], cut["needed"]) == (None, None, None, None)
+    strings = B.string_rows(sections)
+    assert strings.count() == 12_000 and strings.where("position = 11999").first()["value"] == "constant 11999"
+
+
+def test_positions_by_path(spark):
+    rows = [(f"a{i % 2}", f"Bin/{(i * 37) % 101:03d}") for i in range(101)]
+    got = B.positions_by_path(spark.createDataFrame(rows, "artifact_id string, path string").repartition(5)).collect()
+    for a in ("a0", "a1"):
+        paths = sorted(p for x, p in rows if x == a)
+        assert sorted((r["position"], r["path"]) for r in got if r["artifact_id"] == a) == list(enumerate(paths, 1))
