@@ -143,7 +143,13 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, near: DataFrame, text: s
     holders = spans.select("digest", F.concat_ws(":", _kind(F.col("b.k")), value).alias("entity")).distinct()
     n_e = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
     n_et = near.select("entity", "term", "digest").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
-    pairs = written(n_et.join(n_e, "entity"), "pii-pairs")
+    total = float(found.select("digest").distinct().count())
+    information = F.log(F.lit(total) / F.col("n_e"))
+    # Texts with the term near any entity are among those with the term, so they bound its share from above.
+    near_any = near.select("term", "digest").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    most = F.log(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.col("n_near")))
+    pairs = n_et.join(n_e, "entity").join(near_any, "term").filter(most >= threshold * information - 1e-9).drop("n_near")
+    pairs = written(pairs, "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-terms")
     listed = terms.select(F.col("term").alias("listed"))
     if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -153,10 +159,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, near: DataFrame, text: s
     else:
         words = docs.select(text_digest(text).alias("digest"), F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+")).alias("term"))
         n_t = words.filter(F.char_length("term") >= TERM_LENGTH).join(listed, F.col("term") == F.col("listed")).select("term", "digest").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = found.select("digest").distinct().agg(F.count(F.lit(1)).alias("n"))
-    total = n.first()["n"]
-    pmi = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    information = F.log(F.lit(float(total)) / F.col("n_e"))
+    pmi = F.log(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = F.when(information > 0, pmi / information).otherwise(0.0)
     return written(pairs.join(n_t, "term").select("entity", "term", share.alias("share")).filter(F.col("share") >= threshold), "pii-disclosing")
 
