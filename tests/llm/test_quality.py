@@ -34,7 +34,7 @@ def test_awkward_rows(spark):
     scores = got.collect()
     assert len(scores) == len(rows()) and all(0 <= r.score <= 1 for r in scores)
     by_text = {}
-    assert all(by_text.setdefault(r.text, r.score) == r.score for r in scores)
+    assert all(abs(by_text.setdefault(r.text, r.score) - r.score) < 1e-5 for r in scores)  # single precision
     assert quality.score(empty(docs), model).collect() == []
     assert {round(r.score, 6) for r in quality.score(docs, quality.train(train.limit(0))).collect()} == {0.5}
 

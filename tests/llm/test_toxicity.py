@@ -92,8 +92,10 @@ def test_labels_of_the_held_out_fifth_are_not_read(spark):
 
 
 def test_held_out_accuracy(spark):
-    sf = SF.replace("0.001", "0.01")
+    sf = SF.replace("0.001", "0.1")  # the smaller tables have some forty toxic rows to learn from
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = [r for r in QUERIES["op3_toxic_passages"](spark, sf).collect() if r.doc_id in labels]
     right = [r.predicted == labels[r.doc_id] for r in got if r.held_out]
-    assert sum(right) / len(right) > 0.9
+    assert sum(right) / len(right) > 0.95
+    caught = [r.predicted for r in got if r.held_out and labels[r.doc_id]]
+    assert sum(caught) / len(caught) > 0.8
