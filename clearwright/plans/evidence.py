@@ -296,7 +296,7 @@ _PIN = """'pkg:' || type || '/' || CASE WHEN namespace <> '' THEN replace(url_en
      lambda x: url_encode(string_split(x, '=')[1]) || '=' || url_encode(regexp_replace(x, '^[^=]*=', ''))), '&')"""
 _INPUTS = [*_EVIDENCE, _BUNDLES, f"""inputs AS (
   SELECT d.artifact_id, d.cve, d.component_purl, d.statement_id, d.verdict, d.justification, d.rule_id, d.reason_code, b.bundle_id, h.artifact_sha256,
-    {_PIN} AS pinned, {_DETAIL} AS detail,
+    {_PIN} AS pinned, p.name, p.version, {_DETAIL} AS detail,
     strftime(to_timestamp(1767225600 + CAST('0x' || left(sha256('vex-time' || chr(0) || bundle_id), 6) AS BIGINT) % 31536000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS stamp
   FROM decisions d JOIN bundles b ON d.artifact_id = b.artifact_id JOIN artifact_hashes h ON d.artifact_id = h.artifact_id
   JOIN parsed_findings p ON d.component_purl = p.component_purl WHERE d.has_slice)"""]
@@ -325,17 +325,57 @@ def _(spark, sf):
     return X.refusal_lines(document_inputs(spark, sf)).select("artifact_id", "section", "k1", "k2", "line")
 
 
-@query("k05_cyclonedx_lines", Q.select(_INPUTS, """
-SELECT artifact_id, section, k1, k2, line FROM (
-SELECT artifact_id, 3 AS section, cve AS k1, component_purl AS k2, CASE WHEN row_number() OVER (PARTITION BY artifact_id ORDER BY cve, component_purl) = 1 THEN '' ELSE ',' END ||
-  '{"id":"' || cve || '","analysis":{"state":"' || CASE verdict WHEN 'NOT_AFFECTED' THEN 'not_affected","justification":"code_not_present' WHEN 'AFFECTED' THEN 'exploitable' ELSE 'in_triage' END ||
-  '","detail":"' || detail || '","firstIssued":"' || stamp || '","lastUpdated":"' || stamp || '"},"affects":[{"ref":"cw:' || left(sha256('component-ref' || chr(0) || pinned), 16) || '"}]}' AS line FROM inputs)"""))
+_CDX_REFS = """cdx_rows AS (
+  SELECT *, 'cw:' || left(sha256('component-ref' || chr(0) || pinned), 16) AS ref, '[{"alg":"SHA-256","content":"' || artifact_sha256 || '"}]' AS hashes FROM inputs),
+cdx_heads AS (
+  SELECT DISTINCT artifact_id, stamp, hashes, artifact_sha256, sha256('clearwright-uuid' || chr(0) ||
+    sha256('cyclonedx' || chr(0) || bundle_id || chr(0) || artifact_sha256 || chr(0) || stamp)) AS h FROM cdx_rows),
+cdx_items AS (
+  SELECT DISTINCT artifact_id, 1 AS section, ref AS k1, '' AS k2,
+    '{"bom-ref":"' || ref || '","type":"library","name":"' || name || '","purl":"' || pinned || '","hashes":' || hashes || '}' AS line FROM cdx_rows
+  UNION ALL SELECT artifact_id, 3, cve, component_purl, '{"id":"' || cve || '","analysis":{"state":"' ||
+    CASE verdict WHEN 'NOT_AFFECTED' THEN 'not_affected","justification":"code_not_present' WHEN 'AFFECTED' THEN 'exploitable' ELSE 'in_triage' END ||
+    '","detail":"' || detail || '","firstIssued":"' || stamp || '","lastUpdated":"' || stamp || '"},"affects":[{"ref":"' || ref || '"}]}' FROM cdx_rows)"""
+
+
+@query("k05_cyclonedx_lines", Q.select([*_INPUTS, _CDX_REFS], """
+SELECT artifact_id, section, k1, k2, CASE WHEN row_number() OVER (PARTITION BY artifact_id, section ORDER BY k1, k2) = 1 THEN '' ELSE ',' END || line AS line FROM cdx_items
+UNION ALL SELECT artifact_id, 0, '', '', '{"bomFormat":"CycloneDX","specVersion":"1.6","serialNumber":"urn:uuid:' || h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' ||
+  substr('89ab', CAST('0x' || h[17] AS INTEGER) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] || '","version":1,"metadata":{"timestamp":"' || stamp ||
+  '","component":{"bom-ref":"cw:artifact","type":"application","name":"scanned-artifact","purl":"pkg:generic/artifact@0?checksum=sha256%3A' || artifact_sha256 || '","hashes":' || hashes ||
+  '},"tools":[{"vendor":"clearwright","name":"clearwright","version":"1"}]},"components":[' FROM cdx_heads
+UNION ALL SELECT artifact_id, 2, '', '', '],"vulnerabilities":[' FROM cdx_heads
+UNION ALL SELECT artifact_id, 9, '', '', ']}' FROM cdx_heads"""))
 def _(spark, sf):
-    lines = X.cyclonedx_lines(document_inputs(spark, sf))
-    return lines.where(F.col("section") == 3).select("artifact_id", "section", "k1", "k2", "line")
-
-
-@query("k06_csaf_lines")
+    return X.cyclonedx_lines(document_inputs(spark, sf)).select("artifact_id", "section", "k1", "k2", "line")
+
+
+_CSAF_ROWS = """csaf_rows AS (
+  SELECT *, CASE verdict WHEN 'NOT_AFFECTED' THEN 'known_not_affected' WHEN 'AFFECTED' THEN 'known_affected' ELSE 'under_investigation' END AS status,
+    'CWPID-' || upper(left(sha256('product-id' || chr(0) || pinned), 16)) AS pid, CASE WHEN version = '' THEN '0' ELSE version END AS release FROM inputs),
+csaf_groups AS (SELECT artifact_id, cve, status, count(justification) > 0 AS flagged FROM csaf_rows GROUP BY artifact_id, cve, status),
+csaf_items AS (
+  SELECT DISTINCT artifact_id, 1 AS section, pid AS k1, '' AS k2, 0 AS part, '' AS k3, '{"category":"vendor","name":"clearwright","branches":[{"category":"product_name","name":"' || name ||
+    '","branches":[{"category":"product_version","name":"' || release || '","product":{"name":"' || name || ' ' || release || '","product_id":"' || pid ||
+    '","product_identification_helper":{"purl":"' || pinned || '"}}}]}]}' AS line, 'tree' AS list FROM csaf_rows
+  UNION ALL SELECT artifact_id, 3, cve, status, 0, '', '{"cve":"' || cve || '","product_status":{"' || status || '":[', 'vulnerabilities' FROM csaf_groups
+  UNION ALL SELECT DISTINCT artifact_id, 3, cve, status, 1, pid, '"' || pid || '"', 'ids ' || cve || ' ' || status FROM csaf_rows
+  UNION ALL SELECT artifact_id, 3, cve, status, 3, component_purl, '{"label":"' || justification || '","product_ids":["' || pid || '"]}', 'flags ' || cve || ' ' || status
+    FROM csaf_rows WHERE verdict = 'NOT_AFFECTED' AND justification IS NOT NULL
+  UNION ALL SELECT artifact_id, 3, cve, status, 5, component_purl, '{"category":"impact","details":"' || detail || '","product_ids":["' || pid || '"]}', 'threats ' || cve || ' ' || status FROM csaf_rows)"""
+
+
+@query("k06_csaf_lines", Q.select([*_INPUTS, _CSAF_ROWS], """
+SELECT artifact_id, section, k1, k2, part, k3,
+  CASE WHEN row_number() OVER (PARTITION BY artifact_id, list ORDER BY k1, k2, part, k3) = 1 THEN '' ELSE ',' END || line AS line FROM csaf_items
+UNION ALL SELECT DISTINCT artifact_id, 0, '', '', 0, '', '{"document":{"category":"csaf_vex","csaf_version":"2.0","title":"VEX","publisher":{"category":"vendor","name":"clearwright","namespace":"https://example.org/clearwright"},"tracking":{"id":"CW-VEX-' ||
+  upper(left(sha256('csaf' || chr(0) || bundle_id || chr(0) || artifact_sha256 || chr(0) || stamp), 16)) || '","version":"1","status":"final","initial_release_date":"' || stamp || '","current_release_date":"' || stamp ||
+  '","revision_history":[{"number":"1","date":"' || stamp || '","summary":"Initial version."}]}},"product_tree":{"branches":[' FROM inputs
+UNION ALL SELECT DISTINCT artifact_id, 2, '', '', 0, '', ']},"vulnerabilities":[' FROM inputs
+UNION ALL SELECT artifact_id, 3, cve, status, 2, '', CASE WHEN flagged THEN ']},"flags":[' ELSE ']}' END FROM csaf_groups
+UNION ALL SELECT artifact_id, 3, cve, status, 4, '', CASE WHEN flagged THEN '],"threats":[' ELSE ',"threats":[' END FROM csaf_groups
+UNION ALL SELECT artifact_id, 3, cve, status, 6, '', ']}' FROM csaf_groups
+UNION ALL SELECT DISTINCT artifact_id, 9, '', '', 0, '', ']}' FROM inputs"""))
 def _(spark, sf):
     return X.csaf_lines(document_inputs(spark, sf))
 

@@ -17,6 +17,7 @@ from clearwright.functions import verdict as V
 from clearwright.functions.text import strip_space
 
 AUTHOR = "clearwright"
+VERSION = "1"
 ORDER = ("artifact_id", "section", "k1", "k2", "part", "k3")
 
 
@@ -33,6 +34,11 @@ def document_inputs(statements: DataFrame, bundles: DataFrame, hashes: DataFrame
         V.impact_detail(F.col("rule_id"), F.lit(version), F.col("bundle_id")).alias("detail"))
 
 
+def _note(disclaimer: str | None) -> Column:
+    """The caller's disclaimer; NULL fields do not appear in documents."""
+    return F.lit(disclaimer).cast("string")
+
+
 def _headers(inputs: DataFrame) -> DataFrame:
     """One row per document; partial aggregation keeps hot artifacts cheap."""
     return inputs.groupBy("artifact_id", "bundle_id", "artifact_sha256", "timestamp").agg(
@@ -67,10 +73,12 @@ def _opened(head: Column, rest: str) -> Column:
     return F.concat(F.left(text, F.length(text) - 1), F.lit(rest))
 
 
-def openvex_lines(inputs: DataFrame) -> DataFrame:
+def openvex_lines(inputs: DataFrame, disclaimer: str | None = None) -> DataFrame:
+    """OpenVEX lines; a disclaimer goes into `tooling`."""
+    tooling = F.concat(F.lit(f"{AUTHOR} {VERSION} | "), _note(disclaimer))
     head = F.struct(
         F.lit("https://openvex.dev/ns/v0.2.0").alias("@context"), I.document_id("openvex", _seed("openvex")).alias("@id"),
-        F.lit(AUTHOR).alias("author"), F.lit("document creator").alias("role"), F.col("timestamp"), F.lit(1).alias("version"))
+        F.lit(AUTHOR).alias("author"), F.lit("document creator").alias("role"), F.col("timestamp"), F.lit(1).alias("version"), tooling.alias("tooling"))
     product = F.struct(
         F.col("pinned").alias("@id"), F.struct(F.col("pinned").alias("purl")).alias("identifiers"),
         F.struct(F.col("artifact_sha256").alias("sha-256")).alias("hashes"))
@@ -86,7 +94,10 @@ def openvex_lines(inputs: DataFrame) -> DataFrame:
     return _line(h, 0, _opened(head, ',"statements":[')).unionByName(statements).unionByName(_line(h, 9, F.lit("]}")))
 
 
-def cyclonedx_lines(inputs: DataFrame) -> DataFrame:
+def cyclonedx_lines(inputs: DataFrame, disclaimer: str | None = None) -> DataFrame:
+    """CycloneDX lines; a disclaimer is a metadata property."""
+    tool = F.struct(F.lit(AUTHOR).alias("vendor"), F.lit(AUTHOR).alias("name"), F.lit(VERSION).alias("version"))
+    said = F.when(_note(disclaimer).isNotNull(), F.array(F.struct(F.lit(f"{AUTHOR}:disclaimer").alias("name"), _note(disclaimer).alias("value"))))
     def digest() -> Column:
         return F.array(F.struct(F.lit("SHA-256").alias("alg"), F.col("artifact_sha256").alias("content")))
 
@@ -95,7 +106,7 @@ def cyclonedx_lines(inputs: DataFrame) -> DataFrame:
         F.concat(F.lit("pkg:generic/artifact@0?checksum=sha256%3A"), F.col("artifact_sha256")).alias("purl"), digest().alias("hashes"))
     head = F.struct(
         F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"), I.uuid_from(_seed("cyclonedx")).alias("serialNumber"),
-        F.lit(1).alias("version"), F.struct(F.col("timestamp"), top.alias("component")).alias("metadata"))
+        F.lit(1).alias("version"), F.struct(F.col("timestamp"), top.alias("component"), F.array(tool).alias("tools"), said.alias("properties")).alias("metadata"))
     ref = I.component_ref(F.col("pinned"))
     component = F.to_json(F.struct(
         ref.alias("bom-ref"), F.lit("library").alias("type"), "name", F.col("pinned").alias("purl"), digest().alias("hashes")))
@@ -126,7 +137,9 @@ def csaf_groups(inputs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("products"), F.sum("n").alias("threats"), F.sum("flags").alias("flags"))
 
 
-def csaf_lines(inputs: DataFrame) -> DataFrame:
+def csaf_lines(inputs: DataFrame, disclaimer: str | None = None) -> DataFrame:
+    """CSAF lines; a disclaimer is a note of the document."""
+    notes = F.when(_note(disclaimer).isNotNull(), F.array(F.struct(F.lit("legal_disclaimer").alias("category"), _note(disclaimer).alias("text"))))
     publisher = F.struct(F.lit("vendor").alias("category"), F.lit(AUTHOR).alias("name"), F.lit("https://example.org/clearwright").alias("namespace"))
     revision = F.struct(F.lit("1").alias("number"), F.col("timestamp").alias("date"), F.lit("Initial version.").alias("summary"))
     tracking = F.struct(
@@ -135,7 +148,7 @@ def csaf_lines(inputs: DataFrame) -> DataFrame:
         F.array(revision).alias("revision_history"))
     head = F.struct(F.struct(
         F.lit("csaf_vex").alias("category"), F.lit("2.0").alias("csaf_version"), F.lit("VEX").alias("title"),
-        publisher.alias("publisher"), tracking.alias("tracking")).alias("document"))
+        publisher.alias("publisher"), tracking.alias("tracking"), notes.alias("notes")).alias("document"))
     pid = I.product_id(F.col("pinned"))
     release = F.when(F.col("version") == "", "0").otherwise(F.col("version"))
     product = F.struct(
@@ -176,9 +189,9 @@ def csaf_lines(inputs: DataFrame) -> DataFrame:
     )
 
 
-def refusal_lines(inputs: DataFrame) -> DataFrame:
+def refusal_lines(inputs: DataFrame, disclaimer: str | None = None) -> DataFrame:
     """Refused statements only; a document without refusals has an empty list."""
-    head = F.struct(F.lit("refusals-v1").alias("format"), "bundle_id", F.col("n_refusals").alias("count"))
+    head = F.struct(F.lit("refusals-v1").alias("format"), "bundle_id", F.col("n_refusals").alias("count"), _note(disclaimer).alias("disclaimer"))
     refused = inputs.where(F.col("verdict") == V.UNDER_INVESTIGATION)
     body = F.to_json(F.struct(
         "statement_id", "cve", F.col("pinned").alias("component_purl"), "reason_code", "rule_id", "manifest_version", "bundle_id", "detail"))

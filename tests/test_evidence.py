@@ -88,3 +88,14 @@ def test_integrity_precedence(spark):
     disk = spark.createDataFrame([("n", "h"), ("m", "x"), ("o", "h")], "artifact_id string, actual_sha256 string")
     got = {r["artifact_id"]: r["outcome"] for r in E.integrity(cat, disk).collect()}
     assert got == {"n": "artifact-unhashed", "g": "artifact-absent", "m": "artifact-hash-mismatch", "o": "ok"}
+
+
+def test_disclaimer_is_in_every_document(spark, tmp_path):
+    i, said = inputs(spark), "not legal advice"
+    docs = {name: written(lines(i, said), str(tmp_path / name))["a"] for name, lines in (
+        ("o", X.openvex_lines), ("c", X.cyclonedx_lines), ("s", X.csaf_lines), ("r", X.refusal_lines))}
+    assert docs["o"]["tooling"].endswith(said)
+    assert docs["c"]["metadata"]["properties"] == [{"name": "clearwright:disclaimer", "value": said}]
+    assert docs["c"]["metadata"]["tools"][0]["name"] == "clearwright"
+    assert docs["s"]["document"]["notes"] == [{"category": "legal_disclaimer", "text": said}]
+    assert docs["r"]["disclaimer"] == said
