@@ -22,9 +22,10 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -37,9 +38,9 @@ from tokenizers import Tokenizer
 
 from clearwright.llm.common import small_batches
 
-MEMO = 400_000
+MEMO = 1_200_000
 SHORT = 48
-NO_MERGE = (1 << 62,)
+NO_MERGE = 1 << 62
 NEVER = np.iinfo(np.int64).max
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\s+")
@@ -74,14 +75,16 @@ class SpeculativeBpe:
         self.reach: dict[str, int] = {}  # longest inner token by its first two letters
         for t in self.inner:
             self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
-        self.verdicts: dict[int, bool] = {}
-        self.memo: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.known: set[int] = set()  # token pairs that were checked
+        self.bad: set[int] = set()  # those whose border a merge can cross
+        self.dtype = np.dtype(np.uint16 if max(self.strings) < 65536 else np.uint32)
+        self.memo: dict[str, bytes] = {}  # ids of a chunk, packed
         self.failed = self.proposed = 0
 
     def _merge_tables(self, merges: list[tuple[int, int, int]]) -> None:
         size = max(self.ids.values()) + 1
         self.rank = {(a, b): (r, made) for r, (a, b, made) in enumerate(merges)}
-        self.rank_of = self.rank.get
+        self.coded = {pair: r << 20 | made for pair, (r, made) in self.rank.items()}
         born, left, right = np.full(size, -1), np.full(size, -1), np.full(size, -1)
         for r, (a, b, made) in enumerate(merges):
             if born[made] < 0:
@@ -143,16 +146,16 @@ class SpeculativeBpe:
         """Exact merging: the lowest rank first, from the left among equals."""
         ids = [*map(self.ids.__getitem__, word[:-1]), self.ids[word[-1] + self.end]]
         if len(ids) <= SHORT:
-            rank = self.rank_of
-            ranks = [rank(p, NO_MERGE) for p in zip(ids, ids[1:])]
-            while ranks and (best := min(ranks)) is not NO_MERGE:
-                at = ranks.index(best)
-                ids[at:at + 2] = best[1:]
-                del ranks[at]
+            code = self.coded.get
+            codes = [code(p, NO_MERGE) for p in pairwise(ids)]
+            while codes and (best := min(codes)) != NO_MERGE:
+                at = codes.index(best)
+                ids[at:at + 2] = (best & 0xFFFFF,)
+                del codes[at]
                 if at:
-                    ranks[at - 1] = rank((ids[at - 1], ids[at]), NO_MERGE)
-                if at < len(ranks):
-                    ranks[at] = rank((ids[at], ids[at + 1]), NO_MERGE)
+                    codes[at - 1] = code((ids[at - 1], ids[at]), NO_MERGE)
+                if at < len(codes):
+                    codes[at] = code((ids[at], ids[at + 1]), NO_MERGE)
             return ids
         n = len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -175,26 +178,29 @@ class SpeculativeBpe:
     def words(self, words: list[str]) -> list[list[int]]:
         """Encodings of words in byte letters: speculate, verify, mend."""
         guesses = [self._greedy(w) for w in words]
-        new = {a * 65536 + b for g in guesses if g for a, b in zip(g, g[1:])} - self.verdicts.keys()
+        pairs = [[a << 20 | b for a, b in pairwise(g)] if g else () for g in guesses]
+        new = set().union(*pairs) - self.known
+        if len(self.known) > 4 * MEMO:
+            self.known.clear(), self.bad.clear()
+            new = set().union(*pairs)
         if new:
             keys = np.fromiter(new, dtype=np.int64, count=len(new))
-            if len(self.verdicts) > 4 * MEMO:
-                self.verdicts.clear()
-                return self.words(words)
-            self.verdicts.update(zip(keys.tolist(), self._crossed(keys >> 16, keys & 65535).tolist()))
-        verdict, out = self.verdicts, []
+            self.known |= new
+            self.bad.update(keys[self._crossed(keys >> 20, keys & 0xFFFFF)].tolist())
+        out, fits = [], self.bad.isdisjoint
         self.proposed += len(words)
-        for word, guess in zip(words, guesses):
-            if guess is None or any(verdict[a * 65536 + b] for a, b in zip(guess, guess[1:])):
+        for word, guess, own in zip(words, guesses, pairs):
+            if guess is None or not fits(own):
                 self.failed += 1
                 guess = self._merged(word)
             out.append(guess)
         return out
 
     def _pre_tokens(self, chunk: str) -> list[str]:
-        if max(chunk) < "ɐ":  # here both libraries know the same characters
-            found = self.pattern.findall(unicodedata.normalize("NFC", chunk).lower())
-            return [w.encode().decode("latin-1").translate(self.letters) for w in found]
+        if chunk.isascii() or (max(chunk) < "ɐ" and "İ" not in chunk):  # both libraries know these characters, and none is composed
+            chunk = chunk.lower()
+            found = [chunk] if chunk.isalpha() else self.pattern.findall(chunk)
+            return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in found]
         return [w for w, _ in self.presplit(self.normalize(chunk))]
 
     def learn(self, chunks: set[str]) -> None:
@@ -203,21 +209,20 @@ class SpeculativeBpe:
             self.memo.clear()
         chunks = list(chunks)
         split = [self._pre_tokens(c) for c in chunks]
-        distinct = list({w for words in split for w in words})
-        found = dict(zip(distinct, self.words(distinct)))
-        for chunk, words in zip(chunks, split):
-            ids = tuple(chain.from_iterable(map(found.__getitem__, words)))
-            self.memo[chunk] = ids, " ".join(map(self.strings.__getitem__, ids))
+        distinct = list(set(chain.from_iterable(split)))
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        found = {w: array(code, ids).tobytes() for w, ids in zip(distinct, self.words(distinct))}
+        self.memo.update((c, found[w[0]] if len(w) == 1 else b"".join(map(found.__getitem__, w))) for c, w in zip(chunks, split))
 
     def _chunks(self, text: str) -> list[str]:
         return [c for c in _SPACE.split(text) if c] if _ODD_SPACE.search(text) else text.split()
 
-    def pieces(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
-        """(ids, token strings) of each chunk and special token of each text.
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text.
 
         New chunks of many texts are encoded together; more than MEMO / 2 chunks are taken in parts.
         """
-        out: list[list[tuple[tuple[int, ...], str]]] = [[] for _ in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
         held: list[tuple[int, list[str]]] = []
         size = 0
 
@@ -229,14 +234,14 @@ class SpeculativeBpe:
                 if len(self.memo) < kept + len(missing):  # the memo was emptied
                     self.learn(wanted.difference(self.memo))
             for i, some in held:
-                out[i].extend(p for p in map(self.memo.__getitem__, some) if p[0])
+                out[i].append(b"".join(map(self.memo.__getitem__, some)))
             held.clear()
 
         for i, text in enumerate(texts):
             for part in self.cut.split(text) if self.cut and self.cut.search(text) else [text]:
                 if part in self.special:
                     flush()
-                    out[i].append(((self.special[part],), part))
+                    out[i].append(np.array([self.special[part]], dtype=self.dtype).tobytes())
                     size = 0
                 elif part:
                     chunks = self._chunks(part)
@@ -247,15 +252,21 @@ class SpeculativeBpe:
                             flush()
                             size = 0
         flush()
-        return out
+        return [np.frombuffer(b"".join(parts), dtype=self.dtype).astype(np.int32) for parts in out]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(p[0] for p in self.pieces([text])[0]))
+        return self.ids_of([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def _coder(source: str) -> SpeculativeBpe:
+    """One encoder per Python worker, so that tasks share what it has learned."""
+    return SpeculativeBpe(source)
+
+
 def encode_and_decode(docs: DataFrame, tokenizer_file: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """`docs` with the token ids of the text and the text decoded from them; one pass, no shuffle."""
     small_batches(docs.sparkSession)
@@ -265,13 +276,11 @@ def encode_and_decode(docs: DataFrame, tokenizer_file: str, text: str = "text",
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = SpeculativeBpe(source)
+        coder = _coder(source)
         for batch in batches:
-            ends, flat, texts = [0], [], []
-            for pieces in coder.pieces([t or "" for t in batch.column(given).to_pylist()]):
-                flat.append(np.fromiter(chain.from_iterable(p[0] for p in pieces), dtype=np.int32))
-                ends.append(ends[-1] + len(flat[-1]))
-                texts.append(" ".join(p[1] for p in pieces))
+            flat = coder.ids_of([t or "" for t in batch.column(given).to_pylist()])
+            texts = [coder.decode(i.tolist()) for i in flat]
+            ends = np.cumsum([0, *map(len, flat)])
             values = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists, pa.array(texts, pa.string())], [*kept, ids, decoded])

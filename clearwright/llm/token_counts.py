@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -107,7 +108,9 @@ class Counter(dict):
             out[i] += sum(map(self.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
 def sentencepiece_counter(model: bytes) -> Callable[[list[str]], list[int]]:
+    """One counter per Python worker, so that tasks share what it has learned."""
     return Counter(model).counts
 
 
