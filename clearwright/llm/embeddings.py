@@ -9,8 +9,8 @@ over the mean vector.  Visited vectors are verified by cosine in double precisio
 pair below the threshold is linked.
 
 Codebooks are fitted to at most SAMPLE vectors and measured with QUERIES; every vector is indexed and is a query.  Equal vectors
-of one label are one point with a weight.  A cell with more than BLOCK points is dealt in blocks to several
-tasks, which its visitors all see; blocks return link counts per point and links that join
+of one label are one point with a weight.  A cell with more than BLOCK members or visitors is dealt as a grid of
+member blocks by visitor blocks; blocks return link counts per point and links that join
 parts, never all pairs.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and rows without a
@@ -37,7 +37,7 @@ SAMPLE = 16_384
 QUERIES = 256
 MOST_CENTROIDS = 1024
 PER_CELL = 16
-BLOCK = 2048
+BLOCK = 1024
 
 
 def _units(column: pa.Array, dim: int) -> np.ndarray:
@@ -167,19 +167,20 @@ def _verify(dim: int, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, None
+        block_key = ("class", "cell", "a", "b")
         for batch in batches:
             if not len(batch):
                 continue
-            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("cell", "part", "visitor", "pid", "weight", "home")}
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("cell", "a", "b", "visitor", "pid", "weight", "home")}
             rows["x"] = _units(batch.column("vector"), dim)
-            labels = batch.column("class").to_numpy(zero_copy_only=False)
+            rows["class"] = batch.column("class").to_numpy(zero_copy_only=False)
             new = np.ones(len(batch), dtype=bool)
-            new[1:] = (labels[1:] != labels[:-1]) | (rows["cell"][1:] != rows["cell"][:-1]) | (rows["part"][1:] != rows["part"][:-1]) | (rows["visitor"][1:] != rows["visitor"][:-1])
+            new[1:] = np.any([rows[k][1:] != rows[k][:-1] for k in (*block_key, "visitor")], axis=0)
             starts = np.nonzero(new)[0].tolist()
             visits = batch.column("visits")
             counts, sources, targets = [], [], []
             for s, e in zip(starts, [*starts[1:], len(batch)]):
-                here = (labels[s], rows["cell"][s], rows["part"][s])
+                here = tuple(rows[k][s] for k in block_key)
                 some = {k: rows[k][s:e] for k in ("pid", "weight", "home", "x")}
                 if not rows["visitor"][s]:
                     some["visits"] = visits.slice(s, e - s).flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1)
@@ -211,17 +212,22 @@ def _links(points: DataFrame, dim: int, threshold: float, recall: float, block:
 
     chosen = points.select("pid", "class", "weight", "vector")
     placed = written(chosen.mapInArrow(place, "pid long, class long, weight long, vector array<float>, visits array<int>"), "vectors").withColumn("home", F.element_at("visits", 1))
-    hot = (
-        placed.groupBy(F.col("class").alias("c"), F.col("home").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-        .select("c", "h", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    )
-    one = F.coalesce("parts", F.lit(1))
-    members = placed.join(hot, (placed["class"] == hot.c) & (placed.home == hot.h), "left").select(
-        "class", F.col("home").alias("cell"), F.pmod(F.xxhash64("pid"), one).cast("int").alias("part"), F.lit(False).alias("visitor"), "pid", "weight", "home", "vector", "visits")
     trips = placed.select("class", "pid", "weight", "home", "vector", F.explode("visits").alias("cell"))
-    visitors = trips.join(hot, (trips["class"] == hot.c) & (trips.cell == hot.h), "left").select(
-        "class", "cell", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"), F.lit(True).alias("visitor"), "pid", "weight", "home", "vector", F.array().cast("array<int>").alias("visits"))
-    group = ["class", "cell", "part"]
+    both = placed.select("class", F.col("home").alias("cell"), F.lit(1).alias("m"), F.lit(0).alias("v")).unionByName(
+        trips.select("class", "cell", F.lit(0).alias("m"), F.lit(1).alias("v")))
+    sums = both.groupBy(F.col("class").alias("c"), F.col("cell").alias("h")).agg(F.sum("m").alias("m"), F.sum("v").alias("v"))
+    # A hot cell is a grid of member blocks by visitor blocks; each pair meets in one of them.
+    hot = sums.filter((F.col("m") > block) | (F.col("v") > block)).select(
+        "c", "h", *(F.greatest(F.lit(1), F.ceil(F.col(k) / block)).cast("int").alias(f"{k}_parts") for k in "mv"))
+    m_parts, v_parts = (F.coalesce(f"{k}_parts", F.lit(1)) for k in "mv")
+    own = F.pmod(F.xxhash64("pid"), F.col("n_own")).cast("int")
+    members = placed.join(hot, (placed["class"] == hot.c) & (placed.home == hot.h), "left").withColumn("n_own", m_parts).select(
+        "class", F.col("home").alias("cell"), own.alias("a"), F.explode(F.sequence(F.lit(0), v_parts - 1)).alias("b"),
+        F.lit(False).alias("visitor"), "pid", "weight", "home", "vector", "visits")
+    visitors = trips.join(hot, (trips["class"] == hot.c) & (trips.cell == hot.h), "left").withColumn("n_own", v_parts).select(
+        "class", "cell", F.explode(F.sequence(F.lit(0), m_parts - 1)).alias("a"), own.alias("b"),
+        F.lit(True).alias("visitor"), "pid", "weight", "home", "vector", F.array().cast("array<int>").alias("visits"))
+    group = ["class", "cell", "a", "b"]
     dealt = members.unionByName(visitors).repartition(*group).sortWithinPartitions(*group, "visitor")
     return dealt.mapInArrow(_verify(dim, threshold), "pid long, n long, joined long")
 
