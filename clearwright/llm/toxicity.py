@@ -219,8 +219,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
 def train(sample: DataFrame) -> ToxicityModel:
     """Fit on (text, y), a bounded sample; the driver gets one row per used bucket and the segment scores of each sampled text."""
     small_batches(sample.sparkSession)
-    rows = token_counts(sample).toPandas()
-    model = model_of_counts(*(rows[c].to_numpy(dtype=np.int64) for c in ("bucket", "clean", "toxic")))
+    rows = token_counts(sample).toArrow()
+    model = model_of_counts(*(rows[c].to_numpy() for c in ("bucket", "clean", "toxic")))
+    del rows
     shared = sample.sparkSession.sparkContext.broadcast(model)  # fixed size: 2 * BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,13 +229,13 @@ def train(sample: DataFrame) -> ToxicityModel:
             got = [shared.value.scan(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([g[0].tolist() for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.int64())], ["y", "found", "n"])
 
-    seen = sample.select("text", "y").mapInArrow(run, "y int, found array<double>, n long").toPandas()
-    y = seen["y"].to_numpy(dtype=np.float64)
+    seen = sample.select("text", "y").mapInArrow(run, "y int, found array<double>, n long").toArrow()
+    y = seen["y"].to_numpy().astype(np.float64)
     if not 0 < y.sum() < len(y):
         rate = (y.sum() + 0.5) / (len(y) + 1)
         model.curve = (math.log(rate / (1 - rate)), 0.0, 0.0)
         return model
-    found, n = [np.asarray(f) for f in seen["found"]], seen["n"].to_numpy()
+    found, n = [np.array(f, dtype=np.float64) for f in seen["found"].to_pylist()], seen["n"].to_numpy()
     best = np.array([f.max() if len(f) else 0.0 for f in found])
     model.gumbel_lambda, model.gumbel_k = fit_gumbel(best[y == 0], n[y == 0])
     x = np.array([model.features(f, k) for f, k in zip(found, n.tolist())])
