@@ -3,12 +3,15 @@
 Each half of a unit vector has a codebook of K centroids, so the grid has K * K cells.  A vector lies in the
 cell of its nearest two centroids and visits cells in the order of the summed half distances (the
 multi-sequence order: the pair of ranks (i, j) is among the first T only if (i + 1)(j + 1) <= T, so these pairs
-are ranked).  How many cells T are visited is measured: sampled vectors are compared with all
-vectors exactly, and T is the smallest number of cells that reaches `recall` both over all their pairs and
-over the mean vector.  Visited vectors are verified by cosine in double precision, so no
+are ranked).  How many cells T are visited is measured: sampled points are compared with all
+other points exactly, and T is the smallest number of cells that reaches `recall` both over all their pairs and
+over the mean point with a partner.  A point's match with itself and exact copies (one point) do not count.
+Where QUERIES points show fewer than PARTNERED with a partner, MOST_QUERIES are compared; where these are
+still too few and not all points, T must also reach `recall` for near copies made of the sampled vectors at a cosine of just
+the threshold.  Visited vectors are verified by cosine in double precision, so no
 pair below the threshold is linked.
 
-Codebooks are fitted to at most SAMPLE vectors and measured with QUERIES; every vector is indexed and is a query.  Equal vectors
+Codebooks are fitted to at most SAMPLE vectors; every vector is indexed and is a query.  Equal vectors
 of one label are one point with a weight.  A cell with more than BLOCK members or visitors is dealt as a grid of
 member blocks by visitor blocks; blocks return link counts per point and links that join
 parts, never all pairs.
@@ -24,6 +27,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,9 @@ THRESHOLD = 0.93
 RECALL = 0.99
 SAMPLE = 16_384
 QUERIES = 256
+MOST_QUERIES = 4096
+PARTNERED = 128
+NEAR_COPIES = 1024
 MOST_CENTROIDS = 1024
 PER_CELL = 16
 BLOCK = 1024
@@ -95,45 +102,69 @@ class Grid:
         return 1 + sum(np.searchsorted(order, sums - d - 1e-12) for d in a)
 
 
-def _fit(points: DataFrame, dim: int) -> tuple[Grid, np.ndarray, list] | None:
+def _fit(points: DataFrame, dim: int) -> tuple[Grid, np.ndarray, list, np.ndarray, int] | None:
+    """The grid; unit vectors, labels and pids of at most MOST_QUERIES sampled points; the number of points."""
     total = points.count()
     if not total:
         return None
     share = min(1.0, SAMPLE / total)
     drawn = points.filter(F.pmod(F.xxhash64(F.lit("fit"), "vector"), F.lit(1_000_003)) <= int(share * 1_000_003))
-    drawn = drawn.orderBy(F.xxhash64("vector", "label")).limit(SAMPLE).select("vector", "label").toArrow()
+    drawn = drawn.orderBy(F.xxhash64("vector", "label")).limit(SAMPLE).select("vector", "label", "pid").toArrow()
     if not len(drawn):
-        drawn = points.limit(SAMPLE).select("vector", "label").toArrow()
+        drawn = points.limit(SAMPLE).select("vector", "label", "pid").toArrow()
     x = _units(drawn["vector"].combine_chunks(), dim)
     size = min(MOST_CENTROIDS, 1 << max(1, math.ceil(math.log2(math.sqrt(total / PER_CELL) + 1))))
     grid = Grid(codebook(x[:, :dim // 2], size), codebook(x[:, dim // 2:], size, seed=6))
-    return grid, x[:QUERIES], drawn["label"].to_pylist()[:QUERIES]
+    return grid, x[:MOST_QUERIES], drawn["label"].to_pylist()[:MOST_QUERIES], drawn["pid"].to_numpy()[:MOST_QUERIES], total
 
 
-def _cells_for_recall(points: DataFrame, grid: Grid, queries: np.ndarray, labels: list, dim: int, threshold: float, recall: float) -> int:
-    """Cells to visit, from an exact comparison of the sampled queries with all points."""
+def _pair_ranks(points: DataFrame, grid: Grid, queries: np.ndarray, labels: list, pids: np.ndarray, dim: int, threshold: float) -> pd.DataFrame:
+    """(q, rank, n): how many other points within the threshold of query q lie in the cell it visits at that rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            x, weight = _units(batch.column("vector"), dim), batch.column("weight").to_numpy()
-            own = np.array(batch.column("label").to_pylist(), dtype=object)
-            home, close = grid.home(x), queries @ x.T >= threshold
-            for q in np.nonzero(close.any(axis=1))[0].tolist():
-                hit = np.nonzero(close[q] & (own == labels[q]))[0]
-                if len(hit):
-                    rank, at = np.unique(grid.ranks(queries[q], home[hit]), return_inverse=True)
-                    n = np.bincount(at, weights=weight[hit])
-                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(rank), pa.int32()), pa.array(rank, pa.int64()), pa.array(n.astype(np.int64))], ["q", "rank", "n"])
-
-    got = points.select("vector", "label", "weight").mapInArrow(run, "q int, rank long, n long").groupBy("q", "rank").agg(F.sum("n").alias("n")).toPandas()
-    if got.empty:
-        return min(grid.cells, PER_CELL)
-    got["share"] = got["n"] / got.groupby("q")["n"].transform("sum")
-    by_rank = got.groupby("rank")[["n", "share"]].sum().sort_index().cumsum()
-    enough = (by_rank >= recall * by_rank.iloc[-1]).all(axis=1)
-    return int(min(grid.cells, max(2, enough.idxmax())))
+            x, pid = _units(batch.column("vector"), dim), batch.column("pid").to_numpy()
+            own, home = np.array(batch.column("label").to_pylist(), dtype=object), grid.home(x)
+            for at in range(0, len(queries), QUERIES):
+                close = queries[at:at + QUERIES] @ x.T >= threshold
+                for q in (np.nonzero(close.any(axis=1))[0] + at).tolist():
+                    hit = np.nonzero(close[q - at] & (own == labels[q]) & (pid != pids[q]))[0]
+                    if len(hit):
+                        cells, n = np.unique(home[hit], return_counts=True)
+                        rank = grid.ranks(queries[q], cells)
+                        yield pa.RecordBatch.from_arrays([pa.array([q] * len(rank), pa.int32()), pa.array(rank, pa.int64()), pa.array(n, pa.int64())], ["q", "rank", "n"])
+
+    return points.select("vector", "label", "pid").mapInArrow(run, "q int, rank long, n long").groupBy("q", "rank").agg(F.sum("n").alias("n")).toPandas()
+
+
+def _near_copy_ranks(grid: Grid, x: np.ndarray, threshold: float) -> np.ndarray:
+    """Cells visited until one of a vector and a made copy at a cosine of `threshold` sees the other."""
+    turn = np.random.default_rng(11).normal(size=x.shape)
+    turn -= (turn * x).sum(axis=1, keepdims=True) * x
+    turn /= np.maximum(np.sqrt((turn * turn).sum(axis=1, keepdims=True)), 1e-12)
+    copies = threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * turn
+    home, home_of_copy = grid.home(x), grid.home(copies)
+    return np.array([min(grid.ranks(a, h[None])[0], grid.ranks(b, g[None])[0]) for a, b, g, h in zip(x, copies, home, home_of_copy)])
+
+
+def _cells_for_recall(points: DataFrame, grid: Grid, queries: np.ndarray, labels: list, pids: np.ndarray, total: int, dim: int, threshold: float, recall: float) -> int:
+    """Cells to visit, from an exact comparison of the sampled queries with all other points."""
+    got = _pair_ranks(points, grid, queries[:QUERIES], labels[:QUERIES], pids[:QUERIES], dim, threshold)
+    if got["q"].nunique() < PARTNERED and len(queries) > QUERIES:
+        more = _pair_ranks(points, grid, queries[QUERIES:], labels[QUERIES:], pids[QUERIES:], dim, threshold)
+        got = pd.concat((got, more.assign(q=more["q"] + QUERIES)))
+    cells = 2
+    if len(got):
+        got["share"] = got["n"] / got.groupby("q")["n"].transform("sum")
+        by_rank = got.groupby("rank")[["n", "share"]].sum().sort_index().cumsum()
+        enough = (by_rank >= recall * by_rank.iloc[-1] - 1e-9).all(axis=1)
+        cells = max(cells, enough.idxmax())
+    if got["q"].nunique() < PARTNERED and len(queries) < total:
+        ranks = np.sort(_near_copy_ranks(grid, queries[:NEAR_COPIES], threshold))
+        cells = max(cells, ranks[math.ceil(recall * len(ranks)) - 1])
+    return int(min(grid.cells, cells))
 
 
 def _verify(dim: int, threshold: float):
@@ -201,8 +232,8 @@ def _links(points: DataFrame, dim: int, threshold: float, recall: float, block:
     fitted = _fit(points, dim)
     if fitted is None:
         return None
-    grid, queries, labels = fitted
-    visits = _cells_for_recall(points, grid, queries, labels, dim, threshold, recall)
+    grid, queries, labels, pids, total = fitted
+    visits = _cells_for_recall(points, grid, queries, labels, pids, total, dim, threshold, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -103,3 +103,21 @@ def exact(rows):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(df).collect() == []
+
+
+@pytest.mark.parametrize("most", [4096, 256])
+def test_recall_where_few_rows_have_a_partner_on_a_fine_grid(spark, monkeypatch, most):
+    """One noisy copy for 1 % of the rows, and one vector with many exact copies; measured on all points and on made near copies."""
+    monkeypatch.setattr(embeddings, "PER_CELL", 0.5)
+    monkeypatch.setattr(embeddings, "MOST_QUERIES", most)
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(4000, 64))
+    noise = rnd.normal(size=(40, 64))
+    noise *= (np.linalg.norm(x[:40], axis=1) / np.linalg.norm(noise, axis=1) * rnd.uniform(0.3, 0.38, 40))[:, None]
+    vectors = np.concatenate((x, x[:40] + noise)).astype(np.float32).tolist()
+    rows = [(i, v, 0) for i, v in enumerate(vectors + [vectors[-1]] * 3 + [vectors[2000]] * 3000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = exact(rows)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table).collect()}
+    few = [v for v in want if 0 < want[v] < 10]
+    assert len(few) > 70 and sum(got[v] for v in few) >= 0.97 * sum(want[v] for v in few)
