@@ -14,6 +14,7 @@ from clearwright.llm import bpe, decontaminate, pii, quality, simhash
 from clearwright.llm.common import labelled_sample, table, written
 
 KEEP_FROM = 0.3
+SIMILARITY = 0.8
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The representative of every near-duplicate group."""
-    return simhash.keep_representatives(docs)
+    """The representative of every near-duplicate group: fingerprints as op2 links them, or sets of five-word shingles similar by SIMILARITY."""
+    return simhash.keep_representatives(docs, SIMILARITY)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
