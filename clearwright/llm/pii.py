@@ -8,11 +8,11 @@ Disclosing terms: a protected entity is a normalised base value.  Over the corpu
 of distinct texts, n_e those with entity e, n_t those with term t, and n_et those with t within CONTEXT
 characters of e.  PMI(e; t) = log(N n_et / (n_e n_t)) is at most IC(e) = log(N / n_e), and
 reaches it if t never occurs without e; PMI / IC is the share of the entity's information that the
-term gives away.  From GENERALISE on a term near its entity becomes a placeholder, from REMOVE on
-it is deleted.  Both n_e and n_et must reach SUPPORT texts, so that one text alone proves nothing.
+term gives away.  From GENERALISE on a term becomes a placeholder, from REMOVE on
+it is deleted, wherever it occurs outside of base spans, in texts without the entity too; its largest share over all entities counts.  Both n_e and n_et must reach SUPPORT texts, so that one text alone proves nothing.
 Copies of a text count once.  All counts cover the whole corpus, pre-aggregated per key.
 
-A term is a run of at least TERM_LENGTH letters that lies wholly in the context and outside of base spans.
+A term is a run of letters of any length that lies wholly in the context and outside of base spans.
 
 Cases: null texts are empty and have no spans; rows that share an id are told apart by their texts;
 repeated rows get equal results; an empty table gives an empty result.  Only the named columns are read.
@@ -28,7 +28,6 @@ from clearwright.llm.common import text_digest, written
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 60
-TERM_LENGTH = 4
 SUPPORT = 3
 GENERALISE = 0.7
 REMOVE = 0.95
@@ -46,9 +45,21 @@ _PATTERNS = {
 _HINTS = {"email": "@", "phone": "+"}
 _RARE = {"ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){13}"}
 _SPAN = "array<struct<s:int,e:int,v:string>>"
+_TERMS = "array<struct<s:int,e:int,share:double>>"
 _DOC = ["doc_id", "digest"]
 
 
+def _words(text: str) -> Column:
+    """Distinct lower-cased runs of letters."""
+    runs = F.split(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}]+")
+    return F.array_distinct(F.transform(F.filter(runs, lambda w: w != ""), F.lower))
+
+
+def _checked(small: DataFrame) -> DataFrame:
+    """A broadcast hint where the stored table is within a fixed bound; else the join shuffles."""
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Array of (s, e, v) of all matches: pieces between matches and matches alternate."""
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
@@ -115,8 +126,11 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def around(x: Column) -> Column:
         begin = F.greatest(F.lit(0), x["s"] - CONTEXT)
-        return F.struct(begin.alias("begin"), F.substring(F.col("t"), begin + 1, x["s"] - begin).alias("left"),
-                        F.substring(F.col("t"), x["e"] + 1, F.lit(CONTEXT)).alias("right"))
+        left, right = F.substring(F.col("t"), begin + 1, x["s"] - begin), F.substring(F.col("t"), x["e"] + 1, F.lit(CONTEXT))
+        # A space stands for the start and the end of the text.
+        at_start, at_end = begin == 0, x["e"] + CONTEXT >= F.char_length("t")
+        return F.struct((begin - at_start.cast("int")).alias("begin"), F.when(at_start, F.concat(F.lit(" "), left)).otherwise(left).alias("left"),
+                        F.when(at_end, F.concat(right, F.lit(" "))).otherwise(right).alias("right"))
 
     near = F.when(F.size("base") > 0, F.transform("base", around))
     return written(rows.select(*_DOC, "base", near.alias("near")), "pii")
@@ -129,8 +143,8 @@ def mentions(found: DataFrame) -> DataFrame:
     value = F.when(span["k"].isin(KINDS.index("card"), KINDS.index("phone")), _digits(span["v"])).otherwise(F.lower(span["v"]))
     entity = F.concat_ws(":", _kind(span["k"]), value)
     # The context may cut a word, so a term needs a neighbour on the cut side.
-    left = F.transform(_matches(near["left"], rf"(?<=[^\p{{L}}])\p{{L}}{{{TERM_LENGTH},}}+"), lambda x: F.struct((x["s"] + near["begin"]).alias("s"), (x["e"] + near["begin"]).alias("e"), x["v"].alias("v")))
-    right = F.transform(_matches(near["right"], rf"(?<!\p{{L}})\p{{L}}{{{TERM_LENGTH},}}+(?=[^\p{{L}}])"), lambda x: F.struct((x["s"] + span["e"]).alias("s"), (x["e"] + span["e"]).alias("e"), x["v"].alias("v")))
+    left = F.transform(_matches(near["left"], r"(?<=[^\p{L}])\p{L}++"), lambda x: F.struct((x["s"] + near["begin"]).alias("s"), (x["e"] + near["begin"]).alias("e"), x["v"].alias("v")))
+    right = F.transform(_matches(near["right"], r"(?<!\p{L})\p{L}++(?=[^\p{L}])"), lambda x: F.struct((x["s"] + span["e"]).alias("s"), (x["e"] + span["e"]).alias("e"), x["v"].alias("v")))
     free = F.filter(F.concat(left, right), lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     terms = each.select(*_DOC, entity.alias("entity"), F.explode(free).alias("x"))
     return terms.select(*_DOC, "entity", F.lower("x.v").alias("term"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
@@ -151,30 +165,45 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, near: DataFrame, text: s
     pairs = n_et.join(n_e, "entity").join(near_any, "term").filter(most >= threshold * information - 1e-9).drop("n_near")
     pairs = written(pairs, "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-terms")
-    listed = terms.select(F.col("term").alias("listed"))
-    if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        listed = F.broadcast(listed)
+    listed = _checked(terms.select(F.col("term").alias("listed")))
     if terms.isEmpty():  # nothing to count: no entity has support
         n_t = terms.select("term", F.lit(0).alias("n_t"))
     else:
-        words = docs.select(text_digest(text).alias("digest"), F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+")).alias("term"))
-        n_t = words.filter(F.char_length("term") >= TERM_LENGTH).join(listed, F.col("term") == F.col("listed")).select("term", "digest").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+        words = docs.select(text_digest(text).alias("digest"), F.explode(_words(text)).alias("term"))
+        n_t = words.join(listed, F.col("term") == F.col("listed")).select("term", "digest").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     pmi = F.log(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = F.when(information > 0, pmi / information).otherwise(0.0)
     return written(pairs.join(n_t, "term").select("entity", "term", share.alias("share")).filter(F.col("share") >= threshold), "pii-disclosing")
 
 
+def occurrences(docs: DataFrame, told: DataFrame, text: str = "text") -> DataFrame:
+    """(d, g, every) by doc_id and digest: (s, e, share) of every occurrence of a told term, in order; only texts with one, each once."""
+    best = written(told.groupBy(F.col("term").alias("listed")).agg(F.max("share").alias("share")), "pii-told")
+    rows = docs.select("doc_id", text_digest(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    held = rows.select(*_DOC, F.explode(_words("t")).alias("word")).join(_checked(best), F.col("word") == F.col("listed"))
+    held = held.groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(F.map_from_entries(F.collect_set(F.struct("word", "share"))).alias("told"))
+    kept = rows.dropDuplicates(_DOC).join(held, rows.doc_id.eqNullSafe(held.d) & (rows.digest == held.g))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_TERMS).alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        e, share = acc["at"] + F.char_length(piece), F.try_element_at("told", F.lower(piece))
+        one = F.array(F.struct(acc["at"].alias("s"), e.alias("e"), share.alias("share")))
+        return F.struct(e.alias("at"), F.when(share.isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+
+    # Runs of letters and what lies between them alternate.
+    pieces = F.split("t", r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})", -1)
+    return kept.select(F.col("d"), F.col("g"), F.aggregate(pieces, start, step, lambda acc: acc["out"]).alias("every"))
+
+
 def all_spans(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """(doc_id, digest, base, terms), a row per row of `docs`: base spans and (s, e, share) of disclosing terms in order."""
     found = detect(docs, text)
     near = written(mentions(found), "pii-mentions")
     told = disclosing_terms(docs, found, near, text, **options)
-    extra = (
-        near.join(told, ["entity", "term"]).groupBy(*_DOC, "s", "e").agg(F.max("share").alias("share"))
-        .groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(F.array_sort(F.collect_list(F.struct("s", "e", "share"))).alias("terms"))
-    )
-    none = F.array().cast("array<struct<s:int,e:int,share:double>>")
-    return found.join(extra, found.doc_id.eqNullSafe(extra.d) & (found.digest == extra.g), "left").select(*_DOC, "base", F.coalesce("terms", none).alias("terms"))
+    extra = occurrences(docs, told, text)
+    both = found.join(extra, found.doc_id.eqNullSafe(extra.d) & (found.digest == extra.g), "left")
+    free = F.filter(F.coalesce("every", F.array().cast(_TERMS)), lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return both.select(*_DOC, "base", free.alias("terms"))
 
 
 def count_of(kind: str) -> Column:

@@ -124,3 +124,18 @@ def test_query(spark):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(w[3] == k for w in want) for k in pii.KINDS]
         assert ",".join(x for x in r.spans.split(",") if not x.startswith("term:")) == text
+
+
+def test_told_terms_are_marked_wherever_they_stand(spark):
+    """Short names at the start and end of a text, far from the address, and in a text without it."""
+    rnd = random.Random(12)
+    filler = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    data = [(i, f"Ann \U0001f600 mails ann@sea.org {filler(40)} then Ann. {filler(3)}") for i in range(4)]
+    data += [(10 + i, f"{filler(40)} to bo@sky.org Lee") for i in range(4)]
+    data += [(20, f"Lee met ANN, not Annie; {filler(5)}"), *((30 + i, f"{filler(30)} mails then to met not") for i in range(40))]
+    texts = {r.doc_id: r.text for r in pii.sanitise(documents(spark, data)).collect()}
+    words = {i: re.findall(r"[^\W\d_]+", t.lower()) for i, t in texts.items()}
+    assert not any({"ann", "lee"} & set(w) for w in words.values())
+    assert all("[EMAIL]" in texts[i] for i in (0, 1, 2, 3, 10, 11, 12, 13)) and "annie" in words[20] and "met" in words[20]
+    assert texts[0] == data[0][1].replace("Ann", "[TERM]").replace("ann@sea.org", "[EMAIL]")
+    assert all(texts[i] == t for i, t in data if i >= 30)
