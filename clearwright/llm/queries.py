@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearwright.llm import bpe, decontaminate, embeddings, pii, quality, sharding, simhash, token_counts, toxicity, warc
+from clearwright.llm import bpe, byte_bpe, decontaminate, embeddings, pii, quality, sharding, simhash, token_counts, toxicity, warc
 from clearwright.llm.common import held_out, labelled_sample, shared_folder, table
 
 QUERIES = {}
@@ -140,3 +140,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.interleave(table(spark, folder, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op13_byte_bpe_round_trip")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return coded.select("doc_id", byte_bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
