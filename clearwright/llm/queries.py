@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearwright.llm import bpe, byte_bpe, decontaminate, embeddings, pii, quality, sharding, simhash, token_counts, toxicity, warc
+from clearwright.llm import bloom_search, bpe, byte_bpe, decontaminate, embeddings, laesa, pii, quality, sharding, simhash, token_counts, toxicity, warc
 from clearwright.llm.common import held_out, labelled_sample, shared_folder, table
 
 QUERIES = {}
@@ -147,3 +147,63 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     coded = byte_bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return coded.select("doc_id", byte_bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _clusters_sql(centroids: int = 8, rounds: int = 10, seed: int = 3, dim: int = 64, scale: int = 1024) -> str:
+    """The rounds one after the other as materialised steps."""
+    squared = "CAST(list_sum(list_transform(list_zip(v.x, c.x), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, a -> CAST(floor(CAST(a AS DOUBLE) * {scale}) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, a -> a IS NOT NULL AND isfinite(a))) = {dim})""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS c, x
+  FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT {centroids}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(x) AS x, min({{'d': d, 'c': c}}) AS best
+  FROM (SELECT v.rid, v.vec_id, v.x, c.c, {squared} AS d FROM v, c{r} c) GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.c, coalesce(m.x, c{r}.x) AS x
+  FROM c{r} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS x
+    FROM (SELECT best.c AS c, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n FROM a{r}, range(1, {dim + 1}) AS t(j) GROUP BY ALL) GROUP BY c) m ON m.c = c{r}.c)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT a.vec_id, CAST(a.best.c AS INTEGER) AS cluster, a.best.d AS distance, CAST(sum(a.best.d) OVER (PARTITION BY a.best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best.c
+"""
+
+
+@query("op12_laesa_clusters", _clusters_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    placed = laesa.cluster(table(spark, folder, "embeddings"))
+    return placed.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)),
+tf AS (SELECT rid, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM words GROUP BY rid, term),
+sizes AS (SELECT rid, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY rid),
+total AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+items AS (
+  SELECT iid, any_value(item_id) AS item_id, term, count(*) AS times
+  FROM (SELECT iid, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT row_number() OVER () AS iid, item_id, text FROM benchmark))
+  GROUP BY iid, term),
+scored AS (
+  SELECT iid, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * documents) // terms)))) AS BIGINT) AS score
+  FROM items JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (rid), total GROUP BY iid, rid),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op11_bloom_search", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return bloom_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
