@@ -151,11 +151,11 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 
 def _clusters_sql(centroids: int = 8, rounds: int = 10, seed: int = 3, dim: int = 64, scale: int = 1024) -> str:
     """The rounds one after the other as materialised steps."""
-    squared = "CAST(list_sum(list_transform(list_zip(v.x, c.x), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    squared = "CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.x, c.x)]) AS BIGINT)"
     steps = [
         f"""v AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, a -> CAST(floor(CAST(a AS DOUBLE) * {scale}) AS BIGINT)) AS x
-  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, a -> a IS NOT NULL AND isfinite(a))) = {dim})""",
+  SELECT row_number() OVER () AS rid, vec_id, [CAST(floor(CAST(a AS DOUBLE) * {scale}) AS BIGINT) FOR a IN embedding] AS x
+  FROM embeddings WHERE len(embedding) = {dim} AND len([a FOR a IN embedding IF a IS NOT NULL AND isfinite(a)]) = {dim})""",
         f"""c0 AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS c, x
   FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT {centroids}))"""]
