@@ -15,12 +15,10 @@ from clearwright.functions import purl as P
 from clearwright.functions import symbols as S
 from clearwright.functions import verdict as V
 from clearwright.functions.text import blank_to_null, statement_id, strip_space
+from clearwright.operators import factors
 from clearwright.operators.resolve import resolve_purls
 from clearwright.operators.tables import materialize
 
-# Lengths of the pieces of a string on which it meets the literal start of an identity regex.
-GRAMS = (8, 4)
-
 
 @dataclass(frozen=True)
 class Catalogue:
@@ -139,38 +137,10 @@ def symbol_identity_hits(symbols: DataFrame, identity_symbols: DataFrame, wanted
     )
 
 
-def literal_start(pattern: Column) -> Column:
-    """Text that every match of a regex begins with; empty where that is not plain from the pattern."""
-    plain = F.regexp_extract(pattern, r"^([A-Za-z0-9 _/:,;<>=@#%&~-]*)", 1)
-    following = F.substring(pattern, F.length(plain) + 1, F.lit(1))
-    optional = following.isin("?", "*", "{")
-    return F.when(pattern.contains("|"), "").when(optional, F.left(plain, F.length(plain) - 1)).otherwise(plain)
-
-
 def string_pattern_hits(ro_strings: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Distinct (artifact, inventory, pattern) with a read-only string that matches.
-
-    A pattern with a literal start meets only strings that hold its first GRAMS characters: the strings'
-    pieces of that length are equi-joined with them, in one pass over the strings whatever the number
-    of patterns, and the regex runs on these pairs.  Patterns without one become literal expressions
-    behind a common gate, each tested once per string.
-    """
-    each = patterns.select("pattern").distinct().withColumn("start", literal_start(F.col("pattern")))
-    size = F.greatest(*(F.when(F.length("start") >= n, F.lit(n)).otherwise(0) for n in GRAMS))
-    each = each.withColumn("gram", F.when(size > 0, F.left("start", size)))
-    value, at = F.col("value"), F.col("at")
-    pieces = ro_strings.where(F.length("value") >= min(GRAMS)).select(
-        "artifact_id", "inventory_id", "value", F.explode(F.sequence(F.lit(1), F.length("value") - (min(GRAMS) - 1))).alias("at"))
-    grams = F.explode(F.array(*(F.substring(value, at, F.lit(n)) for n in GRAMS)))
-    met = pieces.select("artifact_id", "inventory_id", "value", grams.alias("gram")).join(each.where("gram IS NOT NULL").select("gram", "pattern"), "gram")
-    hits = met.where(F.expr("value RLIKE pattern")).select("artifact_id", "inventory_id", "pattern")
-
-    bare = [r["pattern"] for r in each.where("gram IS NULL").select("pattern").collect()]  # configuration, usually none
-    if bare:
-        gate = value.rlike("|".join(f"(?:{p})" for p in bare))
-        tested = F.array_compact(F.array(*(F.when(value.rlike(p), F.lit(p)) for p in bare)))
-        hits = hits.unionByName(ro_strings.where(gate).select("artifact_id", "inventory_id", F.explode(tested).alias("pattern")))
-    return hits.distinct()
+    """Distinct (artifact, inventory, pattern) with a read-only string that matches."""
+    texts = ro_strings.select("artifact_id", "inventory_id", "value")
+    return factors.matches(texts, patterns).select("artifact_id", "inventory_id", "pattern").distinct()
 
 
 def string_identity_hits(ro_strings: DataFrame, identity_strings: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

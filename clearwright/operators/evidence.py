@@ -56,7 +56,7 @@ def observations(statements: DataFrame, symbols: DataFrame, members: DataFrame)
 
 def statement_files(statements: DataFrame, slice_rows: DataFrame, artifact_hashes: DataFrame, version: str) -> DataFrame:
     """One row per evidence file: artifact, file path, body and its SHA-256."""
-    folder = F.concat_ws("/", F.lit("statements"), F.col("statement_id"), F.left(F.sha2("component_purl", 256), F.lit(16)))
+    folder = F.concat_ws("/", F.lit("statements"), F.col("statement_id"), F.sha2("component_purl", 256))
     joined = statements.join(slice_rows, ["component", "cve"], "left").join(artifact_hashes, "artifact_id", "left")
     files = F.array(
         _file("statement.json", F.to_json(F.struct(*STATEMENT))),
@@ -148,17 +148,21 @@ def all_verified(verified: DataFrame) -> DataFrame:
 
 
 def find_statements(statements: DataFrame, lookups: DataFrame) -> DataFrame:
-    """Lookups (artifact_id, cve, optional purl) with their outcome: found, none or ambiguous."""
-    keyed = lookups.withColumn("__id", F.struct("artifact_id", "cve", "wanted_purl"))
-    s = statements.select("artifact_id", "cve", "component_purl")
-    joined = keyed.join(s, ["artifact_id", "cve"], "left").where(
-        F.col("wanted_purl").isNull() | F.col("component_purl").isNull() | (F.col("wanted_purl") == F.col("component_purl")))
-    found = joined.groupBy("__id").agg(
-        F.count("component_purl").alias("matches"), F.min("component_purl").alias("component_purl"))
-    counted = keyed.join(found, "__id", "left")
-    n = F.coalesce("matches", F.lit(0))
-    return counted.select(
-        "artifact_id", "cve", "wanted_purl", n.alias("matches"),
+    """Lookups (artifact_id, cve, optional purl) with their outcome: found, none or ambiguous.
+
+    A lookup with a PURL is exact on three keys; one without asks for the count and the least PURL of its
+    (artifact, cve).  Both sides of the statements are aggregated first, so a join gives a row per lookup.
+    """
+    exact = statements.groupBy("artifact_id", "cve", "component_purl").agg(F.count(F.lit(1)).alias("n"))
+    any_purl = exact.groupBy("artifact_id", "cve").agg(F.sum("n").alias("n"), F.min("component_purl").alias("component_purl"))
+    named = lookups.where("wanted_purl IS NOT NULL").join(
+        exact.withColumnRenamed("component_purl", "wanted_purl"), ["artifact_id", "cve", "wanted_purl"], "left").withColumn(
+        "component_purl", F.when(F.col("n").isNotNull(), F.col("wanted_purl")))
+    open_ = lookups.where("wanted_purl IS NULL").join(any_purl, ["artifact_id", "cve"], "left")
+    columns = ["artifact_id", "cve", "wanted_purl", "component_purl", F.coalesce("n", F.lit(0)).alias("matches")]
+    n = F.col("matches")
+    return named.select(*columns).unionByName(open_.select(*columns)).select(
+        "artifact_id", "cve", "wanted_purl", "matches", F.when(n > 0, F.col("component_purl")).alias("component_purl"),
         F.when(n == 0, "none").when((n > 1) & F.col("wanted_purl").isNull(), "ambiguous").otherwise("found").alias("outcome"))
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearwright.functions import text as T
 from clearwright.functions import verdict as V
+from clearwright.operators.factors import compiles
 
 # Enumerations of the curated tables.
 CONFIDENCES = ("definitive", "probable")
@@ -73,15 +72,11 @@ def manifest_entries(entries: DataFrame) -> DataFrame:
 
 
 def identity_patterns(identity_strings: DataFrame) -> DataFrame:
-    """Identity regexes that do not compile; patterns are configuration and checked on the driver."""
-    bad = []
-    for row in identity_strings.select("component", "pattern").distinct().toLocalIterator():
-        try:
-            re.compile(row["pattern"])
-        except re.error as e:
-            bad.append(("identity_strings", row["component"], "pattern_compiles", str(e)))
-    schema = "table string, key string, rule string, detail string"
-    return identity_strings.sparkSession.createDataFrame(bad, schema)
+    """Identity regexes that the engine matching them does not accept, each judged once, where its row is."""
+    bad = identity_strings.select("pattern").distinct().where(~compiles(F.col("pattern")))
+    return identity_strings.select("component", "pattern").distinct().join(bad, "pattern").select(
+        F.lit("identity_strings").alias("table"), F.col("component").alias("key"), F.lit("pattern_compiles").alias("rule"),
+        F.col("pattern").alias("detail"))
 
 
 def aliases(aliases_: DataFrame) -> DataFrame:

@@ -2,34 +2,87 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
+from functools import cache
+from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DONE: dict[tuple, DataFrame] = {}
 
 
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder all executors share; a local session without one gets a folder of its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return (folder or context.getCheckpointDir()).rstrip("/")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` to the session's checkpoint folder and read it from there.
 
     The folder is the cluster's `spark.checkpoint.dir`.  A local session without one gets a folder of its
     own; any other master is an error, as its executors could not read a driver's folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A materialised table per application, name and input files, built at first use."""
-    df = build()
-    key = (spark.sparkContext.applicationId, name, tuple(sorted(df.inputFiles())))
-    if key not in _DONE:
-        _DONE[key] = materialize(df)
-    return _DONE[key]
+@cache
+def _code_version() -> str:
+    """A digest of the library's sources, so that tables of older code are not read."""
+    digest = hashlib.sha256()
+
+    def add(folder) -> None:
+        for entry in sorted(folder.iterdir(), key=lambda e: e.name):
+            if entry.name.endswith(".py"):
+                digest.update(entry.name.encode() + b"\0" + entry.read_bytes())
+            elif entry.is_dir() and entry.name in ("functions", "operators", "plans", "sources"):
+                add(entry)
+
+    add(files("clearwright"))
+    return digest.hexdigest()
+
+
+def listing(spark: SparkSession, paths: Iterable[str]) -> list[tuple[str, int, int]]:
+    """(path, length, time) of every file below the paths; no job is started."""
+    found = []
+    for text in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            each = fs.listFiles(path, True)
+            while each.hasNext():
+                f = each.next()
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
+def once(spark: SparkSession, name: str, inputs: Iterable[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored table `name`, built only where its input files, or the library's code, are new.
+
+    The key is the listing of the input files (path, length, time) and the code version, and it is looked up before
+    anything is built: first in this application, then in `spark.checkpoint.dir`, where other applications find the table
+    too.  A table is written beside its place and renamed, so readers see all of it or nothing.
+    """
+    key = hashlib.sha256(json.dumps([name, _code_version(), listing(spark, inputs)]).encode()).hexdigest()
+    own = (spark.sparkContext.applicationId, key)
+    if own not in _DONE:
+        folder = f"{_checkpoint_folder(spark)}/tables/{name}-{key}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(place):
+            beside = f"{folder}.{uuid.uuid4().hex}"
+            build().write.parquet(beside)
+            if fs.exists(place) or not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), place):
+                folder = beside  # another application was first; both tables hold the same rows
+        _DONE[own] = spark.read.parquet(folder)
+    return _DONE[own]

@@ -29,9 +29,14 @@ def binary_facts(spark: SparkSession, sf: str) -> D.BinaryFacts:
     )
 
 
+def input_files(sf: str) -> list[str]:
+    """The tables that decisions are made from."""
+    return [f"{sf}/{name}.parquet" for name in ("lineitem", "part", "benchmark", "documents")]
+
+
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """The decision table, written once per application and read by every report."""
-    return once(spark, f"decisions:{sf}", lambda: D.decide(
+    """The decision table, stored once for its input files and read by every report."""
+    return once(spark, "decisions", input_files(sf), lambda: D.decide(
         W.findings(spark, sf), catalogue(spark, sf), binary_facts(spark, sf)))
 
 

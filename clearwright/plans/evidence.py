@@ -9,9 +9,10 @@ from clearwright.operators import digests as DG
 from clearwright.operators import evidence as E
 from clearwright.operators import resolve as R
 from clearwright.operators.decide import component_inventories
+from clearwright.operators.tables import once
 from clearwright.plans import sqltext as Q
 from clearwright.plans import views as W
-from clearwright.plans.decisions import binary_facts, catalogue, decisions
+from clearwright.plans.decisions import binary_facts, catalogue, decisions, input_files
 from clearwright.plans.registry import query
 from clearwright.plans.scalars import _UP, _UP_NAME
 from clearwright.sinks import vexdocs as X
@@ -93,7 +94,7 @@ _BODY = """'{' || array_to_string(list_filter([
 _OBS = """'{' || array_to_string(list_filter([CASE WHEN symbols_observed IS NOT NULL THEN '"symbols_observed":' || to_json(symbols_observed) END,
   CASE WHEN symbols_absent IS NOT NULL THEN '"symbols_absent":' || to_json(symbols_absent) END], lambda x: x IS NOT NULL), ',') || '}'"""
 _FILES = f"""files AS (
-  SELECT d.artifact_id, 'statements/' || statement_id || '/' || left(sha256(component_purl), 16) || '/' || f.name AS path, sha256(f.body) AS sha256
+  SELECT d.artifact_id, 'statements/' || statement_id || '/' || sha256(component_purl) || '/' || f.name AS path, sha256(f.body) AS sha256
   FROM decisions d LEFT JOIN slices s ON d.component = s.component AND d.cve = s.cve LEFT JOIN artifact_hashes h ON d.artifact_id = h.artifact_id,
   LATERAL (VALUES ('statement.json', {_BODY.replace('"cve":', '"cve":').replace('to_json(cve)', 'to_json(d.cve)')}),
     ('inputs.json', '{{"artifact_sha256":"' || artifact_sha256 || '"}}'), ('observations.json', {_OBS}),
@@ -178,7 +179,7 @@ def _(spark, sf):
 
 
 @query("j23_statement_lookup", Q.select(Q.DECISIONS, """
-SELECT l.artifact_id, l.cve, l.wanted_purl, count(d.cve) AS matches,
+SELECT l.artifact_id, l.cve, l.wanted_purl, count(d.cve) AS matches, min(d.component_purl) AS component_purl,
   CASE WHEN count(d.cve) = 0 THEN 'none' WHEN count(d.cve) > 1 AND l.wanted_purl IS NULL THEN 'ambiguous' ELSE 'found' END AS outcome
 FROM (SELECT DISTINCT artifact_id, cve, CASE WHEN length(cve) % 2 = 0 THEN component_purl END AS wanted_purl FROM findings) l
 LEFT JOIN decisions d ON d.artifact_id = l.artifact_id AND d.cve = l.cve AND (l.wanted_purl IS NULL OR l.wanted_purl = d.component_purl) AND d.has_slice
@@ -285,8 +286,14 @@ def _(spark, sf):
 # ------------------------------------------------------------ VEX documents
 
 def document_inputs(spark, sf):
-    f = files(spark, sf)
-    return X.document_inputs(statements(spark, sf), E.bundle_ids(f), E.artifact_digests(W.inventories(spark, sf)), VERSION)
+    """Stored once: every emitter reads it several times."""
+    def build():
+        hashes = E.artifact_digests(W.inventories(spark, sf))
+        rows = statements(spark, sf)
+        slices = E.slices(rows.select("component", "cve").distinct(), W.components(spark, sf), W.entry_symbols(spark, sf), VERSION)
+        return X.document_inputs(rows, E.bundle_ids(E.statement_files(rows, slices, hashes, VERSION)), hashes, VERSION)
+
+    return once(spark, "document-inputs", input_files(sf), build)
 
 
 _DETAIL = f"'rule_id=' || rule_id || ' manifest_version={VERSION} bundle_id=' || bundle_id"
@@ -377,7 +384,7 @@ UNION ALL SELECT artifact_id, 3, cve, status, 4, '', CASE WHEN flagged THEN '],"
 UNION ALL SELECT artifact_id, 3, cve, status, 6, '', ']}' FROM csaf_groups
 UNION ALL SELECT DISTINCT artifact_id, 9, '', '', 0, '', ']}' FROM inputs"""))
 def _(spark, sf):
-    return X.csaf_lines(document_inputs(spark, sf))
+    return X.csaf_lines(document_inputs(spark, sf)).drop("range")
 
 
 @query("a20_csaf_groups", Q.select(_INPUTS, """

@@ -157,7 +157,11 @@ resolved_findings AS (
 
 HITS = [
     W.COMPONENTS, W.BENCHMARK_WORDS, W.IDENTITY_SYMBOLS, W.IDENTITY_STRINGS, W.INVENTORIES, W.SYMBOLS, W.RO_STRINGS,
-    """symbol_hits AS (
+    """string_matches AS (
+  SELECT DISTINCT r.artifact_id, r.inventory_id, p.pattern
+  FROM (SELECT DISTINCT artifact_id, inventory_id, value FROM ro_strings) r
+  JOIN (SELECT DISTINCT pattern FROM identity_strings) p ON regexp_matches(r.value, p.pattern)),
+symbol_hits AS (
   SELECT artifact_id, inventory_id, component, 'symbol:' || symbol AS reason FROM (
     SELECT *, row_number() OVER (PARTITION BY artifact_id, inventory_id, component ORDER BY position, symbol) AS rn
     FROM (SELECT DISTINCT s.artifact_id, s.inventory_id, i.component, i.symbol, i.position
@@ -165,8 +169,7 @@ HITS = [
 string_hits AS (
   SELECT artifact_id, inventory_id, component, 'string:' || pattern AS reason FROM (
     SELECT *, row_number() OVER (PARTITION BY artifact_id, inventory_id, component ORDER BY position, pattern) AS rn
-    FROM (SELECT DISTINCT r.artifact_id, r.inventory_id, i.component, i.position, i.pattern
-          FROM ro_strings r JOIN identity_strings i ON regexp_matches(r.value, i.pattern))) WHERE rn = 1)""",
+    FROM string_matches JOIN identity_strings USING (pattern)) WHERE rn = 1)""",
 ]
 
 # The component list of DIRECT already defines `components`; keep one definition.

@@ -289,21 +289,19 @@ ENTRY_SYMBOLS = """entry_symbols AS (
 
 
 def identity_strings(spark: SparkSession, sf: str) -> DataFrame:
-    """Identity regexes: the first two words of a component's passages, in item order."""
-    head = F.regexp_extract(F.col("text"), r"^([A-Z][a-z]+ [a-z]+) ", 1)
+    """Identity regexes: the word pairs that begin with a capital anywhere in a component's passages, in item order."""
+    pairs = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"([A-Z][a-z]+ [a-z]+) "), F.lit(1)))
     b = table(spark, sf, "benchmark").select(
-        (F.col("item_id") % BUCKETS).alias("bucket"), F.col("item_id").alias("position"), head.alias("head")
-    ).where(F.col("head") != "")
+        (F.col("item_id") % BUCKETS).alias("bucket"), F.col("item_id").alias("position"), F.explode(pairs).alias("pair"))
     return components(spark, sf).join(b, "bucket").select(
-        "component", "position", F.concat(F.col("head"), F.lit("[ ,.]")).alias("pattern")
+        "component", "position", F.concat(F.col("pair"), F.lit("[ ,.]")).alias("pattern")
     )
 
 
 IDENTITY_STRINGS = f"""identity_strings AS (
-  SELECT component, position, head || '[ ,.]' AS pattern
-  FROM components JOIN (SELECT item_id % {BUCKETS} AS bucket, item_id AS position,
-      regexp_extract(text, '^([A-Z][a-z]+ [a-z]+) ', 1) AS head FROM benchmark) USING (bucket)
-  WHERE head <> '')"""
+  SELECT component, position, pair || '[ ,.]' AS pattern
+  FROM components JOIN (SELECT DISTINCT item_id % {BUCKETS} AS bucket, item_id AS position,
+      unnest(regexp_extract_all(text, '([A-Z][a-z]+ [a-z]+) ', 1)) AS pair FROM benchmark) USING (bucket))"""
 
 # ------------------------------------------------------------- binary facts
 

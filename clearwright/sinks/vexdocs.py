@@ -4,11 +4,15 @@ A document lists every statement of an artifact, and one artifact may hold a
 third of all statements, so no document is built in one row.  Each emitter
 returns lines keyed by (artifact_id, section, k1, k2, part, k3); `write_documents`
 range-sorts them, and an artifact's files read in name order are its document.
+
+Whether a line needs a comma depends on the line before it alone.  `separated` deals the lines to ranges of the document
+order, looks at the line before within a range, and takes the last key of the ranges before for its first line, so
+bodies move once, to their range, and no join touches them.  Emitters read `inputs` several times: give them a stored table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearwright.functions import ids as I
@@ -19,6 +23,7 @@ from clearwright.functions.text import strip_space
 AUTHOR = "clearwright"
 VERSION = "1"
 ORDER = ("artifact_id", "section", "k1", "k2", "part", "k3")
+KEYS_PER_RANGE = 64
 
 
 def document_inputs(statements: DataFrame, bundles: DataFrame, hashes: DataFrame, version: str) -> DataFrame:
@@ -50,21 +55,39 @@ def _seed(fmt: str) -> Column:
 
 
 def _line(df: DataFrame, section: int, text: Column, k1: Column | None = None, k2: Column | None = None,
-          part: int = 0, k3: Column | None = None) -> DataFrame:
+          part: int = 0, k3: Column | None = None, opens: str = "", leaves: str | None = None) -> DataFrame:
+    """A line that is, or begins, an element of the list `opens`, or ends one of the list `leaves`."""
     blank = F.lit("")
     return df.select(
         "artifact_id", F.lit(section).alias("section"), (blank if k1 is None else k1).alias("k1"),
         (blank if k2 is None else k2).alias("k2"), F.lit(part).alias("part"), (blank if k3 is None else k3).alias("k3"),
-        text.alias("line"))
-
-
-def _listed(lines: DataFrame, group: list[str]) -> DataFrame:
-    """Put a comma before every line but the first of its group."""
-    order = ["section", "k1", "k2", "part", "k3"]
-    first = lines.groupBy(*group).agg(F.min(F.struct(*order)).alias("__first"))
-    is_first = F.struct(*order) == F.col("__first")
-    return lines.join(first, group).select(
-        *ORDER, F.when(is_first, F.col("line")).otherwise(F.concat(F.lit(","), F.col("line"))).alias("line"))
+        text.alias("line"), F.lit(opens).alias("opens"), F.lit(opens if leaves is None else leaves).alias("leaves"))
+
+
+def _ranges(lines: DataFrame, count: int) -> Column:
+    """The number of a line's range, 0 to count - 1, from a sample of keys of bounded size."""
+    drawn = lines.select(*ORDER).orderBy(F.xxhash64(*ORDER), *ORDER).limit(count * KEYS_PER_RANGE).collect()
+    keys = sorted(tuple(r) for r in drawn)
+    bounds = sorted({keys[len(keys) * n // count] for n in range(1, count)}) if keys else []
+    if not bounds:
+        return F.lit(0)
+    listed = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(ORDER, b))) for b in bounds))
+    return F.size(F.filter(listed, lambda b: b <= F.struct(*ORDER)))
+
+
+def separated(lines: DataFrame) -> DataFrame:
+    """Lines in document order with a comma before every element that follows another of its list; range number in `range`."""
+    count = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.withColumn("range", _ranges(lines, count))
+    ends = dealt.groupBy("range").agg(F.max(F.struct(*ORDER, "leaves")).alias("end")).orderBy("range").collect()
+    before = [x for a, b in zip(ends, ends[1:]) for x in (F.lit(b["range"]), F.concat_ws("\0", F.lit(a.end.artifact_id), F.lit(a.end.leaves)))]
+    place = Window.partitionBy("range").orderBy(*ORDER)
+    last = F.lag(F.concat_ws("\0", "artifact_id", "leaves")).over(place)
+    if before:
+        last = F.coalesce(last, F.element_at(F.create_map(*before), F.col("range")))
+    follows = (F.col("opens") != "") & F.coalesce(last == F.concat_ws("\0", "artifact_id", "opens"), F.lit(False))
+    ranged = dealt.repartitionByRange(count, "range")
+    return ranged.withColumn("line", F.when(follows, F.concat(F.lit(","), "line")).otherwise(F.col("line"))).select(*ORDER, "line", "range")
 
 
 def _opened(head: Column, rest: str) -> Column:
@@ -90,8 +113,8 @@ def openvex_lines(inputs: DataFrame, disclaimer: str | None = None) -> DataFrame
         F.when(F.col("verdict") == V.NOT_AFFECTED, F.col("justification")).alias("justification"),
         F.col("detail").alias("impact_statement"), action.alias("action_statement")))
     h = _headers(inputs)
-    statements = _listed(_line(inputs, 1, body, F.col("cve"), F.col("component_purl")), ["artifact_id"])
-    return _line(h, 0, _opened(head, ',"statements":[')).unionByName(statements).unionByName(_line(h, 9, F.lit("]}")))
+    statements = _line(inputs, 1, body, F.col("cve"), F.col("component_purl"), opens="statements")
+    return separated(_line(h, 0, _opened(head, ',"statements":[')).unionByName(statements).unionByName(_line(h, 9, F.lit("]}"))))
 
 
 def cyclonedx_lines(inputs: DataFrame, disclaimer: str | None = None) -> DataFrame:
@@ -118,11 +141,11 @@ def cyclonedx_lines(inputs: DataFrame, disclaimer: str | None = None) -> DataFra
         F.col("cve").alias("id"), analysis.alias("analysis"), F.array(F.struct(ref.alias("ref"))).alias("affects")))
     h = _headers(inputs)
     components = inputs.select("artifact_id", "artifact_sha256", "pinned", "name").distinct()
-    return (
+    return separated(
         _line(h, 0, _opened(head, ',"components":['))
-        .unionByName(_listed(_line(components, 1, component, ref), ["artifact_id"]))
+        .unionByName(_line(components, 1, component, ref, opens="components"))
         .unionByName(_line(h, 2, F.lit('],"vulnerabilities":[')))
-        .unionByName(_listed(_line(inputs, 3, vulnerability, F.col("cve"), F.col("component_purl")), ["artifact_id"]))
+        .unionByName(_line(inputs, 3, vulnerability, F.col("cve"), F.col("component_purl"), opens="vulnerabilities"))
         .unionByName(_line(h, 9, F.lit("]}")))
     )
 
@@ -161,30 +184,30 @@ def csaf_lines(inputs: DataFrame, disclaimer: str | None = None) -> DataFrame:
     status = V.status_of(F.col("verdict"), V.CSAF_STATUS)
     rows = inputs.withColumn("status", status).withColumn("product_id", pid)
     groups = rows.groupBy("artifact_id", "cve", "status").agg(F.count("justification").alias("flags"))
-    group = ["artifact_id", "k1", "k2", "part"]
 
-    def each(df: DataFrame, part: int, text: Column, k3: Column | None = None) -> DataFrame:
-        return _line(df, 3, text, F.col("cve"), F.col("status"), part, k3)
+    def each(df: DataFrame, part: int, text: Column, k3: Column | None = None, **lists: str) -> DataFrame:
+        return _line(df, 3, text, F.col("cve"), F.col("status"), part, k3, **lists)
 
-    opened = _listed(each(groups, 0, F.concat(
-        _opened(F.struct("cve"), ',"product_status":{"'), F.col("status"), F.lit('":['))), ["artifact_id"])
+    # A vulnerability's first line opens an element and its last line leaves it; the lists in it are apart by other lines.
+    opened = each(groups, 0, F.concat(
+        _opened(F.struct("cve"), ',"product_status":{"'), F.col("status"), F.lit('":[')), opens="vulnerabilities", leaves="")
     ids = rows.select("artifact_id", "cve", "status", "product_id").distinct()
     flag = F.to_json(F.struct(F.col("justification").alias("label"), F.array("product_id").alias("product_ids")))
     threat = F.to_json(F.struct(
         F.lit("impact").alias("category"), F.col("detail").alias("details"), F.array("product_id").alias("product_ids")))
     flagged = rows.where((F.col("verdict") == V.NOT_AFFECTED) & F.col("justification").isNotNull())
     h = _headers(inputs)
-    return (
+    return separated(
         _line(h, 0, _opened(head, ',"product_tree":{"branches":['))
-        .unionByName(_listed(_line(inputs.select("artifact_id", "pinned", "name", "version").distinct(), 1, branch, pid), ["artifact_id"]))
+        .unionByName(_line(inputs.select("artifact_id", "pinned", "name", "version").distinct(), 1, branch, pid, opens="branches"))
         .unionByName(_line(h, 2, F.lit(']},"vulnerabilities":[')))
         .unionByName(opened)
-        .unionByName(_listed(each(ids, 1, F.concat(F.lit('"'), F.col("product_id"), F.lit('"')), F.col("product_id")), group))
+        .unionByName(each(ids, 1, F.concat(F.lit('"'), F.col("product_id"), F.lit('"')), F.col("product_id"), opens="ids"))
         .unionByName(each(groups, 2, F.when(F.col("flags") > 0, ']},"flags":[').otherwise(']}')))
-        .unionByName(_listed(each(flagged, 3, flag, F.col("component_purl")), group))
+        .unionByName(each(flagged, 3, flag, F.col("component_purl"), opens="flags"))
         .unionByName(each(groups, 4, F.when(F.col("flags") > 0, '],"threats":[').otherwise(',"threats":[')))
-        .unionByName(_listed(each(rows, 5, threat, F.col("component_purl")), group))
-        .unionByName(each(groups, 6, F.lit("]}")))
+        .unionByName(each(rows, 5, threat, F.col("component_purl"), opens="threats"))
+        .unionByName(each(groups, 6, F.lit("]}"), leaves="vulnerabilities"))
         .unionByName(_line(h, 9, F.lit("]}")))
     )
 
@@ -196,9 +219,9 @@ def refusal_lines(inputs: DataFrame, disclaimer: str | None = None) -> DataFrame
     body = F.to_json(F.struct(
         "statement_id", "cve", F.col("pinned").alias("component_purl"), "reason_code", "rule_id", "manifest_version", "bundle_id", "detail"))
     h = _headers(inputs)
-    return (
+    return separated(
         _line(h, 0, _opened(head, ',"refusals":['))
-        .unionByName(_listed(_line(refused, 1, body, F.col("cve"), F.col("component_purl")), ["artifact_id"]))
+        .unionByName(_line(refused, 1, body, F.col("cve"), F.col("component_purl"), opens="refusals"))
         .unionByName(_line(h, 9, F.lit("]}")))
     )
 
@@ -211,6 +234,9 @@ def emission_summary(inputs: DataFrame) -> DataFrame:
 
 
 def write_documents(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write line files per artifact; their concatenation in name order is the document."""
-    ordered = lines.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    """Write line files per artifact; their concatenation in name order is the document.
+
+    Lines of an emitter are dealt by ranges of the document order already, so they are sorted where they lie.
+    """
+    ordered = lines.sortWithinPartitions(*ORDER)
     ordered.select("artifact_id", "line").write.mode(mode).partitionBy("artifact_id").text(path)

@@ -122,8 +122,7 @@ def first_registrations(regs: DataFrame) -> DataFrame:
 def csaf_products(docs: DataFrame) -> DataFrame:
     """product_id to PURL per document, with relationships resolved against earlier ids only.
 
-    A composite id without its own PURL takes the referenced product's; chains of
-    such references settle after as many rounds as the longest chain has links.
+    A composite id without its own PURL takes that of the product it refers to.  `settle` follows such references.
     """
     d = docs.select("doc_id", F.from_json("content", CSAF)["product_tree"].alias("t"))
     branches = csaf_branch_products(d.select("doc_id", F.col("t.branches").alias("branches"))).select(
@@ -135,20 +134,53 @@ def csaf_products(docs: DataFrame) -> DataFrame:
         blank_to_null(strip_space(F.col("r.full_product_name.product_identification_helper.purl"))).alias("purl_text"),
         F.col("r.product_reference").alias("reference"))
     names = ["doc_id", "product_id", "purl_text", "platform", "place", "indirect"]
-    direct = _usable(branches.unionByName(
-        rels.where(F.col("purl_text").isNotNull()).withColumn("indirect", F.lit(False)).select(*names)))
-    open_rels = rels.where(F.col("purl_text").isNull())
-    regs, mark = direct, None
+    direct = materialize(_usable(branches.unionByName(
+        rels.where(F.col("purl_text").isNotNull()).withColumn("indirect", F.lit(False)).select(*names))))
+    open_rels = materialize(rels.where(F.col("purl_text").isNull()).withColumn("product_id", strip_space(F.col("product_id"))).where(
+        F.coalesce("product_id", F.lit("")) != "").drop("purl_text"))
+    resolved = open_rels.join(settle(direct, open_rels), ["doc_id", "place"]).withColumn("indirect", F.lit(True)).select(*names)
+    return first_registrations(direct.unionByName(resolved)).drop("first_place")
+
+
+def settle(direct: DataFrame, open_rels: DataFrame) -> DataFrame:
+    """(doc_id, place, purl_text) of the open relationships that resolve.
+
+    A relationship takes the first registration of the id it refers to, if that stands earlier.  That is a product with
+    a PURL, or another open relationship, which it points to; pointers are doubled, so a chain of n links settles in
+    about log2(n) rounds, each over the unsettled rows only.  A chain that ends nowhere registers nothing; where an
+    id on it has a further registration, the dead ends are left out and those rows look again.
+    """
+    known = direct.groupBy("doc_id", F.col("product_id").alias("reference")).agg(
+        F.min("place").alias("place"), F.min_by("purl_text", "place").alias("purl_text"), F.lit(1).alias("n"))
+    live = open_rels.select("doc_id", F.col("product_id").alias("reference"), "place", F.lit(None).cast("string").alias("purl_text"), F.lit(1).alias("n"))
+    asking, settled = open_rels.select("doc_id", "place", "reference"), None
     while True:
-        known = first_registrations(regs).select(
-            "doc_id", F.col("product_id").alias("reference"), "purl_text", "first_place")
-        resolved = open_rels.drop("purl_text").join(known, ["doc_id", "reference"]).where(
-            F.col("first_place") < F.col("place")).withColumn("indirect", F.lit(True)).select(*names)
-        following = materialize(direct.unionByName(_usable(resolved)))
-        before, mark = mark, tuple(following.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*names))).first())
-        if mark == before:  # a round that changed nothing
-            return first_registrations(following).drop("first_place")
-        regs = following
+        first = known.unionByName(live).groupBy("doc_id", "reference").agg(
+            F.min(F.struct("place", "purl_text")).alias("f"), F.sum("n").alias("n"))
+        found = asking.join(first, ["doc_id", "reference"], "left")
+        earlier = F.coalesce(F.col("f.place") < F.col("place"), F.lit(False))
+        rows = found.select(
+            "doc_id", "place", "reference", F.when(earlier, F.col("f.purl_text")).alias("purl_text"),
+            F.when(earlier & F.col("f.purl_text").isNull(), F.col("f.place")).alias("target"), (earlier & (F.col("n") > 1)).alias("again"))
+        rows = _followed(materialize(rows if settled is None else rows.unionByName(settled)))
+        lost = rows.where(F.col("purl_text").isNull())
+        if lost.where("again").isEmpty():
+            return rows.where(F.col("purl_text").isNotNull()).select("doc_id", "place", "purl_text")
+        dead = lost.where("NOT again").select("doc_id", "place")
+        live = materialize(live.join(dead, ["doc_id", "place"], "left_anti"))
+        asking = materialize(lost.where("again").select("doc_id", "place", "reference"))
+        settled = rows.where("purl_text IS NOT NULL OR NOT again")
+
+
+def _followed(rows: DataFrame) -> DataFrame:
+    """Pointers followed to their ends; a row takes what its target has, and then the target's target."""
+    while not rows.where(F.col("target").isNotNull()).isEmpty():
+        at = rows.select("doc_id", F.col("place").alias("target"), F.col("purl_text").alias("__purl"), F.col("target").alias("__target"), F.col("again").alias("__again"))
+        open_ = rows.where(F.col("target").isNotNull()).join(at, ["doc_id", "target"], "left").select(
+            "doc_id", "place", "reference", F.col("__purl").alias("purl_text"), F.col("__target").alias("target"),
+            (F.col("again") | F.coalesce("__again", F.lit(False))).alias("again"))
+        rows = materialize(rows.where(F.col("target").isNull()).unionByName(open_))
+    return rows
 
 
 def _usable(regs: DataFrame) -> DataFrame:

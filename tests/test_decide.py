@@ -103,12 +103,6 @@ def test_quality_and_evidence_columns(spark):
     assert rows["pkg:generic/noentry@1"]["has_slice"] is False
 
 
-def test_literal_starts(spark):
-    cases = {"Foo bar[ ,.]": "Foo bar", "zlib [0-9]+": "zlib ", "abc+d": "abc", "abcd*e": "abc", "abcd?": "abc", "abc{0,2}": "ab", "a|b": "", "(?i)abc": "", "^abc": "", "": ""}
-    got = spark.createDataFrame([(p,) for p in cases], "p string").select("p", D.literal_start(F.col("p")).alias("s")).collect()
-    assert {r.p: r.s for r in got} == cases
-
-
 def test_patterns_with_and_without_literals_find_the_same_strings(spark):
     import re
 

@@ -99,3 +99,27 @@ def test_disclaimer_is_in_every_document(spark, tmp_path):
     assert docs["c"]["metadata"]["tools"][0]["name"] == "clearwright"
     assert docs["s"]["document"]["notes"] == [{"category": "legal_disclaimer", "text": said}]
     assert docs["r"]["disclaimer"] == said
+
+
+def test_commas_do_not_depend_on_ranges(spark):
+    i = inputs(spark, [("abc"[k % 3], f"cve-{k // 4}", f"CVE-{k // 4}", f"pkg:generic/p{k}@{k}", *ROWS[k % 5][4:]) for k in range(60)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        texts = {}
+        for parts in ("1", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            for lines in (X.openvex_lines, X.cyclonedx_lines, X.csaf_lines, X.refusal_lines):
+                rows = sorted(map(tuple, lines(i).drop("range").collect()))
+                texts.setdefault(lines.__name__, []).append(rows)
+        assert all(a == b for a, b in texts.values())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_lookups_have_a_row_each(spark):
+    s = spark.createDataFrame([("a", "C1", "p1"), ("a", "C1", "p2"), ("a", "C2", "p1")], "artifact_id string, cve string, component_purl string")
+    asked = [("a", "C1", None), ("a", "C1", None), ("a", "C1", "p2"), ("a", "C2", None), ("a", "C3", None), ("a", "C2", "p9")]
+    got = E.find_statements(s, spark.createDataFrame(asked, "artifact_id string, cve string, wanted_purl string")).collect()
+    assert sorted((r.cve, r.wanted_purl or "", r.matches, r.component_purl or "", r.outcome) for r in got) == [
+        ("C1", "", 2, "p1", "ambiguous"), ("C1", "", 2, "p1", "ambiguous"), ("C1", "p2", 1, "p2", "found"), ("C2", "", 1, "p1", "found"),
+        ("C2", "p9", 0, "", "none"), ("C3", "", 0, "", "none")]

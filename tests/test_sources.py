@@ -48,6 +48,19 @@ def test_csaf_deep_tree_and_chains(spark):
     assert got == {"c2": ("pkg:a/deep@1", True), "dup": ("pkg:a/first@1", False)}
 
 
+def test_csaf_chain_of_a_thousand_links_settles_in_log_rounds(spark, monkeypatch):
+    rounds, store = [], SV.materialize
+    n = 1000
+    rels = [("d", [1, k], f"c{k}", f"c{k - 1}") for k in range(1, n)] + [("d", [1, n + 1], "late", "nobody"), ("d", [1, n + 2], "later", "late"),
+            ("d", [1, n + 3], "twice", "nobody"), ("d", [1, n + 4], "twice", "c5"), ("d", [1, n + 5], "end", "twice"), ("d", [1, 0], "before", "c9")]
+    open_rels = spark.createDataFrame([(*r[:3], "os", r[3]) for r in rels], "doc_id string, place array<int>, product_id string, platform string, reference string")
+    direct = spark.createDataFrame([("d", "c0", "pkg:a/root@1", None, [0, 0], False)], "doc_id string, product_id string, purl_text string, platform string, place array<int>, indirect boolean")
+    monkeypatch.setattr(SV, "materialize", lambda df: rounds.append(1) or store(df))
+    got = {r.place[1]: r.purl_text for r in SV.settle(direct, open_rels).collect()}
+    assert got == {**{k: "pkg:a/root@1" for k in range(1, n)}, n + 4: "pkg:a/root@1", n + 5: "pkg:a/root@1"}
+    assert len(rounds) <= 18
+
+
 def test_spdx_purpose_text_is_ignored(spark):
     d = docs(spark, a={"spdxVersion": "2.3", "packages": [{"name": "p", "SPDXID": "x", "primaryPackagePurpose": "LIBRARY",
              "externalRefs": [{"referenceType": "purl", "referenceLocator": "pkg:a/p@1"}]}], "relationships": []})
