@@ -63,11 +63,11 @@ FROM ids
 
 
 def _resolved_sql(sql: str) -> str:
-    """RESOLVED(x) as nested replacements of character references."""
+    """RESOLVED(x) as nested replacements of the references that the pages hold, some cut short of their semicolon; the ampersand last."""
     for name in ("bare", "title", "u"):
         text = name
-        for reference, character in warc.REFERENCES:
-            text = f"replace({text}, '{reference}', " + (f"chr({ord(character)})" if character in "'\"" else f"'{character}'") + ")"
+        for reference, code in (("lt", 60), ("gt", 62), ("quot", 34), ("apos", 39), ("#39", 39), ("nbsp", 32), ("copy", 169), ("middot", 183), ("amp", 38)):
+            text = f"regexp_replace({text}, '&{reference};?', chr({code}), 'g')"
         sql = sql.replace(f"RESOLVED({name})", text)
     return sql
 

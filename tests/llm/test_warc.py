@@ -57,3 +57,23 @@ def test_written_records_can_be_parsed(spark, tmp_path):
 def test_query(spark):
     got = QUERIES["op1_warc_derivatives"](spark, SF)
     assert got.count() == 2 * spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+def test_references_and_attribute_forms():
+    page = "<HTML class=x lang='pt-BR'><title>&Eacute;t&#233; &#x26; &amp;copy;</title><a href=/x?a=1&amp;b=2>&copy;&middot;&nbsp;&hellip;</a><a title=t href = '/y'>&lt;b&gt;</a><a name=n>&unknown; &</a>"
+    assert warc.read_page(page) == ("Été & &copy;", "pt-BR", ["/x?a=1&b=2", "/y"], "Été & &copy;\n©· … <b> &unknown; &")
+
+
+def test_what_is_not_closed():
+    assert warc.read_page("a<script>b<p>c") == ("", "", [], "a b c")
+    assert warc.read_page("a<!-- b <i>c</i>") == ("", "", [], "a c")
+    assert warc.read_page("a < b") == ("", "", [], "a < b")
+    assert warc.read_page("<title>x<p>y")[3] == "x y"
+    assert warc.read_page("a<!-->b--> c<style>p</style>d")[3] == "a c d"
+    for part in ("<script>", "<!--", "<title>", "<", "<a href='"):
+        warc.read_page(part * 200_000)  # linear
+
+
+def test_no_reference_of_the_given_pages_stays(spark):
+    blocks = [r.block for r in QUERIES["op1_warc_derivatives"](spark, SF).collect() if r.record_type == "conversion"]
+    assert blocks and not any(x in b for b in blocks for x in ("&copy;", "&middot;", "&amp;", "&quot;")) and any("©" in b for b in blocks)
