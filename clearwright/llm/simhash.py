@@ -10,10 +10,7 @@ bits.  The pieces with budget 0 are compared as a key; those up to budget 1 are
 one of which must be equal too, so that half joins the key.  Chains are checked next, and the full
 distance last.  The filter is exact: no pair within tau is lost.
 
-keep_representatives can also link texts by the Jaccard similarity of their sets of `set_width`-word shingles.
-Candidates share one of BANDS keys of ROWS MinHash values, so a pair at similarity s is met with 1 - (1 - s^ROWS)^BANDS
-(0.999997 at 0.8); their whole sets are compared before they link.  A bucket first meets its smallest member only, then pairs that
-are not connected yet, so near copies do not form all their pairs.
+keep_representatives can also link texts by the similarity of their shingle sets (`shingle_sets.py`).
 
 Cases: null and empty texts have fingerprint 0 and link like any other; equal fingerprints are one
 node, so copies never form pairs; rows that share a doc_id link through their texts only; a null
@@ -33,12 +30,11 @@ from xxhash import xxh64_intdigest
 
 from clearwright.llm.common import small_batches, text_digest, written
 from clearwright.llm.components import connected_components
+from clearwright.llm.shingle_sets import similar_links
 
 SEED = 42
 BLOCK = 2048
-BANDS, ROWS = 24, 4
 _HASHES_AT_ONCE = 65_536
-_MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
 def simhash(text: str | None, width: int = 3) -> int:
@@ -213,59 +209,6 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; fewer words than `width` are one shingle, no words none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(words) - width + 1) if words else 0
-    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i:i + width]), SEED) for i in range(n)), dtype=np.uint64, count=n))
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A signed 64-bit key per band of MinHash values; none for an empty set."""
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, ((hashes[at:at + 4096, None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
-    return np.array([xxh64_intdigest(least[b * ROWS:(b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], dtype=np.uint64).view(np.int64).tolist()
-
-
-def similar_links(docs: DataFrame, similarity: float, width: int, text: str = "text") -> DataFrame:
-    """(a, b): text digests whose shingle sets have at least that Jaccard similarity, enough of them to connect what is connected."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))],
-                ["node", "shingles", "keys"])
-
-    plain = docs.select(text_digest(text).alias("node"), F.col(text).alias("text"))
-    made = written(plain.mapInArrow(run, "node long, shingles array<long>, keys array<long>").dropDuplicates(["node"]), "shingle-sets")
-    sets = made.select("node", "shingles")
-    rows = made.select("node", F.size("shingles").alias("n"), F.explode("keys").alias("key"))
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-        common, sizes = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-        return written(both.filter(common >= similarity * (sizes - common) - 1e-9).select("a", "b"), name)
-
-    heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
-    met = rows.join(heads, "key")
-    first = verified(met.filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "similar-heads")
-    linked = connected_components(first, "a", "b").withColumnRenamed("node", "of")
-    left = met.join(linked, met.node == F.col("of"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
-    # Buckets that are one part already are done.
-    open_keys = left.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
-    left = written(left.join(open_keys, "key", "left_semi"), "similar-open")
-    other = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("part_b"))
-    fits = (F.col("n") >= similarity * F.col("m") - 1e-9) & (F.col("m") >= similarity * F.col("n") - 1e-9)
-    rest = left.withColumnRenamed("node", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("part") != F.col("part_b")) & fits)
-    return first.unionByName(verified(rest.select("a", "b").distinct(), "similar-rest"))
-
-
 def keep_representatives(docs: DataFrame, similarity: float | None = None, set_width: int = 5) -> DataFrame:
     """The row of each near-duplicate group with the smallest (doc_id, text digest), a null id being the smallest; repeats of it once.
 
@@ -281,8 +224,7 @@ def keep_representatives(docs: DataFrame, similarity: float | None = None, set_w
         found = found.join(joined, found.label == joined.node, "left").select("doc_id", "digest", F.coalesce("component", "label").alias("label"))
     kept = found.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.digest").alias("kept_digest"))
-    keyed = docs.withColumn("digest_of_row", text_digest())
-    return (
-        keyed.join(kept, keyed.doc_id.eqNullSafe(kept.kept_id) & (keyed.digest_of_row == kept.kept_digest), "left_semi")
-        .dropDuplicates(["doc_id", "digest_of_row"]).select(*docs.columns)
-    )
+    # The row travels as one column, so that no column of it can clash with ours.
+    keyed = docs.select(F.col("doc_id").alias("of_id"), text_digest().alias("of_digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = keyed.of_id.eqNullSafe(kept.kept_id) & (keyed.of_digest == kept.kept_digest)
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["of_id", "of_digest"]).select("row.*")

@@ -4,7 +4,7 @@ import os
 
 import test_decontaminate
 import test_pii
-import test_simhash
+import test_shingle_sets
 from tables import CLASHING, SF, documents, empty
 from tokenizers import Tokenizer
 
@@ -37,7 +37,7 @@ def test_every_stage(spark, tmp_path):
 
     before, after = rows[1]
     ids = sorted(before)
-    root = test_simhash.groups([test_simhash.brute(before[i]) for i in ids])
+    root = test_shingle_sets.stage_groups([before[i] for i in ids], P.SIMILARITY)
     assert sorted(r.doc_id for r in after) == sorted(min(i for i, q in zip(ids, root) if q == r) for r in set(root))
 
     before, after = rows[2]

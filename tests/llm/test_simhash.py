@@ -107,28 +107,3 @@ def test_components_of_a_long_path_and_a_hub(spark):
     got = connected_components(spark.createDataFrame(path + hub + noise, "a long, b long"), "a", "b").collect()
     assert {(r.node, r.component) for r in got} == {(i, 0) for i in range(61)} | {(100 + i, 100) for i in range(80)}
     assert len(got) == 61 + 80
-
-
-def test_copies_of_similar_shingle_sets_are_one_group(spark):
-    """Edited copies around a similarity of 0.8, most of them more than 3 bits apart, and a group of near copies of one text."""
-    rnd = random.Random(3)
-    texts = [" ".join(f"w{rnd.randrange(4000)}" for _ in range(rnd.randrange(40, 300))) for _ in range(40)]
-    for base in texts[:30] + texts[:1] * 60:
-        words = base.split()
-        for _ in range(rnd.randrange(1, 1 + max(1, len(words) // 25))):
-            words[rnd.randrange(len(words))] = "other"
-        texts.append(" ".join(words))
-    texts += [None, "", "one two", "One Two", texts[2]]
-    prints, sets = [brute(t) for t in texts], []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    root, far = groups(prints), 0
-    for i in range(len(texts)):
-        for j in range(i):
-            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                far += (prints[i] ^ prints[j]).bit_count() > 3
-                root = [root[j] if r == root[i] else r for r in root]
-    assert far > 20
-    got = simhash.keep_representatives(documents(spark, list(enumerate(texts))), similarity=0.8)
-    assert sorted(r.doc_id for r in got.collect()) == sorted({r: i for i, r in reversed(list(enumerate(root)))}.values())
