@@ -25,7 +25,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The representative of every near-duplicate group: fingerprints as op2 links them, or sets of five-word shingles similar by SIMILARITY."""
+    """The representative of every near-duplicate group: fingerprints as op2 links them, or sets of five-word shingles similar by SIMILARITY (`llm/shingle_sets.py`)."""
     return simhash.keep_representatives(docs, SIMILARITY)
 
 
