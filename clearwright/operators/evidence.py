@@ -22,24 +22,42 @@ def artifact_digests(inventories: DataFrame) -> DataFrame:
     return content_digest(inventories, ["artifact_id"], line, "artifact_sha256")
 
 
-def slices(wanted: DataFrame, components: DataFrame, entry_symbols: DataFrame, version: str) -> DataFrame:
-    """Catalogue slice per wanted (component, cve): the component with that entry's symbols, as JSON.
+def slices(wanted: DataFrame, components: DataFrame, entry_symbols: DataFrame, component_purls: DataFrame,
+           identity_symbols: DataFrame, identity_strings: DataFrame, version: str) -> DataFrame:
+    """Catalogue slice per wanted (component, cve), as JSON: all that a verdict on it rests on.
 
+    That is the component with its PURLs and identity rules, and the entry with its symbols.
     Pairs without an entry are left out; that is a normal outcome.
     """
-    listed = F.array_sort(F.collect_list(F.struct(F.col("symbol").alias("name"), "confidence", "dynsym_export_verified")))
-    per_entry = entry_symbols.groupBy("component", "cve").agg(listed.alias("vulnerable_symbols"))
+    asked = wanted.select("component").distinct()
+
+    def listed(rows: DataFrame, keys: list[str], out: str, **fields: str) -> DataFrame:
+        item = F.struct(*(F.col(c).alias(name) for name, c in fields.items()))
+        return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias(out))
+
+    per_entry = listed(entry_symbols, ["component", "cve"], "vulnerable_symbols", name="symbol", confidence="confidence", dynsym_export_verified="dynsym_export_verified")
+    about = components.select("component", "provenance_status").join(asked, "component", "left_semi")
+    for rows, out, fields in (
+        (component_purls, "purls", {"source_file": "source_file", "position": "purl_pos", "purl": "purl_text"}),
+        (identity_symbols, "identity_symbols", {"symbol": "symbol", "position": "position"}),
+        (identity_strings, "identity_strings", {"pattern": "pattern", "position": "position"}),
+    ):
+        about = about.join(listed(rows.join(asked, "component", "left_semi"), ["component"], out, **fields), "component", "left")
     body = F.to_json(F.struct(
-        F.lit(version).alias("version"), F.col("component"), F.col("provenance_status"), F.col("cve"), "vulnerable_symbols"))
-    return wanted.join(per_entry, ["component", "cve"]).join(
-        components.select("component", "provenance_status"), "component").select(
+        F.lit(version).alias("version"), F.col("component"), "provenance_status", "purls", "identity_symbols", "identity_strings", F.col("cve"), "vulnerable_symbols"))
+    return wanted.join(per_entry, ["component", "cve"]).join(about, "component").select(
         "component", "cve", body.alias("slice"), F.sha2(body, 256).alias("slice_sha256"))
 
 
+def identity_slices(aliases: DataFrame) -> DataFrame:
+    """Alias rows as JSON, for the statements that were resolved through one."""
+    return aliases.select("source_name", F.to_json(F.struct("source_name", "component", "status")).alias("identity_slice"))
+
+
 def evidence_statements(decisions: DataFrame) -> DataFrame:
     """Decisions that carry evidence, keyed by (artifact, cve, purl); `statement_id` is a label."""
     return decisions.where("has_slice").select(
-        "artifact_id", "statement_id", *STATEMENT, "component", "symbols_observed", "symbols_absent")
+        "artifact_id", "statement_id", *STATEMENT, "component", "source_name", "symbols_observed", "symbols_absent")
 
 
 def observations(statements: DataFrame, symbols: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,15 +72,16 @@ def observations(statements: DataFrame, symbols: DataFrame, members: DataFrame)
     return present, hits
 
 
-def statement_files(statements: DataFrame, slice_rows: DataFrame, artifact_hashes: DataFrame, version: str) -> DataFrame:
+def statement_files(statements: DataFrame, slice_rows: DataFrame, identities: DataFrame, artifact_hashes: DataFrame, version: str) -> DataFrame:
     """One row per evidence file: artifact, file path, body and its SHA-256."""
     folder = F.concat_ws("/", F.lit("statements"), F.col("statement_id"), F.sha2("component_purl", 256))
-    joined = statements.join(slice_rows, ["component", "cve"], "left").join(artifact_hashes, "artifact_id", "left")
+    joined = statements.join(slice_rows, ["component", "cve"], "left").join(identities, "source_name", "left").join(artifact_hashes, "artifact_id", "left")
     files = F.array(
         _file("statement.json", F.to_json(F.struct(*STATEMENT))),
         _file("inputs.json", F.to_json(F.struct("artifact_sha256"))),
         _file("observations.json", F.to_json(F.struct("symbols_observed", "symbols_absent"))),
         _file("manifest-slice.json", F.coalesce("slice", F.lit("{}"))),
+        _file("identity-slice.json", F.coalesce("identity_slice", F.lit("{}"))),
         _file("versions.json", F.to_json(F.struct(F.lit(version).alias("manifest_version"), F.lit(FORMAT_VERSION).alias("spec_version")))),
     )
     rows = joined.select("artifact_id", folder.alias("folder"), F.inline(files))
@@ -108,6 +127,18 @@ def in_vex(statements: DataFrame, vex: DataFrame) -> DataFrame:
     return statements.join(rows, same, "left_semi")
 
 
+def changed_folders(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(artifact_id, folder) of statements whose files differ between two states of the evidence, by their folders' digests."""
+    folder = F.regexp_replace("path", r"/[^/]+$", "")
+
+    def digests(files: DataFrame, out: str) -> DataFrame:
+        rows = files.withColumn("folder", folder)
+        return content_digest(rows, ["artifact_id", "folder"], LINE_FORMATS["bundle"](F.col("path"), F.col("sha256")), out)
+
+    both = digests(before, "__before").join(digests(after, "__after"), ["artifact_id", "folder"], "full")
+    return both.where(~F.col("__before").eqNullSafe(F.col("__after"))).select("artifact_id", "folder")
+
+
 def hash_checks(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Per artifact: do all expected files exist with the expected hash?"""
     found = actual.select("artifact_id", "path", F.col("sha256").alias("__actual"))

@@ -9,13 +9,15 @@ from clearwright.operators import digests as DG
 from clearwright.operators import evidence as E
 from clearwright.operators import resolve as R
 from clearwright.operators.decide import component_inventories
-from clearwright.operators.tables import once
+from clearwright.operators.replay import replay
+from clearwright.operators.tables import materialize, once
 from clearwright.plans import sqltext as Q
 from clearwright.plans import views as W
 from clearwright.plans.decisions import binary_facts, catalogue, decisions, input_files
 from clearwright.plans.registry import query
 from clearwright.plans.scalars import _UP, _UP_NAME
 from clearwright.sinks import vexdocs as X
+from clearwright.sources.corpus import statements_from_files
 
 VERSION = "1.0.0+demo"
 
@@ -63,22 +65,37 @@ def statements(spark, sf):
     return E.evidence_statements(decisions(spark, sf))
 
 
-def slice_rows(spark, sf):
-    wanted = statements(spark, sf).select("component", "cve").distinct()
-    return E.slices(wanted, W.components(spark, sf), W.entry_symbols(spark, sf), VERSION)
+def slice_rows(spark, sf, rows=None):
+    wanted = (statements(spark, sf) if rows is None else rows).select("component", "cve").distinct()
+    return E.slices(
+        wanted, W.components(spark, sf), W.entry_symbols(spark, sf), W.component_purls(spark, sf), W.identity_symbols(spark, sf),
+        W.identity_strings(spark, sf), VERSION)
 
 
 def files(spark, sf):
-    hashes = E.artifact_digests(W.inventories(spark, sf))
-    return E.statement_files(statements(spark, sf), slice_rows(spark, sf), hashes, VERSION)
+    """The evidence files, stored once: bundles, documents and verification read them."""
+    def build():
+        rows = statements(spark, sf)
+        return E.statement_files(
+            rows, slice_rows(spark, sf, rows), E.identity_slices(W.aliases(spark, sf)), E.artifact_digests(W.inventories(spark, sf)), VERSION)
+
+    return once(spark, "evidence-files", input_files(sf), build)
 
 
 _SLICES = f"""slices AS (
-  SELECT w.component, w.cve, to_json({{'version': '{VERSION}', 'component': w.component, 'provenance_status': c.provenance_status, 'cve': w.cve,
-    'vulnerable_symbols': s.syms}}) AS slice
+  SELECT w.component, w.cve, '{{"version":"{VERSION}",' || array_to_string(list_filter([
+      '"component":' || to_json(w.component), '"provenance_status":' || to_json(c.provenance_status), '"purls":' || to_json(p.items),
+      '"identity_symbols":' || to_json(y.items), '"identity_strings":' || to_json(t.items), '"cve":' || to_json(w.cve),
+      '"vulnerable_symbols":' || to_json(s.items)], lambda x: x IS NOT NULL), ',') || '}}' AS slice
   FROM (SELECT DISTINCT component, cve FROM decisions WHERE has_slice) w JOIN components c USING (component)
-  JOIN (SELECT component, cve, list({{'name': symbol, 'confidence': confidence, 'dynsym_export_verified': dynsym_export_verified}} ORDER BY symbol) AS syms
-        FROM entry_symbols GROUP BY component, cve) s ON s.component = w.component AND s.cve = w.cve)"""
+  JOIN (SELECT component, cve, list({{'name': symbol, 'confidence': confidence, 'dynsym_export_verified': dynsym_export_verified}} ORDER BY symbol) AS items
+        FROM entry_symbols GROUP BY component, cve) s ON s.component = w.component AND s.cve = w.cve
+  LEFT JOIN (SELECT component, list({{'source_file': source_file, 'position': purl_pos, 'purl': purl_text}} ORDER BY source_file, purl_pos) AS items
+        FROM component_purls GROUP BY component) p ON p.component = w.component
+  LEFT JOIN (SELECT component, list({{'symbol': symbol, 'position': position}} ORDER BY symbol) AS items
+        FROM identity_symbols GROUP BY component) y ON y.component = w.component
+  LEFT JOIN (SELECT component, list({{'pattern': pattern, 'position': position}} ORDER BY pattern, position) AS items
+        FROM identity_strings GROUP BY component) t ON t.component = w.component)"""
 
 
 @query("j22_catalogue_slices", Q.select([*Q.DECISIONS, _SLICES], "SELECT component, cve, slice, sha256(slice) AS slice_sha256 FROM slices"))
@@ -95,10 +112,12 @@ _OBS = """'{' || array_to_string(list_filter([CASE WHEN symbols_observed IS NOT
   CASE WHEN symbols_absent IS NOT NULL THEN '"symbols_absent":' || to_json(symbols_absent) END], lambda x: x IS NOT NULL), ',') || '}'"""
 _FILES = f"""files AS (
   SELECT d.artifact_id, 'statements/' || statement_id || '/' || sha256(component_purl) || '/' || f.name AS path, sha256(f.body) AS sha256
-  FROM decisions d LEFT JOIN slices s ON d.component = s.component AND d.cve = s.cve LEFT JOIN artifact_hashes h ON d.artifact_id = h.artifact_id,
+  FROM decisions d LEFT JOIN slices s ON d.component = s.component AND d.cve = s.cve LEFT JOIN artifact_hashes h ON d.artifact_id = h.artifact_id
+    LEFT JOIN aliases al ON d.source_name = al.source_name,
   LATERAL (VALUES ('statement.json', {_BODY.replace('"cve":', '"cve":').replace('to_json(cve)', 'to_json(d.cve)')}),
     ('inputs.json', '{{"artifact_sha256":"' || artifact_sha256 || '"}}'), ('observations.json', {_OBS}),
     ('manifest-slice.json', coalesce(slice, '{{}}')),
+    ('identity-slice.json', CASE WHEN al.source_name IS NULL THEN '{{}}' ELSE to_json({{'source_name': al.source_name, 'component': al.component, 'status': al.status}}) END),
     ('versions.json', '{{"manifest_version":"{VERSION}","spec_version":"{E.FORMAT_VERSION}"}}')) f(name, body)
   WHERE d.has_slice)"""
 _BUNDLES = digest_sql("files", "artifact_id", _LINES["bundle"], "bundle_id", "bundles")
@@ -128,11 +147,23 @@ def _(spark, sf):
 # ----------------------------------------------------------- verification
 
 def stored(spark, sf):
-    """Stored records, some of them altered after the fact."""
-    altered = F.length("component_purl") % 10 == 3
-    return decisions(spark, sf).select(
-        "artifact_id", "cve", "component_purl", "verdict", "justification",
-        F.when(altered, "D09").otherwise(F.col("rule_id")).alias("rule_id"), "reason_code")
+    """Statements read back from their files, some of them altered after the fact."""
+    altered = F.col("path").endswith("/statement.json") & (F.length(F.get_json_object("body", "$.component_purl")) % 10 == 3)
+    body = F.when(altered, F.regexp_replace("body", '"rule_id":"D0[0-9]"', '"rule_id":"D09"')).otherwise(F.col("body"))
+    return statements_from_files(files(spark, sf).withColumn("body", body))
+
+
+def vex_side(spark, sf):
+    """What a VEX publisher repeats: all but some of the decisions."""
+    return decisions(spark, sf).where(F.length("component_purl") % 10 != 4).select(
+        F.lower("cve").alias("vulnerability"), F.col("component_purl").alias("product_purl"),
+        V.status_of(F.col("verdict"), V.OPENVEX_STATUS).alias("status"), F.upper("justification").alias("justification"))
+
+
+def verified(spark, sf):
+    """Stored statements against verdicts derived again from their own slices and the binaries, and against the VEX side."""
+    rows = materialize(stored(spark, sf))
+    return E.verify(rows, replay(rows, binary_facts(spark, sf)), file_checks(spark, sf), vex_side(spark, sf))
 
 
 def file_checks(spark, sf):
@@ -143,10 +174,14 @@ def file_checks(spark, sf):
 
 _CHECKS = """checks AS (SELECT artifact_id, bool_and(NOT regexp_matches(path, '99$')) AS hashes_ok, count(*) FILTER (WHERE regexp_matches(path, '99$')) AS bad_files
   FROM inventories GROUP BY artifact_id)"""
-_VERIFIED = """verified AS (
-  SELECT d.artifact_id, d.cve, d.component_purl, CASE WHEN NOT coalesce(c.hashes_ok, FALSE) THEN 'UNVERIFIABLE'
-    WHEN length(component_purl) % 10 = 3 THEN 'MISMATCH' ELSE 'VERIFIED' END AS verification
-  FROM decisions d LEFT JOIN checks c ON d.artifact_id = c.artifact_id)"""
+_REPEATED = """(length(component_purl) % 10 <> 4 OR EXISTS (
+  SELECT 1 FROM decisions d WHERE d.cve = decisions.cve AND d.verdict = decisions.verdict AND length(d.component_purl) % 10 <> 4
+    AND CASE WHEN contains(d.component_purl, 'checksum=') THEN string_split(d.component_purl, '?')[1] ELSE d.component_purl END
+      = CASE WHEN contains(decisions.component_purl, 'checksum=') THEN string_split(decisions.component_purl, '?')[1] ELSE decisions.component_purl END))"""
+_VERIFIED = f"""verified AS (
+  SELECT decisions.artifact_id, cve, component_purl, CASE WHEN NOT coalesce(c.hashes_ok, FALSE) THEN 'UNVERIFIABLE'
+    WHEN length(component_purl) % 10 = 3 OR NOT {_REPEATED} THEN 'MISMATCH' ELSE 'VERIFIED' END AS verification
+  FROM decisions LEFT JOIN checks c ON decisions.artifact_id = c.artifact_id WHERE has_slice)"""
 
 
 @query("j25_bundle_hash_checks", Q.select([W.INVENTORIES, _CHECKS], "SELECT * FROM checks"))
@@ -156,26 +191,26 @@ def _(spark, sf):
 
 @query("j24_verified_statements", Q.select([*Q.DECISIONS, _CHECKS, _VERIFIED], "SELECT * FROM verified"))
 def _(spark, sf):
-    return E.verify(stored(spark, sf), decisions(spark, sf), file_checks(spark, sf))
+    return verified(spark, sf)
+
+
+@query("j24_replayed_verdicts", Q.select(Q.DECISIONS, """
+SELECT artifact_id, cve, component_purl, verdict, justification, rule_id, reason_code, component, source_name, alias_status, purl_match_quality FROM decisions WHERE has_slice"""))
+def _(spark, sf):
+    fresh = replay(statements_from_files(files(spark, sf)), binary_facts(spark, sf))
+    return fresh.select("artifact_id", "cve", "component_purl", "verdict", "justification", "rule_id", "reason_code", "component", "source_name",
+                        "alias_status", "purl_match_quality")
 
 
 @query("a23_all_verified", Q.select([*Q.DECISIONS, _CHECKS, _VERIFIED], """
 SELECT artifact_id, count(*) AS statements, bool_and(verification = 'VERIFIED') AS all_verified FROM verified GROUP BY artifact_id"""))
 def _(spark, sf):
-    return E.all_verified(E.verify(stored(spark, sf), decisions(spark, sf), file_checks(spark, sf)))
+    return E.all_verified(verified(spark, sf))
 
 
-@query("j14_statements_in_vex", Q.select(Q.DECISIONS, """
-SELECT artifact_id, cve, component_purl FROM decisions WHERE length(component_purl) % 10 <> 4 OR EXISTS (
-  SELECT 1 FROM decisions d WHERE d.cve = decisions.cve AND d.verdict = decisions.verdict AND length(d.component_purl) % 10 <> 4
-    AND CASE WHEN contains(d.component_purl, 'checksum=') THEN string_split(d.component_purl, '?')[1] ELSE d.component_purl END
-      = CASE WHEN contains(decisions.component_purl, 'checksum=') THEN string_split(decisions.component_purl, '?')[1] ELSE decisions.component_purl END)"""))
+@query("j14_statements_in_vex", Q.select(Q.DECISIONS, f"SELECT artifact_id, cve, component_purl FROM decisions WHERE {_REPEATED}"))
 def _(spark, sf):
-    d = decisions(spark, sf)
-    vex = d.where(F.length("component_purl") % 10 != 4).select(
-        F.lower("cve").alias("vulnerability"), F.col("component_purl").alias("product_purl"),
-        V.status_of(F.col("verdict"), V.OPENVEX_STATUS).alias("status"), F.upper("justification").alias("justification"))
-    return E.in_vex(d, vex).select("artifact_id", "cve", "component_purl")
+    return E.in_vex(decisions(spark, sf), vex_side(spark, sf)).select("artifact_id", "cve", "component_purl")
 
 
 @query("j23_statement_lookup", Q.select(Q.DECISIONS, """
@@ -288,10 +323,7 @@ def _(spark, sf):
 def document_inputs(spark, sf):
     """Stored once: every emitter reads it several times."""
     def build():
-        hashes = E.artifact_digests(W.inventories(spark, sf))
-        rows = statements(spark, sf)
-        slices = E.slices(rows.select("component", "cve").distinct(), W.components(spark, sf), W.entry_symbols(spark, sf), VERSION)
-        return X.document_inputs(rows, E.bundle_ids(E.statement_files(rows, slices, hashes, VERSION)), hashes, VERSION)
+        return X.document_inputs(statements(spark, sf), E.bundle_ids(files(spark, sf)), E.artifact_digests(W.inventories(spark, sf)), VERSION)
 
     return once(spark, "document-inputs", input_files(sf), build)
 
@@ -404,6 +436,4 @@ def _(spark, sf):
 @query("s20_statements_from_files", Q.select(Q.DECISIONS, """
 SELECT artifact_id, cve, component_purl, verdict, justification, rule_id, reason_code FROM decisions WHERE has_slice"""))
 def _(spark, sf):
-    from clearwright.sources.corpus import statements_from_files
-
     return statements_from_files(files(spark, sf)).select("artifact_id", *E.STATEMENT)

@@ -113,21 +113,21 @@ def label_rows(docs: DataFrame) -> DataFrame:
 
 
 def statements_from_files(files: DataFrame) -> DataFrame:
-    """Evidence files back into statements with their artifact hash and catalogue version."""
+    """Evidence files back into statements with their artifact hash, catalogue version and slices."""
     folder = F.regexp_replace("path", r"/[^/]+$", "")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
 
     def body(which: str) -> Column:
         return F.max(F.when(name == which, F.col("body")))
 
-    grouped = files.where(name.isin("statement.json", "inputs.json", "versions.json")).groupBy(
-        "artifact_id", folder.alias("folder")).agg(
-        body("statement.json").alias("s"), body("inputs.json").alias("i"), body("versions.json").alias("v"))
+    read = {"statement.json": "s", "inputs.json": "i", "versions.json": "v", "manifest-slice.json": "slice", "identity-slice.json": "identity_slice"}
+    grouped = files.where(name.isin(*read)).groupBy("artifact_id", folder.alias("folder")).agg(
+        *(body(file).alias(column) for file, column in read.items()))
     s = F.from_json("s", "cve STRING, component_purl STRING, verdict STRING, justification STRING, rule_id STRING, reason_code STRING")
     return grouped.select(
         "artifact_id", "folder", s.alias("s"), F.get_json_object("i", "$.artifact_sha256").alias("artifact_sha256"),
-        F.get_json_object("v", "$.manifest_version").alias("manifest_version")).select(
-        "artifact_id", "folder", "s.*", "artifact_sha256", "manifest_version")
+        F.get_json_object("v", "$.manifest_version").alias("manifest_version"), "slice", "identity_slice").select(
+        "artifact_id", "folder", "s.*", "artifact_sha256", "manifest_version", "slice", "identity_slice")
 
 
 def inconsistent_artifacts(statements: DataFrame) -> DataFrame:
