@@ -7,6 +7,10 @@ rarest terms follow while their lists are not much longer.  A second pass stores
 are intersected on the offset-adjusted start, and the surviving starts are compared with the
 window word by word.  A window whose rarest term does not occur costs nothing.
 
+Proximity matches stand on the same leading postings: the words stored around one show whether the window's other terms,
+all of them however frequent, lie within `slop` words of their places, and at least `need` of the distinct terms must.  A
+place is reckoned from an occurrence of the window's rarest term.
+
 Words: A-Z lower-cased runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`.  An item of fewer words than a window is one window.
 
 Cases: null texts have no words; items without words have no window; items with a null id mark hits
@@ -26,6 +30,7 @@ LISTS = 3
 LONGER = 16
 SHORT_LIST = 1000
 BROADCAST_ROWS = 200_000
+SLOP = 3
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # upper case counts as word here; words are folded later
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DOC = ["doc_id", "digest"]
@@ -87,17 +92,18 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, around: int = SIZE - 1) -> DataFrame:
-    """Stored postings (term, doc_id, digest, pos, near, from_pos) of the listed (term, leads).
+def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Stored postings (term, doc_id, digest, pos, near, from_pos) of the listed (term, left, right).
 
-    `near` has the folded words from position `from_pos` on, up to `around` on either side, for leading terms.
+    `near` has the folded words from position `from_pos` on, as many on either side as the windows that the term leads
+    ask for; it is null for terms that lead none (left is null).
     """
     rows = words(docs.select("doc_id", "text", text_digest().alias("digest")), *_DOC)
     found = rows.join(_checked(terms), F.col("word") == F.col("term"))
-    begin = F.greatest(F.lit(0), F.col("at") - around)
-    near = F.slice("pieces", begin + 1, F.col("at") - begin + around + 1)
+    begin = F.greatest(F.lit(0), F.col("at") - F.col("left"))
+    near = F.slice("pieces", begin + 1, F.col("at") - begin + F.col("right") + 1)
     return written(found.select(
-        "term", *_DOC, "pos", F.when(F.col("leads"), F.translate(F.array_join(near, " "), _UPPER, _LOWER)).alias("near"),
+        "term", *_DOC, "pos", F.when(F.col("left").isNotNull(), F.translate(F.array_join(near, " "), _UPPER, _LOWER)).alias("near"),
         (begin - F.col("at") + F.col("pos")).alias("from_pos")), "postings")
 
 
@@ -114,34 +120,46 @@ def phrase_matches(index: DataFrame, plans: DataFrame, phrases: DataFrame) -> Da
     return both.join(phrases, "wid").filter(seen == F.col("phrase")).select(*_DOC, "wid", "start", "length")
 
 
-def proximity_matches(index: DataFrame, plans: DataFrame, slop: int) -> DataFrame:
-    """(doc_id, digest, wid, start, met): leading postings with the phrase's other planned terms within `slop` words of their places.
+def proximity_matches(index: DataFrame, plans: DataFrame, phrases: DataFrame, slop: int = SLOP, need: float = 1.0) -> DataFrame:
+    """(doc_id, digest, wid, start, met, terms): leading postings around which `met` of the phrase's distinct `terms` lie within `slop` words of their places.
 
-    Starts are compared in cells of slop + 1 positions and their neighbours, so the join stays an equi-join.
+    Only those with met >= need * terms; the index must have been prepared with this slop.
     """
-    placed = index.join(_checked(plans), "term").select(*_DOC, "wid", "turn", "lists", (F.col("pos") - F.col("off")).alias("start"))
-    cell = F.floor(F.col("start") / (slop + 1))
-    lead = placed.filter("turn = 1").select(*_DOC, "wid", "lists", "start", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    other = placed.filter("turn > 1").select(*_DOC, "wid", "turn", F.col("start").alias("other"), cell.alias("cell"))
-    near = lead.join(other, [*_DOC, "wid", "cell"], "left")
-    met = F.countDistinct(F.when(F.abs(F.col("other") - F.col("start")) <= slop, F.col("turn"))) + 1
-    return near.groupBy(*_DOC, "wid", "start").agg(met.alias("met"), F.max("lists").alias("lists")).filter("met = lists").drop("lists")
+    leads = plans.filter("turn = 1").join(phrases, "wid").select("term", "wid", "off", F.split("phrase", " ").alias("wanted"))
+    at = index.filter("near is not null").join(_checked(leads), "term").select(
+        *_DOC, "wid", (F.col("pos") - F.col("off")).alias("start"), "wanted", F.split("near", " ").alias("words"), "from_pos")
+
+    def lies_near(word: Column, off: Column) -> Column:
+        place = F.col("start") + off - F.col("from_pos")  # in `words`, from 0
+        first = F.greatest(F.lit(0), place - slop)
+        return F.array_contains(F.slice("words", first + 1, F.greatest(F.lit(0), place + slop - first + 1)), word)
 
+    marked = F.transform("wanted", lambda w, i: F.when(lies_near(w, i), w))
+    met, terms = F.size(F.array_distinct(F.array_compact(marked))), F.size(F.array_distinct("wanted"))
+    found = at.select(*_DOC, "wid", "start", met.alias("met"), terms.alias("terms"))
+    return found.filter(F.col("met") >= need * F.col("terms") - 1e-9).distinct()
 
-def prepare(docs: DataFrame, items: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+
+def prepare(docs: DataFrame, items: DataFrame, size: int = SIZE, slop: int = SLOP) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(owners, phrases, plans, index): what the benchmark asks for and the postings that answer it."""
     owners = written(windows(items, size), "windows")
     phrases = written(owners.select("phrase", "length").distinct().withColumn("wid", F.monotonically_increasing_id()), "phrases")
     vocabulary = written(phrases.select(F.explode(F.split("phrase", " ")).alias("term")).distinct(), "vocabulary")
     counts = written(term_counts(docs, vocabulary), "term-counts")
     plans = written(plan(phrases, counts), "plans")
-    terms = written(plans.groupBy("term").agg(F.max(F.col("turn") == 1).alias("leads")), "planned-terms")
-    return owners, phrases, plans, build_index(docs, terms, size - 1)
+    # A window of one word is met by the posting itself.
+    leads, longer = F.col("turn") == 1, F.when(F.col("length") > 1, slop).otherwise(0)
+    terms = plans.join(phrases.select("wid", "length"), "wid").groupBy("term").agg(
+        F.max(F.when(leads, F.col("off") + longer)).alias("left"), F.max(F.when(leads, F.col("length") - 1 - F.col("off") + longer)).alias("right"))
+    return owners, phrases, plans, build_index(docs, written(terms, "planned-terms"))
+
 
+def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, slop: int = SLOP) -> DataFrame:
+    """(doc_id, digest, n_words, n_hit, items, near_items, contaminated), a row per row of `docs`; items and near_items are sorted arrays of strings.
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, digest, n_words, n_hit, items, contaminated), a row per row of `docs`; items is a sorted array of strings."""
-    owners, phrases, plans, index = prepare(docs, items, size)
+    near_items are the items with a window whose terms all lie within `slop` words of their places; they do not decide.
+    """
+    owners, phrases, plans, index = prepare(docs, items, size, slop)
     matches = written(phrase_matches(index, plans, phrases), "matches")
     spans = matches.groupBy(*_DOC, "start").agg(F.max("length").alias("length"))
     end = F.col("start") + F.col("length")
@@ -149,18 +167,26 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce("earlier", F.lit(0))))
     hits = spans.withColumn("earlier", earlier).groupBy(*_DOC).agg(F.sum(fresh).cast("long").alias("n_hit"))
     named = owners.join(phrases, "phrase").select("wid", F.col("item_id").cast("string").alias("item")).filter("item is not null")
-    listed = matches.select(*_DOC, "wid").distinct().join(named, "wid").groupBy(*_DOC).agg(F.sort_array(F.collect_set("item")).alias("items"))
-    found = hits.join(listed, [hits.doc_id.eqNullSafe(listed.doc_id), hits.digest == listed.digest], "left").select(
-        hits.doc_id.alias("d"), hits.digest.alias("g"), "n_hit", "items")
+
+    def listed(found: DataFrame, out: str) -> DataFrame:
+        """Per document the items of its matches, and no row without one."""
+        of = found.select(*_DOC, "wid").distinct().join(named, "wid").groupBy(*_DOC).agg(F.sort_array(F.collect_set("item")).alias(out))
+        return of.withColumnsRenamed({"doc_id": f"{out}_d", "digest": f"{out}_g"})
+
     rows = docs.select("doc_id", text_digest().alias("digest"), word_count().alias("n_words"))
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return rows.join(found, rows.doc_id.eqNullSafe(F.col("d")) & (rows.digest == F.col("g")), "left").select(
-        *_DOC, "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    hits = hits.withColumnsRenamed({"doc_id": "n_hit_d", "digest": "n_hit_g"})
+    near = written(proximity_matches(index, plans, phrases, slop), "near-matches")
+    for part, out in ((hits, "n_hit"), (listed(matches, "items"), "items"), (listed(near, "near_items"), "near_items")):
+        rows = rows.join(written(part, f"contamination-{out}"), rows.doc_id.eqNullSafe(F.col(f"{out}_d")) & (rows.digest == F.col(f"{out}_g")), "left").drop(f"{out}_d", f"{out}_g")
+    n_hit, none = F.coalesce("n_hit", F.lit(0).cast("long")), F.array().cast("array<string>")
+    return rows.select(
+        *_DOC, "n_words", n_hit.alias("n_hit"), *(F.coalesce(c, none).alias(c) for c in ("items", "near_items")),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """`docs` without contaminated rows."""
     bad = contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("digest").alias("bad_digest")).distinct()
-    keyed = docs.withColumn("digest_of_row", text_digest())
-    return keyed.join(bad, keyed.doc_id.eqNullSafe(bad.bad_id) & (keyed.digest_of_row == bad.bad_digest), "left_anti").select(*docs.columns)
+    # The row travels as one column, so that no column of it can clash with ours.
+    keyed = docs.select(F.col("doc_id").alias("of_id"), text_digest().alias("of_digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return keyed.join(bad, keyed.of_id.eqNullSafe(bad.bad_id) & (keyed.of_digest == bad.bad_digest), "left_anti").select("row.*")

@@ -4,10 +4,12 @@ Base detectors (leftmost, non-overlapping per kind): email, ip, card (Luhn), pho
 test are dropped.  The patterns are written so that long runs of digits or letters cost linear time:
 a failed start inside a run is never tried again.
 
-Disclosing terms: a protected entity is a normalised base value.  Over the corpus, N is the number
-of distinct texts, n_e those with entity e, n_t those with term t, and n_et those with t within CONTEXT
-characters of e.  PMI(e; t) = log(N n_et / (n_e n_t)) is at most IC(e) = log(N / n_e), and
-reaches it if t never occurs without e; PMI / IC is the share of the entity's information that the
+Disclosing terms: a protected entity is a base value, and, above it, what the value shares with others of its kind: the host of an
+address, the first half of an ip, the first four digits of a phone number, the first six of a card.  So evidence gathers
+where single values do not recur.  Over the corpus, N is the number of distinct texts, n_e those with entity e,
+n_t those with term t, and n_et those with t within CONTEXT characters of e.  Counts are smoothed by PRIOR texts with the term, in which it
+meets e as often as chance has it: PMI(e; t) = log(N (n_et + PRIOR n_e / N) / (n_e (n_t + PRIOR))).  It is at most about
+IC(e) = log(N / n_e), which it nears if t hardly occurs without e, in many texts; PMI / IC is the share of the entity's information that the
 term gives away.  From GENERALISE on a term becomes a placeholder, from REMOVE on
 it is deleted, wherever it occurs outside of base spans, in texts without the entity too; its largest share over all entities counts.  Both n_e and n_et must reach SUPPORT texts, so that one text alone proves nothing.
 Copies of a text count once.  All counts cover the whole corpus, pre-aggregated per key.
@@ -28,9 +30,10 @@ from clearwright.llm.common import text_digest, written
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 60
-SUPPORT = 3
-GENERALISE = 0.7
-REMOVE = 0.95
+SUPPORT = 2
+PRIOR = 0.5
+GENERALISE = 0.5
+REMOVE = 0.9
 BROADCAST_ROWS = 200_000
 
 _LOCAL, _HOST = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -136,32 +139,41 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     return written(rows.select(*_DOC, "base", near.alias("near")), "pii")
 
 
+def entities(span: Column) -> Column:
+    """The entities that a base span names: its value, and the wider one it belongs to."""
+    k, kind = span["k"], _kind(span["k"])
+    digits, value = _digits(span["v"]), F.lower(span["v"])
+    numbers = k.isin(KINDS.index("card"), KINDS.index("phone"))
+    wide = (
+        F.when(k == KINDS.index("email"), F.substring_index(value, "@", -1)).when(k == KINDS.index("ip"), F.substring_index(value, ".", 2))
+        .when(k == KINDS.index("card"), F.left(digits, F.lit(6))).otherwise(F.left(digits, F.lit(4))))
+    return F.array(F.concat_ws(":", kind, F.when(numbers, digits).otherwise(value)), F.concat_ws(":", F.concat(kind, F.lit("-like")), wide))
+
+
 def mentions(found: DataFrame) -> DataFrame:
-    """(doc_id, digest, entity, term, s, e): terms near each base span, with their positions."""
+    """(doc_id, digest, entity, term, s, e): terms near each base span, with their positions, once per entity of the span."""
     each = found.filter(F.size("base") > 0).select(*_DOC, "base", F.explode(F.arrays_zip("base", "near")).alias("m"))
     span, near = F.col("m.base"), F.col("m.near")
-    value = F.when(span["k"].isin(KINDS.index("card"), KINDS.index("phone")), _digits(span["v"])).otherwise(F.lower(span["v"]))
-    entity = F.concat_ws(":", _kind(span["k"]), value)
     # The context may cut a word, so a term needs a neighbour on the cut side.
     left = F.transform(_matches(near["left"], r"(?<=[^\p{L}])\p{L}++"), lambda x: F.struct((x["s"] + near["begin"]).alias("s"), (x["e"] + near["begin"]).alias("e"), x["v"].alias("v")))
     right = F.transform(_matches(near["right"], r"(?<!\p{L})\p{L}++(?=[^\p{L}])"), lambda x: F.struct((x["s"] + span["e"]).alias("s"), (x["e"] + span["e"]).alias("e"), x["v"].alias("v")))
     free = F.filter(F.concat(left, right), lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    terms = each.select(*_DOC, entity.alias("entity"), F.explode(free).alias("x"))
-    return terms.select(*_DOC, "entity", F.lower("x.v").alias("term"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    terms = each.select(*_DOC, entities(span).alias("entities"), F.explode(free).alias("x"))
+    return terms.select(*_DOC, F.explode("entities").alias("entity"), "x").select(*_DOC, "entity", F.lower("x.v").alias("term"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, near: DataFrame, text: str = "text", support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """Stored (entity, term, share): pairs whose term gives away at least `threshold` of the entity's information."""
     spans = found.select("digest", F.explode("base").alias("b"))
-    value = F.when(F.col("b.k").isin(KINDS.index("card"), KINDS.index("phone")), _digits(F.col("b.v"))).otherwise(F.lower("b.v"))
-    holders = spans.select("digest", F.concat_ws(":", _kind(F.col("b.k")), value).alias("entity")).distinct()
+    holders = spans.select("digest", F.explode(entities(F.col("b"))).alias("entity")).distinct()
     n_e = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
     n_et = near.select("entity", "term", "digest").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
     total = float(found.select("digest").distinct().count())
     information = F.log(F.lit(total) / F.col("n_e"))
+    met = F.col("n_et") + F.lit(PRIOR) * F.col("n_e") / F.lit(total)
     # Texts with the term near any entity are among those with the term, so they bound its share from above.
     near_any = near.select("term", "digest").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    most = F.log(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.col("n_near")))
+    most = F.log(F.lit(total) * met / (F.col("n_e") * (F.col("n_near") + PRIOR)))
     pairs = n_et.join(n_e, "entity").join(near_any, "term").filter(most >= threshold * information - 1e-9).drop("n_near")
     pairs = written(pairs, "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-terms")
@@ -171,7 +183,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, near: DataFrame, text: s
     else:
         words = docs.select(text_digest(text).alias("digest"), F.explode(_words(text)).alias("term"))
         n_t = words.join(listed, F.col("term") == F.col("listed")).select("term", "digest").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    pmi = F.log(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    pmi = F.log(F.lit(total) * met / (F.col("n_e") * (F.col("n_t") + PRIOR)))
     share = F.when(information > 0, pmi / information).otherwise(0.0)
     return written(pairs.join(n_t, "term").select("entity", "term", share.alias("share")).filter(F.col("share") >= threshold), "pii-disclosing")
 
@@ -181,8 +193,8 @@ def occurrences(docs: DataFrame, told: DataFrame, text: str = "text") -> DataFra
     best = written(told.groupBy(F.col("term").alias("listed")).agg(F.max("share").alias("share")), "pii-told")
     rows = docs.select("doc_id", text_digest(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     held = rows.select(*_DOC, F.explode(_words("t")).alias("word")).join(_checked(best), F.col("word") == F.col("listed"))
-    held = held.groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(F.map_from_entries(F.collect_set(F.struct("word", "share"))).alias("told"))
-    kept = rows.dropDuplicates(_DOC).join(held, rows.doc_id.eqNullSafe(held.d) & (rows.digest == held.g))
+    held = written(held.groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(F.map_from_entries(F.collect_set(F.struct("word", "share"))).alias("told")), "pii-held")
+    kept = rows.join(held, rows.doc_id.eqNullSafe(held.d) & (rows.digest == held.g))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_TERMS).alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -192,7 +204,8 @@ def occurrences(docs: DataFrame, told: DataFrame, text: str = "text") -> DataFra
 
     # Runs of letters and what lies between them alternate.
     pieces = F.split("t", r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})", -1)
-    return kept.select(F.col("d"), F.col("g"), F.aggregate(pieces, start, step, lambda acc: acc["out"]).alias("every"))
+    marked = kept.select(F.col("d"), F.col("g"), F.aggregate(pieces, start, step, lambda acc: acc["out"]).alias("every"))
+    return written(marked.dropDuplicates(["d", "g"]), "pii-marked")
 
 
 def all_spans(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -244,7 +257,9 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     """`docs` with personal data and disclosing terms taken out of the text; texts without any are left as they are."""
     spans = all_spans(docs, **options).filter((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(_DOC).select(
         F.col("doc_id").alias("span_id"), F.col("digest").alias("span_digest"), F.col("base").alias("span_base"), F.col("terms").alias("span_terms"))
-    keyed = docs.withColumn("digest_of_row", text_digest())
-    both = keyed.join(spans, keyed.doc_id.eqNullSafe(F.col("span_id")) & (F.col("digest_of_row") == F.col("span_digest")), "left")
-    text = F.when(F.col("span_base").isNull(), F.col("text")).otherwise(_rewritten(F.coalesce(F.col("text"), F.lit("")), F.col("span_base"), F.col("span_terms")))
-    return both.select(*(text.alias("text") if c == "text" else keyed[c] for c in docs.columns))
+    # The row travels as one column, so that no column of it can clash with ours.
+    keyed = docs.select(F.col("doc_id").alias("of_id"), text_digest().alias("of_digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    both = keyed.join(spans, keyed.of_id.eqNullSafe(F.col("span_id")) & (F.col("of_digest") == F.col("span_digest")), "left")
+    given = F.col("row")["text"]
+    text = F.when(F.col("span_base").isNull(), given).otherwise(_rewritten(F.coalesce(given, F.lit("")), F.col("span_base"), F.col("span_terms")))
+    return both.select(*(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -3,7 +3,8 @@
 import random
 
 SF = "/root/testdata/sf0.001"
-CLASHING = ("digest", "fp", "label", "component_id", "base", "terms", "near", "word", "pos", "pieces", "start", "ids", "decoded", "score", "kept_id")
+CLASHING = ("digest", "fp", "label", "component_id", "base", "terms", "near", "word", "pos", "pieces", "start", "ids", "decoded", "score", "kept_id",
+            "digest_of_row", "row", "size", "text_crc32", "repeat", "slot", "node", "key")
 AWKWARD = [None, "", " \t\n", "one", "one two", "One  TWO", "Ärger ÉCOLE Σ İ", "x" * 5000, "word " * 4000, "漢字 かな 😀", "<|endoftext|> a <|startoftext|>"]
 
 

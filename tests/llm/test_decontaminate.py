@@ -86,17 +86,58 @@ def test_clean_rows_stay(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(r[0] for r in brute(docs, items) if not r[4])
 
 
+def brute_proximity(docs, items, slop, need, size=13):
+    """(doc, window, start, met) for every occurrence of a window's rarest term."""
+    counts = {}
+    for _, text in docs:
+        for w in words(text):
+            counts[w] = counts.get(w, 0) + 1
+    windows = {tuple(w[s:s + size]) for _, t in items if (w := words(t)) for s in range(max(1, len(w) - size + 1))}
+    out = set()
+    for window in windows:
+        lead = min(window, key=lambda t: (counts.get(t, 0), window.index(t)))
+        if not counts.get(lead):
+            continue
+        for doc, text in docs:
+            w = words(text)
+            for p in (k for k, x in enumerate(w) if x == lead):
+                start = p - window.index(lead)
+                met = {t for k, t in enumerate(window) if t in w[max(0, start + k - slop):max(0, start + k + slop + 1)]}
+                if len(met) >= need * len(set(window)) - 1e-9:
+                    out.add((str(doc), " ".join(window), start, len(met)))
+    return out
+
+
+@pytest.mark.parametrize("slop,need,lists", [(0, 1.0, 3), (2, 1.0, 1), (3, 0.6, 3)])
+def test_proximity_over_all_terms(spark, monkeypatch, slop, need, lists):
+    """Terms above the bound of the exact plan's lists count like others."""
+    monkeypatch.setattr(D, "SHORT_LIST", 1)
+    monkeypatch.setattr(D, "LONGER", 1)
+    monkeypatch.setattr(D, "LISTS", lists)
+    docs, items = fixture()
+    _, phrases, plans, index = D.prepare(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"), slop=slop)
+    found = D.proximity_matches(index, plans, phrases, slop, need).join(phrases, "wid").collect()
+    want = brute_proximity(docs, items, slop, need)
+    assert {(str(r.doc_id), r.phrase, r.start, r.met) for r in found} == want and want
+
+
 def test_proximity(spark):
     text = "zero alpha one two beta three gamma four"
     docs = documents(spark, [(1, text), (2, "alpha x x x x x x beta gamma"), (3, "gamma beta alpha")])
     items = spark.createDataFrame([(5, "alpha beta gamma")], "item_id long, text string")
-    _, _, plans, index = D.prepare(docs, items)
-    near = {slop: {(r.doc_id, r.start) for r in D.proximity_matches(index, plans, slop).collect()} for slop in (0, 1, 2, 3)}
-    lead = {r.off for r in plans.filter("turn = 1").collect()}
-    assert lead == {0}
+    near = {}
+    for slop in (0, 1, 2, 3):
+        _, phrases, plans, index = D.prepare(docs, items, slop=slop)
+        near[slop] = {(r.doc_id, r.start) for r in D.proximity_matches(index, plans, phrases, slop).collect()}
     assert near == {0: set(), 1: set(), 2: set(), 3: {(1, 1)}}
 
 
+def test_a_window_of_one_word_stores_no_neighbours(spark):
+    docs = documents(spark, [(1, "a b word c d"), (2, "word")])
+    _, _, _, index = D.prepare(docs, spark.createDataFrame([(5, "word")], "item_id long, text string"))
+    assert {r.near for r in index.collect()} == {"word"}
+
+
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
