@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from clearwright.functions import purl as P
 from clearwright.functions import symbols as S
 from clearwright.functions import verdict as V
+from clearwright.functions import version_order as O
 from clearwright.functions.text import blank_to_null, statement_id, strip_space
 from clearwright.operators import factors
 from clearwright.operators.resolve import resolve_purls
@@ -83,14 +84,37 @@ def early_refusal() -> Column:
     )
 
 
-def resolved_findings(findings: DataFrame, cat: Catalogue) -> DataFrame:
+def outside_affected_versions(findings: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(component, cve, component_purl) of findings whose version lies in none of the entry's affected ranges.
+
+    `findings` has (component, cve, component_purl), `ranges` (component, cve, ecosystem, introduced, fixed) with open ends null.  Keys are
+    made once per distinct PURL and per range; the join is on component, id and ecosystem, and the range is a condition on
+    the few ranges of an entry.  An entry without a range for the ecosystem, or a version without an order, excludes nothing.
+    """
+    parsed = P.with_purl(findings.select("component_purl").distinct(), "component_purl")
+    keyed = parsed.select("component_purl", F.col("purl.type").alias("ecosystem"), O.version_key(F.col("purl.type"), F.col("purl.version")).alias("key")).where("key IS NOT NULL")
+    ends = {c: O.version_key(F.col("ecosystem"), F.col(c)).alias(c) for c in ("introduced", "fixed")}
+    bounds = ranges.select("component", F.upper(strip_space(F.col("cve"))).alias("cve"), "ecosystem", *ends.values())
+    asked = findings.select("component", "cve", "component_purl").distinct().join(keyed, "component_purl")
+    inside = O.in_range(F.col("key"), F.col("introduced"), F.col("fixed"))
+    return asked.join(bounds, ["component", "cve", "ecosystem"]).groupBy("component", "cve", "component_purl").agg(
+        F.bool_or(inside).alias("inside")).where("NOT inside").drop("inside")
+
+
+def resolved_findings(findings: DataFrame, cat: Catalogue, ranges: DataFrame | None = None) -> DataFrame:
     """Findings with component, quality, entry facts and the early refusal if any.
 
-    Unusable PURLs are left out here; `quarantine` lists them.
+    Unusable PURLs are left out here; `quarantine` lists them.  With `ranges` the version gate is on: an entry is no entry for
+    findings whose version it does not affect.  The gate is off by default, as the described rules have none.
     """
     resolution = resolve_purls(findings, cat.component_purls, cat.aliases).where("valid")
     facts = entry_facts(cat.entries, cat.entry_symbols)
-    joined = findings.join(resolution.drop("valid"), "component_purl").join(facts, ["component", "cve"], "left")
+    resolved = findings.join(resolution.drop("valid"), "component_purl")
+    joined = resolved.join(facts, ["component", "cve"], "left")
+    if ranges is not None:
+        outside = outside_affected_versions(resolved.where("component IS NOT NULL"), ranges).withColumn("__outside", F.lit(True))
+        gated = [F.when(F.col("__outside").isNull(), F.col(c)).alias(c) if c in facts.columns[2:] else c for c in joined.columns]
+        joined = joined.join(outside, ["component", "cve", "component_purl"], "left").select(*gated)
     return joined.select(
         "artifact_id", "cve", "component_purl", "purl_type", "direct_quality", "quality", "component",
         "source_name", "alias_status", "identity_refusal", "has_entry", "n_definitive", "all_exported",
@@ -221,6 +245,21 @@ def observed_per_entry(wanted: DataFrame, symbols: DataFrame, entry_symbols: Dat
     )
 
 
+def observed_in_component(wanted: DataFrame, members: DataFrame, symbols: DataFrame, entry_symbols: DataFrame) -> DataFrame:
+    """For each wanted (artifact, component, cve): its definitive symbols seen in binaries that carry the component.
+
+    A diagnostic: the rules look at all binaries of an artifact, so a symbol of another library can decide.
+    """
+    listed = entry_symbols.where(F.col("confidence") == "definitive").select(
+        "component", F.upper(strip_space(F.col("cve"))).alias("cve"), "symbol"
+    ).join(wanted.select("component", "cve").distinct(), ["component", "cve"], "left_semi")
+    own = members.select("artifact_id", "inventory_id", "component").distinct()
+    carried = observable(_asked(symbols, own, "artifact_id")).join(listed.select("symbol").distinct(), "symbol", "left_semi")
+    seen = carried.join(own, ["artifact_id", "inventory_id"]).select("artifact_id", "component", "symbol").distinct()
+    return wanted.join(listed, ["component", "cve"]).join(seen, ["artifact_id", "component", "symbol"]).groupBy(
+        "artifact_id", "component", "cve").agg(F.array_sort(F.collect_set("symbol")).alias("symbols_in_component_only"))
+
+
 # ------------------------------------------------------------------ cascade
 
 def verdict_columns() -> dict[str, Column]:
@@ -250,19 +289,20 @@ def verdict_columns() -> dict[str, Column]:
     return {"rule_id": rule, "reason_code": late}
 
 
-def decide(findings: DataFrame, cat: Catalogue, facts: BinaryFacts) -> DataFrame:
-    """One decision per finding with a usable PURL.
+def decide(findings: DataFrame, cat: Catalogue, facts: BinaryFacts, ranges: DataFrame | None = None) -> DataFrame:
+    """One decision per finding with a usable PURL; `ranges` turns the version gate on.
 
     Inventory lists stay in `component_inventories`; here only their counts
     appear, because one artifact may hold any number of binaries.
     """
     # Read three times below: once for rows without an entry, twice for the rest.
-    resolved = materialize(resolved_findings(findings, cat))
+    resolved = materialize(resolved_findings(findings, cat, ranges))
     refused = resolved.where(F.col("has_entry").isNull()).select(
         *_KEPT, F.lit("D03").alias("rule_id"), F.col("early_reason").alias("reason_code"),
         F.lit(None).cast("bigint").alias("n_component_inventories"),
         F.lit(None).cast("array<string>").alias("symbols_observed"),
         F.lit(None).cast("array<string>").alias("symbols_absent"),
+        F.lit(None).cast("array<string>").alias("symbols_in_component_only"),
     )
     # Rows with an entry carry evidence whatever the verdict, so all of them meet the symbols.
     open_rows = resolved.where(F.col("has_entry").isNotNull())
@@ -271,18 +311,27 @@ def decide(findings: DataFrame, cat: Catalogue, facts: BinaryFacts) -> DataFrame
     verified = cat.components.select(
         "component", (F.coalesce("provenance_status", F.lit("unverified")) == "verified").alias("verified")
     )
+    members = materialize(component_inventories(facts, cat, pairs))
+    entry = ["artifact_id", "component", "cve"]
+    own = observed_in_component(wanted, members, facts.symbols, cat.entry_symbols)
     late = (
         open_rows
         .join(usable_artifacts(facts.inventories), "artifact_id", "left")
         .join(verified, "component", "left")
-        .join(identification(component_inventories(facts, cat, pairs)), ["artifact_id", "component"], "left")
-        .join(observed_per_entry(wanted, facts.symbols, cat.entry_symbols), ["artifact_id", "component", "cve"], "left")
+        .join(identification(members), ["artifact_id", "component"], "left")
+        .join(observed_per_entry(wanted, facts.symbols, cat.entry_symbols).join(own, entry, "left"), entry, "left")
         .select(*_KEPT, *[c.alias(k) for k, c in verdict_columns().items()],
-                "n_component_inventories", "symbols_observed", "symbols_absent")
+                "n_component_inventories", "symbols_observed", "symbols_absent", own_symbols())
     )
     return finish(refused.unionByName(late))
 
 
+def own_symbols() -> Column:
+    """An empty list where the entry's symbols were looked for and the component's binaries show none."""
+    none = F.when(F.col("symbols_observed").isNotNull(), F.array().cast("array<string>"))
+    return F.coalesce("symbols_in_component_only", none).alias("symbols_in_component_only")
+
+
 _KEPT = ("artifact_id", "cve", "component_purl", "purl_type", "quality", "component", "source_name",
          "alias_status", "has_entry")
 
@@ -299,7 +348,7 @@ def finish(ruled: DataFrame) -> DataFrame:
         "component", "source_name", "alias_status",
         statement_id(F.col("cve")).alias("statement_id"),
         F.coalesce("has_entry", F.lit(False)).alias("has_slice"),
-        "n_component_inventories", "symbols_observed", "symbols_absent",
+        "n_component_inventories", "symbols_observed", "symbols_absent", "symbols_in_component_only",
     )
 
 

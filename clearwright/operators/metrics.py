@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clearwright.functions import stats
 from clearwright.functions import verdict as V
+from clearwright.operators.tables import materialize
 from clearwright.functions.text import blank_to_null
 
 # Strata reported next to the overall histogram.
@@ -273,6 +274,31 @@ def metric_rows(wide: DataFrame) -> DataFrame:
     return wide.selectExpr(f"stack({len(wide.columns)}, {columns}) AS (metric, value)")
 
 
+def library_carriers(files: DataFrame, needed: DataFrame, is_library: Column) -> DataFrame:
+    """(artifact_id, path, is_library): library files of each artifact, and the binaries that load one, directly or through others.
+
+    `files` has (artifact_id, path), `needed` (artifact_id, path, needed) the file names that a binary asks its loader for.
+    The closure grows by rounds: each joins the last round's new files, by name, with the binaries that need them, so a
+    round costs what is new, and there are as many rounds as the longest chain of libraries has links.
+    """
+    name = F.substring_index("path", "/", -1)
+    found = materialize(files.where(is_library).select("artifact_id", "path", F.lit(True).alias("is_library")).distinct())
+    last = found
+    while not last.isEmpty():
+        provided = last.select("artifact_id", name.alias("needed")).distinct()
+        loading = needed.join(provided, ["artifact_id", "needed"], "left_semi").select("artifact_id", "path").distinct()
+        last = materialize(loading.join(found, ["artifact_id", "path"], "left_anti").withColumn("is_library", F.lit(False)))
+        found = found.unionByName(last)
+    return found
+
+
+def artifacts_with_library(matched: DataFrame, carriers: DataFrame) -> DataFrame:
+    """Artifacts with a match on a library (artifact_id): how many library files and carriers of it each holds, 0 where none."""
+    counted = carriers.groupBy("artifact_id").agg(F.count_if("is_library").alias("library_files"), F.count(F.lit(1)).alias("carriers"))
+    return matched.join(counted, "artifact_id", "left").select(
+        "artifact_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("library_files", "carriers")))
+
+
 def reconcile(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Two traversals of one measure per key: where they differ, and by how much."""
     left, right = a.select(key, F.col(value).alias("a")), b.select(key, F.col(value).alias("b"))

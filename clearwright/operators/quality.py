@@ -192,14 +192,24 @@ def proposals_without_component(rows: DataFrame, components: DataFrame) -> DataF
     return violations(lost, "proposals", F.concat_ws("/", "component", "cve"), {"component_exists": F.lit(True)})
 
 
-def derive_inputs(rows: DataFrame) -> DataFrame:
-    """Derive-job rows: component fields and one row per CVE fix."""
-    return violations(rows, "derive_inputs", F.concat_ws("/", "component", "cve"), {
+def _derive_rules() -> dict[str, Column]:
+    return {
         "component_required": T.is_blank(F.col("component")), "ecosystem_required": T.is_blank(F.col("ecosystem")),
         "repo_required": T.is_blank(F.col("repo")), "purls_required": _empty("purls"),
         "identity_symbols_required": _empty("identity_symbols"), "cve_required": T.is_blank(F.col("cve")),
         "fix_commit_required": T.is_blank(F.col("fix_commit")), "affected_versions_required": _empty("affected_versions"),
-    })
+    }
+
+
+def derive_inputs(rows: DataFrame) -> DataFrame:
+    """Derive-job rows: component fields and one row per CVE fix."""
+    return violations(rows, "derive_inputs", F.concat_ws("/", "component", "cve"), _derive_rules())
+
+
+def valid_derive_inputs(rows: DataFrame) -> DataFrame:
+    """Derive-job rows that break none of the rules."""
+    broken = [F.coalesce(c, F.lit(True)) for c in _derive_rules().values()]
+    return rows.where(~F.greatest(*(b.cast("int") for b in broken)).cast("boolean"))
 
 
 def candidates(rows: DataFrame) -> DataFrame:

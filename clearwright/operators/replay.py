@@ -77,12 +77,15 @@ def replay(stored: DataFrame, facts: D.BinaryFacts) -> DataFrame:
     cat = _catalogue(scopes)
     wanted = open_rows.where("has_entry").select("artifact_id", F.col("owner").alias("component"), F.col("entry").alias("cve")).distinct()
     pairs = materialize(wanted)
-    members = D.identification(D.component_inventories(facts, cat, pairs.select("artifact_id", "component").distinct())).withColumnRenamed("component", "owner")
-    seen = D.observed_per_entry(pairs, facts.symbols, cat.entry_symbols).withColumnRenamed("component", "owner").withColumnRenamed("cve", "entry")
+    carriers = materialize(D.component_inventories(facts, cat, pairs.select("artifact_id", "component").distinct()))
+    members = D.identification(carriers).withColumnRenamed("component", "owner")
+    own = D.observed_in_component(pairs, carriers, facts.symbols, cat.entry_symbols)
+    seen = D.observed_per_entry(pairs, facts.symbols, cat.entry_symbols).join(own, ["artifact_id", "component", "cve"], "left")
+    seen = seen.withColumnRenamed("component", "owner").withColumnRenamed("cve", "entry")
     verified = cat.components.select(F.col("component").alias("owner"), (F.coalesce("provenance_status", F.lit("unverified")) == "verified").alias("verified"))
     late = (
         open_rows.join(D.usable_artifacts(facts.inventories), "artifact_id", "left").join(verified, "owner", "left")
         .join(members, ["artifact_id", "owner"], "left").join(seen, ["artifact_id", "owner", "entry"], "left"))
     kept = ("artifact_id", "cve", "component_purl", "purl_type", "quality", "component", "source_name", "alias_status", "has_entry")
     return D.finish(late.select(
-        *kept, *[c.alias(k) for k, c in D.verdict_columns().items()], "n_component_inventories", "symbols_observed", "symbols_absent"))
+        *kept, *[c.alias(k) for k, c in D.verdict_columns().items()], "n_component_inventories", "symbols_observed", "symbols_absent", D.own_symbols()))

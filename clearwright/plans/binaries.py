@@ -174,21 +174,33 @@ def _(spark, sf):
 
 
 @query("k01_decision_line_text", Q.select(Q.DECISIONS, """
-SELECT artifact_id, cve, component_purl, '"verdict":"' || verdict || '","rule_id":"' || rule_id || '"' AS fragment FROM decisions"""))
+SELECT artifact_id, '{' || array_to_string(list_filter([
+  '"cve":' || to_json(cve), '"component_purl":' || to_json(component_purl), '"verdict":' || to_json(verdict), '"rule_id":' || to_json(rule_id),
+  '"reason_code":' || to_json(reason_code), '"justification":' || to_json(justification), '"component":' || to_json(component), '"statement_id":' || to_json(statement_id),
+  CASE WHEN has_slice THEN '"evidence_bundle":' || to_json('evidence/' || artifact_id || '/statements/' || statement_id) END], lambda x: x IS NOT NULL), ',') || '}' AS line
+FROM decisions"""))
 def _(spark, sf):
-    records = decision_records(decisions(spark, sf))
-    line = F.to_json(F.struct("cve", "component_purl", "verdict", "rule_id", "reason_code", "justification"))
-    return records.select("artifact_id", "cve", "component_purl", F.regexp_extract(line, r'("verdict":"[A-Z_]+","rule_id":"D0[0-9]")', 1).alias("fragment"))
+    return TB.decision_lines(decision_records(decisions(spark, sf)))
 
 
-@query("k08_aggregate_documents", Q.select([*Q.DECISIONS, _SUMMARIES, W.ARTIFACTS], """
-SELECT 'class' AS level, to_json({'class': class, 'artifacts': count(*), 'cves_in': CAST(sum(cves_in) AS BIGINT), 'not_affected': CAST(sum(not_affected) AS BIGINT),
-  'affected': CAST(sum(affected) AS BIGINT), 'refused': CAST(sum(refused) AS BIGINT), 'decided': CAST(sum(not_affected + affected) AS BIGINT),
-  'coverage_percent': CAST(coalesce((100 * sum(not_affected + affected)) // nullif(sum(cves_in), 0), 0) AS BIGINT)}) AS document
-FROM summaries JOIN artifacts USING (artifact_id) GROUP BY class"""))
+_ROLLED = "SELECT '{0}' AS level, '{{' || array_to_string(list_filter([{1}], lambda x: x IS NOT NULL), ',') || '}}' AS document FROM ({2})"
+_TOTALS = """count(*) AS artifacts, CAST(sum(cves_in) AS BIGINT) AS cves_in, CAST(sum(not_affected) AS BIGINT) AS not_affected, CAST(sum(affected) AS BIGINT) AS affected,
+  CAST(sum(refused) AS BIGINT) AS refused FROM summaries JOIN artifacts USING (artifact_id)"""
+
+
+def _rolled(level: str, keys: str) -> str:
+    fields = [*(f"""'"{k}":' || to_json({k})""" for k in ("class", "artifact_id") if k in keys),
+              *(f"""'"{k}":' || {k}""" for k in ("artifacts", "cves_in", "not_affected", "affected", "refused")),
+              """'"decided":' || (not_affected + affected)""",
+              """'"coverage_percent":' || coalesce((100 * (not_affected + affected)) // nullif(cves_in, 0), 0)"""]
+    return _ROLLED.format(level, ", ".join(fields), f"SELECT {keys}{', ' if keys else ''}{_TOTALS}{' GROUP BY ' + keys if keys else ''}")
+
+
+@query("k08_aggregate_documents", Q.select(
+    [*Q.DECISIONS, _SUMMARIES, W.ARTIFACTS], "\nUNION ALL ".join((_rolled("total", ""), _rolled("class", "class"), _rolled("artifact", "class, artifact_id")))))
 def _(spark, sf):
     rolled = M.coverage_rollup(M.with_class(summaries(spark, sf), W.artifacts(spark, sf)))
-    return TB.aggregate_document(rolled).where(F.col("level") == "class")
+    return TB.aggregate_document(rolled)
 
 
 @query("k11_binary_profile_rows", Q.select([W.INVENTORIES, W.ARTIFACTS], """

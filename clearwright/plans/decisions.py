@@ -87,6 +87,30 @@ def _(spark, sf):
         "artifact_id", "cve", "component_purl", "component", "n_definitive", "early_reason")
 
 
+def affected_ranges(spark, sf):
+    """Affected from 1.10.0 on and fixed in 1.30.0, for the entries of every second component."""
+    some = W.entries(spark, sf).where(W.name_code(F.col("component")) % 2 == 0).select("component", "cve").distinct()
+    return some.withColumn("ecosystem", F.explode(F.array(F.lit("deb"), F.lit("rpm"), F.lit("apk")))).select(
+        "component", "cve", "ecosystem", F.lit("1.10.0").alias("introduced"), F.lit("1.30.0").alias("fixed"))
+
+
+# An epoch is beyond any range without one; below 1.30.0 only a smaller minor number is.
+_GATED = f"""gated AS (
+  SELECT r.*, purl_type IN ('deb','rpm','apk') AND {W.code_sql('r.component')} % 2 = 0 AND has_slice AND version <> ''
+    AND (contains(version, ':') OR minor < 10 OR minor >= 30) AS outside
+  FROM (SELECT r.*, p.version, CAST(nullif(regexp_extract(p.version, '^(?:[0-9]+:)?1[.]([0-9]+)[.]0', 1), '') AS INTEGER) AS minor
+        FROM resolved_findings r JOIN parsed_findings p ON r.component_purl = p.component_purl) r)"""
+
+
+@query("j04_entry_lookup_with_version_gate", Q.select([*Q.OPEN, _GATED], """
+SELECT artifact_id, cve, component_purl, component, CASE WHEN NOT coalesce(outside, FALSE) THEN n_definitive END AS n_definitive,
+  CASE WHEN coalesce(outside, FALSE) AND coalesce(early_reason, 'manifest_probable_only') = 'manifest_probable_only' THEN 'manifest_no_entry' ELSE early_reason END AS early_reason
+FROM gated"""))
+def _(spark, sf):
+    return D.resolved_findings(W.findings(spark, sf), catalogue(spark, sf), affected_ranges(spark, sf)).select(
+        "artifact_id", "cve", "component_purl", "component", "n_definitive", "early_reason")
+
+
 @query("j05_symbol_identity_hits", Q.select(
     Q.HITS, "SELECT artifact_id, inventory_id, component, reason FROM symbol_hits"))
 def _(spark, sf):
@@ -155,6 +179,22 @@ def _(spark, sf):
         F.array_join("symbols_observed", ",").alias("symbols_observed"), F.array_join("symbols_absent", ",").alias("symbols_absent"))
 
 
+@query("dx1_symbols_in_component_only", Q.select([*Q.DECISIONS, """in_component AS (
+  SELECT w.artifact_id, w.component, w.cve, list_sort(list(DISTINCT e.symbol)) AS own
+  FROM (SELECT DISTINCT artifact_id, component, cve FROM decisions WHERE has_slice) w
+  JOIN entry_symbols e ON w.component = e.component AND w.cve = e.cve AND e.confidence = 'definitive'
+  JOIN members m ON m.artifact_id = w.artifact_id AND m.component = w.component
+  JOIN symbols s ON s.artifact_id = m.artifact_id AND s.inventory_id = m.inventory_id AND (s.raw = e.symbol OR s.normalized = e.symbol)
+  GROUP BY ALL)"""], """
+SELECT artifact_id, cve, component_purl, verdict, array_to_string(symbols_observed, ',') AS symbols_observed,
+  CASE WHEN symbols_observed IS NOT NULL THEN coalesce(array_to_string(own, ','), '') END AS symbols_in_component_only
+FROM decisions LEFT JOIN in_component USING (artifact_id, component, cve) WHERE has_slice"""))
+def _(spark, sf):
+    return decisions(spark, sf).where("has_slice").select(
+        "artifact_id", "cve", "component_purl", "verdict", F.array_join("symbols_observed", ",").alias("symbols_observed"),
+        F.array_join("symbols_in_component_only", ",").alias("symbols_in_component_only"))
+
+
 @query("w02_best_match_first_on_ties", Q.select(Q.DIRECT, """
 SELECT direct_component, direct_quality, count(*) AS n FROM direct GROUP BY direct_component, direct_quality"""))
 def _(spark, sf):

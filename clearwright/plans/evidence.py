@@ -14,6 +14,7 @@ from clearwright.operators.tables import materialize, once
 from clearwright.plans import sqltext as Q
 from clearwright.plans import views as W
 from clearwright.plans.decisions import binary_facts, catalogue, decisions, input_files
+from clearwright.plans.metrics import RULE_TEXT
 from clearwright.plans.registry import query
 from clearwright.plans.scalars import _UP, _UP_NAME
 from clearwright.sinks import vexdocs as X
@@ -276,9 +277,11 @@ def _(spark, sf):
 @query("p18_explanations", Q.select(_PACK, f"""
 SELECT artifact_id, cve, component_purl, CASE WHEN justification = 'component_not_present' THEN 'clear: no binary carries the component'
   WHEN verdict = 'NOT_AFFECTED' THEN 'clear: no binary carries a listed symbol' WHEN verdict = 'AFFECTED' THEN 'at risk: a listed symbol is present'
-  ELSE 'open: the evidence does not decide' END AS verdict_text, present AS symbols_present, absent AS symbols_absent, provenance FROM pack"""))
+  ELSE 'open: the evidence does not decide' END AS verdict_text, {RULE_TEXT} AS rule_text,
+  CASE verdict WHEN 'UNDER_INVESTIGATION' THEN 'Stays open until more evidence is stored.' WHEN 'NOT_AFFECTED' THEN 'Can be derived again from the stored tables.'
+    ELSE 'Have a person read the evidence first.' END AS closing_text, present AS symbols_present, absent AS symbols_absent, provenance FROM pack"""))
 def _(spark, sf):
-    return E.explanations(pack(spark, sf)).drop("rule_text", "closing_text")
+    return E.explanations(pack(spark, sf))
 
 
 # ---------------------------------------------------------------- integrity

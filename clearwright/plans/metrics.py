@@ -132,12 +132,6 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("d05_forbidden_justifications", Q.select(Q.DECISIONS, """
-SELECT count(*) AS n FROM decisions WHERE justification NOT IN ('component_not_present','vulnerable_code_not_present')"""))
-def _(spark, sf):
-    return D.forbidden_justifications(decisions(spark, sf)).agg(F.count(F.lit(1)).alias("n"))
-
-
 _LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.REASON_LABELS.items())
 
 _SUMMARIES = f"""counts AS (
@@ -287,17 +281,15 @@ def _(spark, sf):
         stats.whole_percent(done, n).alias("coverage_percent"), F.round(stats.percent(done, n), 4).alias("coverage_pct"))
 
 
-_WORDS = {
-    "rule_text": "CASE rule_id WHEN 'D01' THEN 'D01 (component absent)' "
-                 "WHEN 'D02' THEN 'D02 (code absent)' "
-                 "WHEN 'D04' THEN 'D04 (code present)' ELSE "
-                 "'D03 (refused: ' || CASE reason_code "
-                 + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.REASON_WORDS.items()) + " ELSE reason_code END || ')' END"}
+RULE_TEXT = (
+    "CASE rule_id WHEN 'D01' THEN 'D01 (component absent)' WHEN 'D02' THEN 'D02 (code absent)' WHEN 'D04' THEN 'D04 (code present)' "
+    "ELSE 'D03 (refused: ' || CASE reason_code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.REASON_WORDS.items())
+    + " ELSE reason_code END || ')' END")
 
 
 @query("f32_reason_and_rule_texts", Q.select(Q.DECISIONS, f"""
 SELECT verdict, reason_code, CASE WHEN verdict = 'UNDER_INVESTIGATION' THEN CASE reason_code {_LABELS} ELSE reason_code END ELSE 'unspecified' END AS label,
-  {_WORDS['rule_text']} AS rule_text, count(*) AS n FROM decisions GROUP BY ALL"""))
+  {RULE_TEXT} AS rule_text, count(*) AS n FROM decisions GROUP BY ALL"""))
 def _(spark, sf):
     return decisions(spark, sf).groupBy(
         "verdict", "reason_code", V.reason_label(F.col("reason_code")).alias("label"),
@@ -328,6 +320,38 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+def needed_names(spark, sf):
+    """(artifact_id, path, needed): binary n needs the file with a third of its number."""
+    n = F.regexp_extract("path", "([0-9]+)$", 1).cast("bigint")
+    return W.inventories(spark, sf).where(n > 0).select("artifact_id", "path", F.floor(n / 3).cast("string").alias("needed"))
+
+
+_NEEDS = """needs AS (SELECT artifact_id, path, 'bin/' || CAST(n // 3 AS VARCHAR) AS needed
+  FROM (SELECT artifact_id, path, CAST(regexp_extract(path, '([0-9]+)$', 1) AS BIGINT) AS n FROM inventories) WHERE n > 0),
+library AS (SELECT artifact_id, path FROM inventories WHERE regexp_matches(path, '^bin/[0-9]*7$')),
+carriers AS (SELECT artifact_id, path FROM library
+  UNION SELECT n.artifact_id, n.path FROM needs n JOIN carriers c ON n.artifact_id = c.artifact_id AND n.needed = c.path)"""
+
+
+@query("a29_library_carriers", Q.select([W.FINDINGS, W.INVENTORIES, _NEEDS], """
+SELECT artifact_id, path, l.path IS NOT NULL AS is_library FROM carriers LEFT JOIN library l USING (artifact_id, path)""").replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, sf):
+    files = W.inventories(spark, sf).select("artifact_id", "path")
+    return M.library_carriers(files, needed_names(spark, sf), F.col("path").rlike("^bin/[0-9]*7$"))
+
+
+@query("a29_artifacts_with_library", Q.select([W.FINDINGS, W.INVENTORIES, _NEEDS], """
+SELECT f.artifact_id, CAST(count(l.path) AS BIGINT) AS library_files, CAST(count(c.path) AS BIGINT) AS carriers
+FROM (SELECT DISTINCT artifact_id FROM findings WHERE regexp_matches(lower(component_purl), 'widget|gizmo')) f
+LEFT JOIN carriers c ON f.artifact_id = c.artifact_id LEFT JOIN library l ON c.artifact_id = l.artifact_id AND c.path = l.path
+GROUP BY f.artifact_id""").replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, sf):
+    files = W.inventories(spark, sf).select("artifact_id", "path")
+    carriers = M.library_carriers(files, needed_names(spark, sf), F.col("path").rlike("^bin/[0-9]*7$"))
+    matched = W.findings(spark, sf).where(F.lower("component_purl").rlike("widget|gizmo")).select("artifact_id").distinct()
+    return M.artifacts_with_library(matched, carriers)
+
+
 _LIB = "(SELECT DISTINCT artifact_id FROM inventories WHERE regexp_matches(path, '^bin/[0-9]*77$'))"
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clearwright.functions import verdict as V
+from clearwright.operators import decide as D
 from clearwright.operators import pairing as PA
 from clearwright.operators import patches as PT
 from clearwright.operators import quality as QA
@@ -363,9 +365,7 @@ def derive_rows(spark, sf):
 @query("s27_valid_derive_inputs", """
 SELECT component, count(*) AS n FROM (SELECT replace(p_name, ' ', '-') AS component FROM part WHERE p_size % 4 <> 0 AND p_size % 3 <> 0 AND p_size % 6 <> 0) GROUP BY component""")
 def _(spark, sf):
-    rows = derive_rows(spark, sf)
-    ok = ~(F.coalesce(F.col("repo"), F.lit("")) == "") & F.col("cve").isNotNull() & (F.size("affected_versions") > 0)
-    return rows.where(ok).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return QA.valid_derive_inputs(derive_rows(spark, sf)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("v09_candidate_gate", _rules_sql({
@@ -375,10 +375,38 @@ def _(spark, sf):
     return _counted(QA.candidates(part_entries(spark, sf)))
 
 
-@query("v10_decision_invariants", Q.select(Q.DECISIONS, """
-SELECT count(*) AS n FROM decisions WHERE (verdict = 'NOT_AFFECTED' AND justification IS NULL) OR (verdict = 'UNDER_INVESTIGATION' AND reason_code IS NULL)"""))
+def damaged_decisions(spark, sf):
+    """Decisions of which some were spoilt on their way: a lost justification or reason, a reason where none belongs, an odd verdict."""
+    n = F.length("component_purl") % 12
+    return decisions(spark, sf).select(
+        "artifact_id", "cve", "component_purl",
+        F.when(n == 1, "MAYBE").otherwise(F.col("verdict")).alias("verdict"),
+        F.when(n == 2, F.lit(" ")).when(n == 3, V.FORBIDDEN_JUSTIFICATIONS[0]).otherwise(F.col("justification")).alias("justification"),
+        F.when(n == 4, F.lit(None)).when(n == 5, F.lit("why")).otherwise(F.col("reason_code")).alias("reason_code"))
+
+
+_DAMAGED = f"""damaged AS (
+  SELECT artifact_id, cve, component_purl, CASE WHEN length(component_purl) % 12 = 1 THEN 'MAYBE' ELSE verdict END AS verdict,
+    CASE length(component_purl) % 12 WHEN 2 THEN NULL WHEN 3 THEN '{V.FORBIDDEN_JUSTIFICATIONS[0]}' ELSE justification END AS justification,
+    CASE length(component_purl) % 12 WHEN 4 THEN NULL WHEN 5 THEN 'why' ELSE reason_code END AS reason_code FROM decisions)"""
+
+
+@query("v10_decision_invariants", Q.select([*Q.DECISIONS, _DAMAGED], f"""
+SELECT artifact_id || '|' || cve || '|' || component_purl AS key, rule FROM (
+  SELECT *, unnest(list_filter([
+    CASE WHEN verdict = 'MAYBE' THEN 'verdict_enum' END,
+    CASE WHEN verdict = 'NOT_AFFECTED' AND justification IS NULL THEN 'cleared_has_justification' END,
+    CASE WHEN verdict = 'UNDER_INVESTIGATION' AND reason_code IS NULL THEN 'refusal_has_reason' END,
+    CASE WHEN verdict = 'AFFECTED' AND (reason_code IS NOT NULL OR justification IS NOT NULL) THEN 'affected_has_neither' END,
+    CASE WHEN justification = '{V.FORBIDDEN_JUSTIFICATIONS[0]}' THEN 'forbidden_justification' END], lambda x: x IS NOT NULL)) AS rule FROM damaged)"""))
+def _(spark, sf):
+    return QA.decisions(damaged_decisions(spark, sf)).select("key", "rule")
+
+
+@query("d05_forbidden_justifications", Q.select([*Q.DECISIONS, _DAMAGED], f"""
+SELECT artifact_id, cve, component_purl FROM damaged WHERE justification = '{V.FORBIDDEN_JUSTIFICATIONS[0]}'"""))
 def _(spark, sf):
-    return QA.decisions(decisions(spark, sf)).agg(F.count(F.lit(1)).alias("n"))
+    return D.forbidden_justifications(damaged_decisions(spark, sf)).select("artifact_id", "cve", "component_purl")
 
 
 _COVERAGE = """SELECT 'native' AS ecosystem, replace(p_name, ' ', '-') {0} AS component, count(*) FILTER (WHERE p_size % 19 <> 0 AND p_size % 3 = 0) AS definitive,

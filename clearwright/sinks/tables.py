@@ -11,9 +11,17 @@ def write_decisions(records: DataFrame, path: str, fmt: str = "json", mode: str
     records.write.mode(mode).partitionBy("artifact_id").format(fmt).save(path)
 
 
-def write_report(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A small report as one CSV file with a header."""
-    rows.coalesce(1).write.mode(mode).option("header", "true").csv(path)
+def decision_lines(records: DataFrame) -> DataFrame:
+    """(artifact_id, line): decision records as the JSON lines that `write_decisions` writes."""
+    fields = [c for c in records.columns if c != "artifact_id"]
+    order = ("cve", "component_purl", "verdict", "rule_id", "reason_code", "justification", "component", "statement_id", "evidence_bundle")
+    return records.select("artifact_id", F.to_json(F.struct(*(c for c in order if c in fields))).alias("line"))
+
+
+def write_report(rows: DataFrame, path: str, mode: str = "overwrite", order: tuple[str, ...] = ()) -> None:
+    """A report as CSV with headers; with an `order` it is range-sorted, and its files in name order are the sorted report."""
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    ordered.write.mode(mode).option("header", "true").csv(path)
 
 
 def write_document_rows(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
