@@ -6,6 +6,10 @@ justification, indirect.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +23,6 @@ OPENVEX = (f"statements ARRAY<STRUCT<vulnerability: STRUCT<name: STRING, `@id`:
 CYCLONEDX_VEX = ("vulnerabilities ARRAY<STRUCT<id: STRING, affects: ARRAY<STRUCT<ref: STRING>>, analysis: STRUCT<state: STRING>>>, "
                  "components ARRAY<STRUCT<`bom-ref`: STRING, purl: STRING>>")
 _HELPER = "STRUCT<purl: STRING>"
-BRANCHES = f"ARRAY<STRUCT<product: STRUCT<product_id: STRING, name: STRING, product_identification_helper: {_HELPER}>, branches: STRING>>"
 CSAF = ("vulnerabilities ARRAY<STRUCT<cve: STRING, product_status: MAP<STRING, ARRAY<STRING>>, flags: ARRAY<STRUCT<label: STRING, "
         "product_ids: ARRAY<STRING>>>>>, product_tree STRUCT<branches: STRING, relationships: ARRAY<STRUCT<product_reference: STRING, "
         f"relates_to_product_reference: STRING, full_product_name: STRUCT<name: STRING, product_id: STRING, product_identification_helper: {_HELPER}>>>>")
@@ -91,22 +94,43 @@ def _plain(rows: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- CSAF
 
+def branch_products(text: str | None) -> list[tuple[list[int], str | None, str | None]]:
+    """(place, product id, PURL) of every product in a branch tree's JSON text, whatever its depth; none where it cannot be read."""
+    def words(value) -> str | None:
+        return value if value is None or isinstance(value, str) else json.dumps(value)
+
+    def field(value, name: str):
+        return value.get(name) if isinstance(value, dict) else None
+
+    try:
+        open_ = [([], json.loads(text or "null"))]
+    except (ValueError, RecursionError):
+        return []
+    found = []
+    while open_:
+        place, branches = open_.pop()
+        for n, branch in enumerate(branches if isinstance(branches, list) else []):
+            product = field(branch, "product")
+            if isinstance(product, dict):
+                own = words(product.get("product_id"))
+                named = own if own and own.strip() else words(product.get("name"))
+                found.append(([*place, n], named, words(field(product.get("product_identification_helper"), "purl"))))
+            if field(branch, "branches") is not None:
+                open_.append(([*place, n], branch["branches"]))
+    return found
+
+
 def csaf_branch_products(trees: DataFrame) -> DataFrame:
-    """Every product of a branch tree of any depth, level by level, with its place in document order."""
-    level = trees.select("doc_id", F.col("branches").alias("text"), F.array().cast("array<int>").alias("place"))
-    found = None
-    while True:
-        # Stored, so that a level parses its own texts only.
-        nodes = materialize(level.select("doc_id", "place", F.posexplode(F.from_json("text", BRANCHES)).alias("pos", "b")).select(
-            "doc_id", F.concat("place", F.array("pos")).alias("place"), "b"))
-        here = nodes.where(F.col("b.product").isNotNull()).select(
-            "doc_id", "place",
-            F.coalesce(blank_to_null(F.col("b.product.product_id")), F.col("b.product.name")).alias("product_id"),
-            F.col("b.product.product_identification_helper.purl").alias("purl_text"))
-        found = here if found is None else found.unionByName(here)
-        level = nodes.where(F.col("b.branches").isNotNull()).select("doc_id", F.col("b.branches").alias("text"), "place")
-        if level.isEmpty():
-            return found
+    """Every product of the branch trees (doc_id, branches), with its place in document order; one pass over the texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, *p) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("branches").to_pylist()) for p in branch_products(text)]
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (batch.schema.field("doc_id").type, pa.list_(pa.int32()), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "place", "product_id", "purl_text"])
+
+    kind = trees.schema["doc_id"].dataType.simpleString()
+    return trees.select("doc_id", "branches").mapInArrow(run, f"doc_id {kind}, place array<int>, product_id string, purl_text string")
 
 
 def first_registrations(regs: DataFrame) -> DataFrame:

@@ -48,6 +48,19 @@ def test_csaf_deep_tree_and_chains(spark):
     assert got == {"c2": ("pkg:a/deep@1", True), "dup": ("pkg:a/first@1", False)}
 
 
+def test_branch_trees_of_any_shape():
+    def leaf(pid):
+        return {"product": {"product_id": pid, "product_identification_helper": {"purl": f"pkg:a/{pid}"}}}
+
+    deep = [leaf("end")]
+    for _ in range(200):
+        deep = [{"branches": deep}]
+    assert SV.branch_products(json.dumps(deep)) == [([0] * 201, "end", "pkg:a/end")]
+    odd = [{"product": {"product_id": "", "name": "n"}}, {"product": 5, "branches": [leaf("x")]}, 7, None, {"product": {"product_id": 12}}]
+    assert sorted(SV.branch_products(json.dumps(odd))) == [([0], "n", None), ([1, 0], "x", "pkg:a/x"), ([4], "12", None)]
+    assert SV.branch_products(None) == SV.branch_products("{") == SV.branch_products('"x"') == SV.branch_products("[" * 100_000) == []
+
+
 def test_csaf_chain_of_a_thousand_links_settles_in_log_rounds(spark, monkeypatch):
     rounds, store = [], SV.materialize
     n = 1000
