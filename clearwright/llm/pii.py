@@ -30,10 +30,10 @@ from clearwright.llm.common import text_digest, written
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 60
-SUPPORT = 2
+SUPPORT = 3
 PRIOR = 0.5
-GENERALISE = 0.5
-REMOVE = 0.9
+GENERALISE = 0.7
+REMOVE = 0.95
 BROADCAST_ROWS = 200_000
 
 _LOCAL, _HOST = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -63,9 +63,10 @@ def _checked(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
 
 
-def _matches(text: Column, pattern: str) -> Column:
+def _matches(text: Column, pattern: str | Column) -> Column:
     """Array of (s, e, v) of all matches: pieces between matches and matches alternate."""
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -195,16 +196,10 @@ def occurrences(docs: DataFrame, told: DataFrame, text: str = "text") -> DataFra
     held = rows.select(*_DOC, F.explode(_words("t")).alias("word")).join(_checked(best), F.col("word") == F.col("listed"))
     held = written(held.groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(F.map_from_entries(F.collect_set(F.struct("word", "share"))).alias("told")), "pii-held")
     kept = rows.join(held, rows.doc_id.eqNullSafe(held.d) & (rows.digest == held.g))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_TERMS).alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        e, share = acc["at"] + F.char_length(piece), F.try_element_at("told", F.lower(piece))
-        one = F.array(F.struct(acc["at"].alias("s"), e.alias("e"), share.alias("share")))
-        return F.struct(e.alias("at"), F.when(share.isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    # Runs of letters and what lies between them alternate.
-    pieces = F.split("t", r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})", -1)
-    marked = kept.select(F.col("d"), F.col("g"), F.aggregate(pieces, start, step, lambda acc: acc["out"]).alias("every"))
+    # The told words of this text as whole runs of letters; words are letters only, so they need no quoting.
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("told"), "|"), F.lit(r")(?!\p{L})"))
+    hits = F.transform(_matches(F.col("t"), pattern), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.try_element_at("told", F.lower(x["v"])).alias("share")))
+    marked = kept.select(F.col("d"), F.col("g"), F.filter(hits, lambda x: x["share"].isNotNull()).alias("every"))
     return written(marked.dropDuplicates(["d", "g"]), "pii-marked")
 
 
