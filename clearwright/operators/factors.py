@@ -189,14 +189,17 @@ def text_key(value: Column) -> Column:
 
 
 def postings(texts: DataFrame, wanted: DataFrame, sizes: list[int], rows: int) -> DataFrame:
-    """(gram, key): which texts hold which of the wanted grams; a long text is cut into pieces that overlap."""
+    """(gram, key): which texts hold which of the wanted grams; a long text is cut into pieces that overlap.
+
+    Equal texts repeat their rows; no shuffle is spent on that, as candidates are made distinct later.
+    """
     value, reach = F.col("value"), max(sizes)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(value) - 1) / CHUNK)).cast("int"))
     piece = F.when(F.length(value) <= CHUNK, F.array(value)).otherwise(
         F.transform(starts, lambda i: F.substring(value, i * CHUNK + 1, F.lit(CHUNK + reach - 1))))
     pieces = texts.where(F.length("value") >= min(sizes)).select(text_key(value).alias("key"), F.explode(piece).alias("piece"))
     grams = F.concat(*(grams_of(F.col("piece"), n) for n in sizes))
-    return _joined(pieces.select("key", F.explode(grams).alias("gram")), wanted, rows, "gram").distinct()
+    return _joined(pieces.select("key", F.explode(grams).alias("gram")), wanted, rows, "gram")
 
 
 def matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
