@@ -57,10 +57,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(text, y) of at most about `bound` labelled documents outside the held-out fifth.
+    """(text, y) of at most about `bound` labelled documents outside the held-out fifth, a row per id.
 
     The sample is drawn by a hash of doc_id, so it is the same on every run.  Label rows
     without an id or a value are ignored; a document with several labels counts as 1 if any is 1.
+    Of documents that share an id the text of the smallest digest stands for all, so repeats of an id
+    do not enlarge the sample.  The rows come in no fixed order.
     """
     ids = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
@@ -69,4 +71,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     total = ids.count()
     share = min(1.0, bound / max(1, total))
     drawn = ids.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + (share == 1.0))
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "y")
+    found = docs.select("doc_id", "text", text_digest().alias("digest")).join(F.broadcast(drawn), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", "digest").alias("text")).select("text", "y")

@@ -147,8 +147,9 @@ def train(sample: DataFrame) -> FactorisationMachine:
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([r.tobytes() for r in rows], pa.binary())], ["y", "x"])
 
     rows = sample.select("text", "y").mapInArrow(run, "y int, x binary").toArrow()
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), dtype=np.float16).reshape(-1, WIDTH)
-    return fit(x, rows["y"].to_numpy().astype(np.float64))
+    ordered = sorted(zip(rows["x"].to_pylist(), rows["y"].to_pylist()))  # the model does not depend on the order of arrival
+    x = np.frombuffer(b"".join(r for r, _ in ordered), dtype=np.float16).reshape(-1, WIDTH)
+    return fit(x, np.array([y for _, y in ordered], dtype=np.float64))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, name: str = "score") -> DataFrame:

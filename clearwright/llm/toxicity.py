@@ -230,15 +230,16 @@ def train(sample: DataFrame) -> ToxicityModel:
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([g[0].tolist() for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.int64())], ["y", "found", "n"])
 
     seen = sample.select("text", "y").mapInArrow(run, "y int, found array<double>, n long").toArrow()
-    y = seen["y"].to_numpy().astype(np.float64)
+    ordered = sorted(zip(seen["y"].to_pylist(), seen["n"].to_pylist(), seen["found"].to_pylist()))  # sums do not depend on the order of arrival
+    y, n = (np.array([r[k] for r in ordered], dtype=np.float64) for k in (0, 1))
     if not 0 < y.sum() < len(y):
         rate = (y.sum() + 0.5) / (len(y) + 1)
         model.curve = (math.log(rate / (1 - rate)), 0.0, 0.0)
         return model
-    found, n = [np.array(f, dtype=np.float64) for f in seen["found"].to_pylist()], seen["n"].to_numpy()
+    found = [np.array(f, dtype=np.float64) for *_, f in ordered]
     best = np.array([f.max() if len(f) else 0.0 for f in found])
     model.gumbel_lambda, model.gumbel_k = fit_gumbel(best[y == 0], n[y == 0])
-    x = np.array([model.features(f, k) for f, k in zip(found, n.tolist())])
+    x = np.array([model.features(f, k) for f, k in zip(found, (k for _, k, _ in ordered))])
     model.curve = tuple(fit_logistic(x, y).tolist())
     return model
 

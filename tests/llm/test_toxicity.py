@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from tables import SF, documents, empty, rows
 
 from clearwright.llm import toxicity
@@ -88,6 +89,10 @@ def test_labels_of_the_held_out_fifth_are_not_read(spark):
     assert ids == sorted(r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5)
     few = labelled_sample(docs, labels, "toxic", 50).count()
     assert 20 < few < 90
+    again = docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat("text", F.lit("!")))).unionByName(docs.withColumn("text", F.lit(None)))
+    once, often = (labelled_sample(d, labels, "toxic", 50) for d in (docs, again))
+    assert often.count() == few  # repeats of an id add no rows
+    assert once.agg(F.sum("y")).first() == often.agg(F.sum("y")).first()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in spark.range(100).select("id", held_out("id").alias("h")).collect())
 
 
