@@ -8,8 +8,8 @@ other points exactly, and T is the smallest number of cells that reaches `recall
 over the mean point with a partner.  A point's match with itself and exact copies (one point) do not count.
 Where QUERIES points show fewer than PARTNERED with a partner, MOST_QUERIES are compared; where these are
 still too few and not all points, T must also reach `recall` for near copies made of the sampled vectors at a cosine of just
-the threshold.  Visited vectors are verified by cosine in double precision, so no
-pair below the threshold is linked.
+the threshold.  Visited vectors are verified by cosine in double precision, from components as precise as
+given, so no pair below the threshold is linked.
 
 Codebooks are fitted to at most SAMPLE vectors; every vector is indexed and is a query.  Equal vectors
 of one label are one point with a weight.  A cell with more than BLOCK members or visitors is dealt as a grid of
@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from clearwright.llm.common import small_batches, written
 from clearwright.llm.components import connected_components
@@ -242,7 +243,7 @@ def _links(points: DataFrame, dim: int, threshold: float, recall: float, block:
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "visits"])
 
     chosen = points.select("pid", "class", "weight", "vector")
-    placed = written(chosen.mapInArrow(place, "pid long, class long, weight long, vector array<float>, visits array<int>"), "vectors").withColumn("home", F.element_at("visits", 1))
+    placed = written(chosen.mapInArrow(place, f"pid long, class long, weight long, vector {points.schema['vector'].dataType.simpleString()}, visits array<int>"), "vectors").withColumn("home", F.element_at("visits", 1))
     trips = placed.select("class", "pid", "weight", "home", "vector", F.explode("visits").alias("cell"))
     both = placed.select("class", F.col("home").alias("cell"), F.lit(1).alias("m"), F.lit(0).alias("v")).unionByName(
         trips.select("class", "cell", F.lit(0).alias("m"), F.lit(1).alias("v")))
@@ -268,7 +269,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     small_batches(vectors.sparkSession, 2048)
     one = F.col("embedding")
     sound = F.col("label").isNotNull() & one.isNotNull() & F.forall(one, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(one, lambda v: v != 0)
-    rows = vectors.select("vec_id", F.col("label").alias("label"), F.when(F.coalesce(sound, F.lit(False)), one).cast("array<float>").alias("vector"))
+    kind = "array<float>" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "array<double>"
+    rows = vectors.select("vec_id", F.col("label").alias("label"), F.when(F.coalesce(sound, F.lit(False)), one).cast(kind).alias("vector"))
     points = written(
         rows.filter("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
         .withColumn("class", F.xxhash64("label")).withColumn("pid", F.monotonically_increasing_id()), "points")

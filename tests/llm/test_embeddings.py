@@ -59,6 +59,15 @@ def test_all_links_are_found_with_full_recall(spark, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_components_beyond_single_precision_decide(spark):
+    angle = np.arccos(0.93)
+    near, far = ([float(np.cos(a)), float(np.sin(a))] for a in (angle - 1e-9, angle + 1e-9))
+    assert np.float32(near).tolist() == np.float32(far).tolist()
+    rows = [(0, [1.0, 0.0], 0), (1, near, 0), (2, [1.0, 0.0], 1), (3, far, 1), (4, [1e300, 1e-300], 2), (5, [1e300, 0.0], 2)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), recall=1.0).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows[:4]) + [(4, 1, 4), (5, 1, 4)]
+
+
 def test_nearest_cells_are_the_traversal():
     rnd = np.random.default_rng(3)
     grid = embeddings.Grid(rnd.normal(size=(6, 4)), rnd.normal(size=(5, 3)))
