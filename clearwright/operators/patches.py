@@ -62,16 +62,17 @@ def enclosing_functions(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """Changed lines inside function spans of the same file and side.
 
     The range condition is joined on line buckets as well, so one huge file
-    spreads over many keys and no line meets every span of its file.
+    spreads over many keys and no line meets every span of its file.  Both sides are
+    shuffled: sizes guessed from well-packed files would send all spans through the driver.
     """
     bucketed = lines.withColumn("__bucket", F.floor(F.col("line") / BUCKET_LINES))
     crossing = F.sequence(F.floor(F.col("start_line") / BUCKET_LINES), F.floor(F.col("end_line") / BUCKET_LINES))
     split = spans.where(F.col("start_line") <= F.col("end_line")).withColumn("__bucket", F.explode(crossing))
     inside = F.col("line").between(F.col("start_line"), F.col("end_line"))
-    return bucketed.join(split, ["patch_id", "path", "side", "__bucket"]).where(inside).drop("__bucket")
+    return bucketed.join(split.hint("merge"), ["patch_id", "path", "side", "__bucket"]).where(inside).drop("__bucket")
 
 
 def touched_functions(lines: DataFrame, spans: DataFrame, fixes: DataFrame) -> DataFrame:
     """Distinct functions per fixed CVE, as rows; `fixes` has cve and patch_id."""
     return enclosing_functions(lines, spans).select("patch_id", "function").distinct().join(
-        fixes, "patch_id").select("cve", "function").distinct()
+        fixes.hint("merge"), "patch_id").select("cve", "function").distinct()
