@@ -137,7 +137,7 @@ def first_registrations(regs: DataFrame) -> DataFrame:
     """First registration of an id wins; equal PURLs later fill an empty platform."""
     first = regs.groupBy("doc_id", "product_id").agg(F.min(F.struct("place", "purl_text")).alias("f")).select(
         "doc_id", "product_id", F.col("f.purl_text").alias("purl_text"), F.col("f.place").alias("first_place"))
-    same = regs.join(first, ["doc_id", "product_id", "purl_text"])
+    same = regs.join(first.hint("merge"), ["doc_id", "product_id", "purl_text"])
     return same.groupBy("doc_id", "product_id", "purl_text", "first_place").agg(
         F.min(F.when(F.coalesce("platform", F.lit("")) != "", F.struct("place", "platform")))["platform"].alias("platform"),
         F.bool_or("indirect").alias("indirect"))
@@ -147,6 +147,8 @@ def csaf_products(docs: DataFrame) -> DataFrame:
     """product_id to PURL per document, with relationships resolved against earlier ids only.
 
     A composite id without its own PURL takes that of the product it refers to.  `settle` follows such references.
+    Joins here and there shuffle both sides: documents unpack to far more than the size guessed from their files,
+    and a side that is broadcast for that guess goes through the driver whole.
     """
     d = docs.select("doc_id", F.from_json("content", CSAF)["product_tree"].alias("t"))
     branches = csaf_branch_products(d.select("doc_id", F.col("t.branches").alias("branches"))).select(
@@ -162,7 +164,7 @@ def csaf_products(docs: DataFrame) -> DataFrame:
         rels.where(F.col("purl_text").isNotNull()).withColumn("indirect", F.lit(False)).select(*names))))
     open_rels = materialize(rels.where(F.col("purl_text").isNull()).withColumn("product_id", strip_space(F.col("product_id"))).where(
         F.coalesce("product_id", F.lit("")) != "").drop("purl_text"))
-    resolved = open_rels.join(settle(direct, open_rels), ["doc_id", "place"]).withColumn("indirect", F.lit(True)).select(*names)
+    resolved = open_rels.join(settle(direct, open_rels).hint("merge"), ["doc_id", "place"]).withColumn("indirect", F.lit(True)).select(*names)
     return first_registrations(direct.unionByName(resolved)).drop("first_place")
 
 
@@ -181,7 +183,7 @@ def settle(direct: DataFrame, open_rels: DataFrame) -> DataFrame:
     while True:
         first = known.unionByName(live).groupBy("doc_id", "reference").agg(
             F.min(F.struct("place", "purl_text")).alias("f"), F.sum("n").alias("n"))
-        found = asking.join(first, ["doc_id", "reference"], "left")
+        found = asking.join(first.hint("merge"), ["doc_id", "reference"], "left")
         earlier = F.coalesce(F.col("f.place") < F.col("place"), F.lit(False))
         rows = found.select(
             "doc_id", "place", "reference", F.when(earlier, F.col("f.purl_text")).alias("purl_text"),
@@ -191,7 +193,7 @@ def settle(direct: DataFrame, open_rels: DataFrame) -> DataFrame:
         if lost.where("again").isEmpty():
             return rows.where(F.col("purl_text").isNotNull()).select("doc_id", "place", "purl_text")
         dead = lost.where("NOT again").select("doc_id", "place")
-        live = materialize(live.join(dead, ["doc_id", "place"], "left_anti"))
+        live = materialize(live.join(dead.hint("merge"), ["doc_id", "place"], "left_anti"))
         asking = materialize(lost.where("again").select("doc_id", "place", "reference"))
         settled = rows.where("purl_text IS NOT NULL OR NOT again")
 
@@ -200,7 +202,7 @@ def _followed(rows: DataFrame) -> DataFrame:
     """Pointers followed to their ends; a row takes what its target has, and then the target's target."""
     while not rows.where(F.col("target").isNotNull()).isEmpty():
         at = rows.select("doc_id", F.col("place").alias("target"), F.col("purl_text").alias("__purl"), F.col("target").alias("__target"), F.col("again").alias("__again"))
-        open_ = rows.where(F.col("target").isNotNull()).join(at, ["doc_id", "target"], "left").select(
+        open_ = rows.where(F.col("target").isNotNull()).join(at.hint("merge"), ["doc_id", "target"], "left").select(
             "doc_id", "place", "reference", F.col("__purl").alias("purl_text"), F.col("__target").alias("target"),
             (F.col("again") | F.coalesce("__again", F.lit(False))).alias("again"))
         rows = materialize(rows.where(F.col("target").isNull()).unionByName(open_))
@@ -221,8 +223,8 @@ def csaf_statements(docs: DataFrame) -> DataFrame:
     ).groupBy("doc_id", "vpos", "product_id").agg(F.min_by("label", "fpos").alias("justification"))
     listed = vulns.select("doc_id", "vpos", F.col("v.cve").alias("vulnerability"), F.explode("v.product_status").alias("status", "ids")).select(
         "doc_id", "vpos", "vulnerability", "status", F.explode("ids").alias("product_id"))
-    joined = listed.join(csaf_products(docs), ["doc_id", "product_id"], "left").join(
-        flags, ["doc_id", "vpos", "product_id"], "left")
+    joined = listed.join(csaf_products(docs).hint("merge"), ["doc_id", "product_id"], "left").join(
+        flags.hint("merge"), ["doc_id", "vpos", "product_id"], "left")
     purl = F.coalesce("purl_text", F.when(F.col("product_id").startswith("pkg:"), strip_space(F.col("product_id"))))
     return joined.withColumn("purl", purl).where(F.col("purl").isNotNull()).select(
         "doc_id", "vulnerability", F.array("purl").alias("products"), "product_id", "platform", "status",
