@@ -39,3 +39,15 @@ def test_sample_quotas_and_replay(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, S.stratified_sample(df.repartition(3), 7).collect()))
     with pytest.raises(ValueError):
         S.stratified_sample(df.where(F.col("class") != "firmware"), 7)
+
+
+def test_sample_of_short_quotas_takes_what_there_is(spark):
+    rows = [("firmware" if i < 10 else "oci-app", "a", f"CVE-{i}", "p", "not_affected" if i % 40 == 0 else "refusal",
+             None if i % 40 == 0 else f"r{i % 3}") for i in range(160)]
+    df = spark.createDataFrame(rows, "class string, artifact_id string, cve string, component_purl string, kind string, reason_code string")
+    got = S.stratified_sample(df, 7, strict=False).collect()
+    assert len(got) == len({r["cve"] for r in got}) == 100
+    assert sum(r["class"] == "firmware" for r in got) >= 10 and sum(r["kind"] == "not_affected" for r in got) == 4
+    few = S.stratified_sample(df.limit(30), 7, strict=False)
+    assert few.count() == 30
+    assert S.stratified_sample(df.limit(0), 7, strict=False).count() == 0
