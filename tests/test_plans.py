@@ -1,6 +1,8 @@
 """Joins of unpacked rows never send a side through the driver, whatever its guessed size."""
 
+from clearwright.operators import decide as D
 from clearwright.operators import patches as PT
+from clearwright.plans import views as W
 from clearwright.sources import vex as SV
 
 
@@ -24,3 +26,16 @@ def test_csaf_joins_are_shuffled(spark):
     rows = SV.csaf_statements(spark.createDataFrame([("d", body)], "doc_id string, content string"))
     assert "BroadcastExchange" not in _plan(rows)
     assert [(r.products, r.justification, r.indirect) for r in rows.collect()] == [(["pkg:a/x@1"], "l", True)]
+
+
+def test_one_row_group_of_texts_is_worked_on_by_several_tasks(spark):
+    sf = "/root/testdata/sf0.001"
+    assert spark.read.parquet(f"{sf}/documents.parquet").rdd.getNumPartitions() == 1
+    for rows in (W.ro_strings(spark, sf), W.symbols(spark, sf), W.inventories(spark, sf)):
+        assert rows.rdd.getNumPartitions() > 1
+
+
+def test_few_artifacts_do_not_shuffle_the_symbols(spark):
+    symbols = spark.createDataFrame([("a", "i", "f", "f"), ("b", "i", "f", "f")], "artifact_id string, inventory_id string, raw string, normalized string")
+    asked = D._asked(symbols.repartition(3), spark.createDataFrame([("a", "c")], "artifact_id string, component string"), "artifact_id")
+    assert "SortMergeJoin" not in _plan(asked) and [r.artifact_id for r in asked.collect()] == ["a"]
