@@ -28,7 +28,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from typing import NamedTuple
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,7 @@ BITS_PER_KEY = 8
 BLOCK_BITS = 1 << 24
 MOST_ROWS = 4096
 MOST_TERMS = 400_000
+KEY_CHUNK, COUNT_ROWS = 1 << 16, 1 << 14
 BATCH_ITEMS, BATCH_BYTES = 512, 1 << 20
 _TERM_CHUNK = 512
 _COMMON = 4
@@ -93,21 +94,27 @@ class _Hashes(dict):
         return h
 
 
-class _Row(NamedTuple):
-    n: int
-    doc_id: int | None
-    key: int
-    digest: bytes
-    keys: np.ndarray
+class _Open:
+    """A block that is being filled: its bits are set row by row, so that no keys are held."""
 
+    def __init__(self, bits: int):
+        self.bits, self.most = bits, max(8, min(MOST_ROWS, BLOCK_BITS // bits))
+        self.matrix = np.zeros((bits, -(-self.most // 8)), dtype=np.uint8)
+        self.n, self.doc_ids, self.keys, self.digests = [], [], [], []
 
-def _block(rows: list[_Row], bits: int) -> pa.RecordBatch:
-    matrix = np.zeros((bits, -(-len(rows) // 8) * 8), dtype=np.uint8)
-    owner = np.repeat(np.arange(len(rows)), [len(r.keys) for r in rows])
-    matrix[slices_of(np.concatenate([r.keys for r in rows]), bits), owner[:, None]] = 1
-    values = [None, None, len(rows), bits, sum(r.n for r in rows), [r.n for r in rows], [r.doc_id for r in rows], [r.key for r in rows],
-              b"".join(r.digest for r in rows), np.packbits(matrix, axis=1, bitorder="little").tobytes()]
-    return _batch([[v] for v in values])
+    def add(self, n: int, doc_id: int | None, key: int, digest: bytes, keys: np.ndarray) -> bool:
+        """Whether the block is full now."""
+        row = len(self.n)
+        for at in range(0, len(keys), KEY_CHUNK):
+            self.matrix[slices_of(keys[at:at + KEY_CHUNK], self.bits).ravel(), row >> 3] |= np.uint8(1 << (row & 7))
+        for held, value in ((self.n, n), (self.doc_ids, doc_id), (self.keys, key), (self.digests, digest)):
+            held.append(value)
+        return len(self.n) >= self.most
+
+    def batch(self) -> pa.RecordBatch:
+        rows = len(self.n)
+        values = [None, None, rows, self.bits, sum(self.n), self.n, self.doc_ids, self.keys, b"".join(self.digests), self.matrix[:, :-(-rows // 8)].tobytes()]
+        return _batch([[v] for v in values])
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
@@ -116,8 +123,10 @@ def _batch(columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in _INDEX.split(", ")])
 
 
-def _document_counts(df: Counter) -> pa.RecordBatch:
-    return _batch([list(df), list(df.values()), *([None] * len(df) for _ in range(8))])
+def _document_counts(df: Counter) -> Iterator[pa.RecordBatch]:
+    left = iter(df.items())
+    while part := list(islice(left, COUNT_ROWS)):
+        yield _batch([*map(list, zip(*part)), *([None] * len(part) for _ in range(8))])
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,20 +139,18 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = Counter(words)
             df.update(counts.keys())
             if len(df) > MOST_TERMS:
-                yield _document_counts(df)
+                yield from _document_counts(df)
                 df.clear()
             own = np.fromiter(map(hashes.__getitem__, counts), np.uint64, len(counts))
             level = levels_of(np.fromiter(counts.values(), np.int64, len(counts)))
             keys = np.concatenate([keys_of(own[level > at], at) for at in range(level.max())])
             bits = 1 << max(6, math.ceil(math.log2(BITS_PER_KEY * len(keys))))
-            rows = open_blocks.setdefault(bits, [])
-            rows.append(_Row(len(words), doc_id, key, hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), keys))
-            if len(rows) >= max(8, min(MOST_ROWS, BLOCK_BITS // bits)):
-                yield _block(open_blocks.pop(bits), bits)
+            block = open_blocks[bits] if bits in open_blocks else open_blocks.setdefault(bits, _Open(bits))
+            if block.add(len(words), doc_id, key, hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), keys):
+                yield open_blocks.pop(bits).batch()
     for bits in list(open_blocks):
-        yield _block(open_blocks.pop(bits), bits)
-    if df:
-        yield _document_counts(df)
+        yield open_blocks.pop(bits).batch()
+    yield from _document_counts(df)
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from tables import SF, documents, empty, rows
 
 from clearwright.llm import bloom_search as S
@@ -101,3 +102,15 @@ def test_query(spark):
     data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert result(QUERIES["op11_bloom_search"](spark, SF)) == brute(data, items)
+
+
+def test_blocks_are_filled_in_little_memory():
+    import tracemalloc
+
+    text = " ".join(f"w{i}" for i in range(8192))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(256)), pa.array(range(256)), pa.array([text] * 256)], ["doc_id", "key", "text"])
+    tracemalloc.start()
+    rows = [len(b) for b in S._build(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(rows) == 1 + 8192 and peak < 100 << 20
