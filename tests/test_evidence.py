@@ -123,3 +123,21 @@ def test_lookups_have_a_row_each(spark):
     assert sorted((r.cve, r.wanted_purl or "", r.matches, r.component_purl or "", r.outcome) for r in got) == [
         ("C1", "", 2, "p1", "ambiguous"), ("C1", "", 2, "p1", "ambiguous"), ("C1", "p2", 1, "p2", "found"), ("C2", "", 1, "p1", "found"),
         ("C2", "p9", 0, "", "none"), ("C3", "", 0, "", "none")]
+
+
+def test_symbol_observations_search_no_strings(spark, monkeypatch):
+    """The query returns observed symbols alone, so the identity regexes of all components are not tried for it."""
+    from clearwright.operators import factors
+    from clearwright.plans import catalog, evidence, views
+
+    def searched(*_):
+        raise AssertionError("strings were searched")
+
+    sf = "/root/testdata/sf0.001"
+    shown = views.symbols(spark, sf).groupBy("artifact_id", "normalized").count().orderBy(F.desc("count"), "artifact_id", "normalized").first()
+    row = (shown.artifact_id, "S", "CVE-1", "pkg:generic/x", "AFFECTED", None, "D04", None, "x", None, [shown.normalized], [], True)
+    made = spark.createDataFrame([row, (*row[:3], "pkg:generic/y", *row[4:])], SCHEMA + ", source_name string, symbols_observed array<string>, symbols_absent array<string>, has_slice boolean")
+    monkeypatch.setattr(factors, "matches", searched)
+    monkeypatch.setattr(evidence, "decisions", lambda *_: made)
+    got = catalog.QUERIES["k03_symbol_observations"](spark, sf).collect()
+    assert len(got) == 2 * shown["count"] and {(r.artifact_id, r.symbol) for r in got} == {(shown.artifact_id, shown.normalized)}
