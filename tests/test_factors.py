@@ -62,3 +62,16 @@ def test_a_match_across_pieces_is_found(spark):
     border = FA.CHUNK - 4
     text = "." * border + "crossing" + "." * 100
     assert pairs(spark, [text], ["crossing"]) == [(0, "crossing")]
+
+
+def test_seams_of_words_are_looked_up_and_not_every_position(spark):
+    rnd = random.Random(7)
+    words = ["a", "in", "the", "lorem", "Ipsum", "dolor.", "é", "", "x1", "of", "LOREM"]
+    strings = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 9))) for _ in range(200)] + [" ", "  ", "a" * 70 + " b", None, ""]
+    patterns = ["Lorem Ips[a-z]+[ ,.]", "orem i", "(?i)LOREM IPSUM", "the of", "a the", "a b", "in a", "lorem  Ipsum", "(the|of) lorem", "x1 (?:a|in )the", " a ", "m ipsum dol|é the lor"]
+    assert pairs(spark, strings, patterns) == plain(strings, patterns)
+    sizes = {r.n for r in FA._probes(spark.createDataFrame([("Ab cde[ ,.]",), ("Abcde fghij[ ,.]",), ("A man[ ,.]",)], "pattern string")).collect()}
+    assert sizes == {22, 44, 12}  # none by position
+    border = "x" * (FA.CHUNK - 3)
+    for shift in range(7):
+        assert pairs(spark, [border[shift:] + " abcd efgh " + border], ["abcd efgh"]) == [(0, "abcd efgh")]
