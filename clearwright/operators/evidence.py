@@ -35,7 +35,7 @@ def slices(wanted: DataFrame, components: DataFrame, entry_symbols: DataFrame, c
 
     def listed(rows: DataFrame, keys: list[str], out: str, **fields: str) -> DataFrame:
         item = F.struct(*(F.col(c).alias(name) for name, c in fields.items()))
-        return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias(out))
+        return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias(out))
 
     per_entry = listed(entry_symbols, ["component", "cve"], "vulnerable_symbols", name="symbol", confidence="confidence", dynsym_export_verified="dynsym_export_verified")
     about = components.select("component", "provenance_status").join(asked, "component", "left_semi")
@@ -45,10 +45,13 @@ def slices(wanted: DataFrame, components: DataFrame, entry_symbols: DataFrame, c
         (identity_strings, "identity_strings", {"pattern": "pattern", "position": "position"}),
     ):
         about = about.join(listed(rows.join(asked, "component", "left_semi"), ["component"], out, **fields), "component", "left")
-    body = F.to_json(F.struct(
-        F.lit(version).alias("version"), F.col("component"), "provenance_status", "purls", "identity_symbols", "identity_strings", F.col("cve"), "vulnerable_symbols"))
-    return wanted.join(per_entry, ["component", "cve"]).join(about, "component").select(
-        "component", "cve", body.alias("slice"), F.sha2(body, 256).alias("slice_sha256"))
+    # What is of the component is written once per component; a slice adds its entry.  Version and cve are never null, so neither part is empty.
+    head = F.to_json(F.struct(F.lit(version).alias("version"), F.col("component"), "provenance_status", "purls", "identity_symbols", "identity_strings"))
+    heads = materialize(about.select("component", head.alias("head")).withColumn("head", F.substring("head", F.lit(1), F.length("head") - 1)))
+    entry = F.to_json(F.struct("cve", "vulnerable_symbols"))
+    body = F.concat("head", F.lit(","), F.substring(entry, 2, F.length(entry)))
+    known = joined(wanted.join(per_entry, ["component", "cve"]), heads, heads.count(), "component")
+    return known.select("component", "cve", body.alias("slice")).select("component", "cve", "slice", F.sha2("slice", 256).alias("slice_sha256"))
 
 
 def identity_slices(aliases: DataFrame) -> DataFrame:
@@ -86,22 +89,23 @@ def observations(statements: DataFrame, symbols: DataFrame, members: DataFrame)
 def statement_files(statements: DataFrame, slice_rows: DataFrame, identities: DataFrame, artifact_hashes: DataFrame, version: str) -> DataFrame:
     """One row per evidence file: artifact, file path, body and its SHA-256."""
     folder = F.concat_ws("/", F.lit("statements"), F.col("statement_id"), F.sha2("component_purl", 256))
-    joined = statements.join(slice_rows, ["component", "cve"], "left").join(identities, "source_name", "left").join(artifact_hashes, "artifact_id", "left")
+    rows = statements.join(slice_rows, ["component", "cve"], "left").join(identities, "source_name", "left").join(artifact_hashes, "artifact_id", "left")
     files = F.array(
         _file("statement.json", F.to_json(F.struct(*STATEMENT))),
         _file("inputs.json", F.to_json(F.struct("artifact_sha256"))),
         _file("observations.json", F.to_json(F.struct("symbols_observed", "symbols_absent"))),
-        _file("manifest-slice.json", F.coalesce("slice", F.lit("{}"))),
+        _file("manifest-slice.json", F.coalesce("slice", F.lit("{}")), F.col("slice_sha256")),
         _file("identity-slice.json", F.coalesce("identity_slice", F.lit("{}"))),
         _file("versions.json", F.to_json(F.struct(F.lit(version).alias("manifest_version"), F.lit(FORMAT_VERSION).alias("spec_version")))),
     )
-    rows = joined.select("artifact_id", folder.alias("folder"), F.inline(files))
+    rows = rows.select("artifact_id", folder.alias("folder"), F.inline(files))
     return rows.select(
-        "artifact_id", F.concat_ws("/", "folder", "name").alias("path"), "body", F.sha2("body", 256).alias("sha256"))
+        "artifact_id", F.concat_ws("/", "folder", "name").alias("path"), "body", F.coalesce("known", F.sha2("body", 256)).alias("sha256"))
 
 
-def _file(name: str, body: Column) -> Column:
-    return F.struct(F.lit(name).alias("name"), body.alias("body"))
+def _file(name: str, body: Column, known: Column | None = None) -> Column:
+    """A file of a statement; `known` is the body's SHA-256 where many statements share it."""
+    return F.struct(F.lit(name).alias("name"), body.alias("body"), (F.lit(None).cast("string") if known is None else known).alias("known"))
 
 
 def bundle_ids(files: DataFrame) -> DataFrame:

@@ -141,3 +141,25 @@ def test_symbol_observations_search_no_strings(spark, monkeypatch):
     monkeypatch.setattr(evidence, "decisions", lambda *_: made)
     got = catalog.QUERIES["k03_symbol_observations"](spark, sf).collect()
     assert len(got) == 2 * shown["count"] and {(r.artifact_id, r.symbol) for r in got} == {(shown.artifact_id, shown.normalized)}
+
+
+def test_slices_are_one_json_text_with_known_digests(spark):
+    """The component's part is written once per component; fields without a value are left out as in one text."""
+    import hashlib
+
+    wanted = spark.createDataFrame([("x", "CVE-1"), ("x", "CVE-2"), ("y", "CVE-1"), ("z", "CVE-9")], "component string, cve string")
+    components = spark.createDataFrame([("x", "verified"), ("y", None), ("z", "verified")], "component string, provenance_status string")
+    symbols = spark.createDataFrame([("x", "CVE-1", "b", "definitive", True), ("x", "CVE-1", "a\"}", "probable", None), ("x", "CVE-2", "c", "definitive", False),
+                                     ("y", "CVE-1", "d", "definitive", True)], "component string, cve string, symbol string, confidence string, dynsym_export_verified boolean")
+    purls = spark.createDataFrame([("x", "f", 0, "pkg:generic/x")], "component string, source_file string, purl_pos int, purl_text string")
+    names = spark.createDataFrame([("x", "s}", 1)], "component string, symbol string, position int")
+    strings = spark.createDataFrame([("x", "p[}]", 0)], "component string, pattern string, position int")
+    got = E.slices(wanted, components, symbols, purls, names, strings, "1")
+    rows = {(r.component, r.cve): r for r in got.collect()}
+    assert set(rows) == {("x", "CVE-1"), ("x", "CVE-2"), ("y", "CVE-1")}
+    assert rows["y", "CVE-1"].slice == '{"version":"1","component":"y","cve":"CVE-1","vulnerable_symbols":[{"name":"d","confidence":"definitive","dynsym_export_verified":true}]}'
+    assert json.loads(rows["x", "CVE-1"].slice) == {
+        "version": "1", "component": "x", "provenance_status": "verified", "purls": [{"source_file": "f", "position": 0, "purl": "pkg:generic/x"}],
+        "identity_symbols": [{"symbol": "s}", "position": 1}], "identity_strings": [{"pattern": "p[}]", "position": 0}], "cve": "CVE-1",
+        "vulnerable_symbols": [{"name": 'a"}', "confidence": "probable"}, {"name": "b", "confidence": "definitive", "dynsym_export_verified": True}]}
+    assert all(r.slice_sha256 == hashlib.sha256(r.slice.encode()).hexdigest() for r in rows.values())
