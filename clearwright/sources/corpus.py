@@ -114,14 +114,17 @@ def label_rows(docs: DataFrame) -> DataFrame:
 
 def statements_from_files(files: DataFrame) -> DataFrame:
     """Evidence files back into statements with their artifact hash, catalogue version and slices."""
-    folder = F.regexp_replace("path", r"/[^/]+$", "")
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    # The name is cut off from the end: a regex that looks for it tries every letter of the folder as its start.
+    name = F.substring_index("path", "/", -1)
+    inside = (name != "") & (F.length(name) < F.length("path"))
+    folder = F.when(inside, F.left("path", F.length("path") - F.length(name) - 1)).otherwise(F.col("path"))
 
     def body(which: str) -> Column:
-        return F.max(F.when(name == which, F.col("body")))
+        return F.max(F.when(F.col("name") == which, F.col("body")))
 
     read = {"statement.json": "s", "inputs.json": "i", "versions.json": "v", "manifest-slice.json": "slice", "identity-slice.json": "identity_slice"}
-    grouped = files.where(name.isin(*read)).groupBy("artifact_id", folder.alias("folder")).agg(
+    named = files.select("artifact_id", "body", name.alias("name"), folder.alias("folder"))
+    grouped = named.where(F.col("name").isin(*read)).groupBy("artifact_id", "folder").agg(
         *(body(file).alias(column) for file, column in read.items()))
     s = F.from_json("s", "cve STRING, component_purl STRING, verdict STRING, justification STRING, rule_id STRING, reason_code STRING")
     return grouped.select(

@@ -1,11 +1,13 @@
 import glob
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from clearwright.operators import digests as DG
 from clearwright.operators import evidence as E
 from clearwright.sinks import vexdocs as X
+from clearwright.sources.corpus import statements_from_files
 
 ROWS = [
     ("a", "cve-2024-1", "CVE-2024-1", "pkg:generic/x@1?z=\"q", "NOT_AFFECTED", "component_not_present", "D01", None, "x"),
@@ -163,3 +165,26 @@ def test_slices_are_one_json_text_with_known_digests(spark):
         "identity_symbols": [{"symbol": "s}", "position": 1}], "identity_strings": [{"pattern": "p[}]", "position": 0}], "cve": "CVE-1",
         "vulnerable_symbols": [{"name": 'a"}', "confidence": "probable"}, {"name": "b", "confidence": "definitive", "dynsym_export_verified": True}]}
     assert all(r.slice_sha256 == hashlib.sha256(r.slice.encode()).hexdigest() for r in rows.values())
+
+
+def test_statements_are_found_below_long_folders_in_linear_time(spark):
+    body, long = '{"cve":"CVE-2024-1","verdict":"AFFECTED"}', "x" * 200_000
+    paths = [f"statements/{long}/statement.json", "statement.json", f"{long}/", "/statement.json"]
+    files = spark.createDataFrame([("a", p, body) for p in paths], "artifact_id string, path string, body string")
+    start = time.perf_counter()
+    found = {r.folder: r.cve for r in statements_from_files(files).select("folder", "cve").collect()}
+    assert time.perf_counter() - start < 20
+    assert found == {f"statements/{long}": "CVE-2024-1", "statement.json": "CVE-2024-1", "": "CVE-2024-1"}
+
+
+def test_vex_rows_are_met_by_a_hash_first(spark):
+    s = spark.createDataFrame(ROWS, SCHEMA)
+    vex = spark.createDataFrame([
+        ("cve-2024-1", "pkg:generic/x@1?z=\"q", "not_affected", "COMPONENT_NOT_PRESENT"), ("cve-2024-1", "pkg:generic/y", "affected", None),
+        ("CVE-2024-2", "pkg:generic/x@1?checksum=sha256:1", "affected", None), ("cve-2024-3", "pkg:generic/z@2", "affected", None),
+        ("cve-2024-3", "pkg:generic/z@2", "affected", None)], "vulnerability string, product_purl string, status string, justification string")
+    found = E.in_vex(s, vex)
+    assert found.columns == s.columns
+    assert sorted((r.artifact_id, r.component_purl) for r in found.collect()) == [("a", "pkg:generic/x@1"), ("a", 'pkg:generic/x@1?z="q'), ("c", "pkg:generic/z@2")]
+    plan = E.in_vex(s, vex.hint("merge"))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [__own" in plan
