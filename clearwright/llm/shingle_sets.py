@@ -9,7 +9,7 @@ Only a node (the text's digest), the set's size and the keys are stored of every
 that share a key.  A bucket's members first meet its smallest node; each set travels once per different head.  Buckets that
 are not one group by then are compared in blocks, where a bitmap bounds the intersection from above before sets are merged, and a block
 returns joining links only.  Hot heads and hot buckets are dealt to many tasks, so no task holds more than BLOCK sets of
-a side, and near copies never form all their pairs.
+a side, and near copies never form all their pairs.  Buckets of two nodes, and buckets of the same nodes as another, are not compared again.
 
 Cases: null and empty texts have no set; equal texts are one node; repeated rows are met once per task; an empty table has no links.
 """
@@ -204,6 +204,17 @@ def _in_buckets(texts: DataFrame, rows: DataFrame, width: int, similarity: float
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
+def open_buckets(grouped: DataFrame) -> DataFrame:
+    """(key): the buckets of (key, node, group) to compare after their heads have met all members.
+
+    Buckets of one group are done, and so are buckets of two nodes: one of them was the head.  Of buckets with the same nodes,
+    as told by their number and 128 bits of their nodes' hashes, one is enough.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(f"mark{salt}") for salt in (0, 1)]
+    buckets = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("members"), *marks)
+    return buckets.filter("low != high AND members > 2").groupBy("members", "mark0", "mark1").agg(F.min("key").alias("key")).select("key")
+
+
 def similar_links(docs: DataFrame, similarity: float, width: int = 5, text: str = "text", block: int = BLOCK) -> DataFrame:
     """(a, b): text digests whose sets are similar, enough of them to connect what is connected."""
     small_batches(docs.sparkSession)
@@ -216,7 +227,5 @@ def similar_links(docs: DataFrame, similarity: float, width: int = 5, text: str
     first = written(_with_heads(texts, pairs, width, similarity, block), "similar-heads")
     linked = connected_components(first, "a", "b").withColumnRenamed("node", "of")
     grouped = met.join(linked, met.node == F.col("of"), "left").select("key", "node", F.coalesce("component", "node").alias("group"))
-    # Buckets that are one group already are done.
-    open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low != high").select("key")
-    left = written(grouped.join(open_keys, "key", "left_semi"), "similar-open")
+    left = written(grouped.join(open_buckets(grouped), "key", "left_semi"), "similar-open")
     return first.unionByName(_in_buckets(texts, left, width, similarity, block))

@@ -222,9 +222,14 @@ def keep_representatives(docs: DataFrame, similarity: float | None = None, set_w
             links = links.join(at.select(F.col("node").alias(end), F.col("of_node").alias(f"label_{end}")), end)
         joined = connected_components(links.select("label_a", "label_b").filter("label_a != label_b"), "label_a", "label_b")
         found = found.join(joined, found.label == joined.node, "left").select("doc_id", "digest", F.coalesce("component", "label").alias("label"))
-    kept = found.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.digest").alias("kept_digest"))
-    # The row travels as one column, so that no column of it can clash with ours.
-    keyed = docs.select(F.col("doc_id").alias("of_id"), text_digest().alias("of_digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    times = found.groupBy("label", "doc_id", "digest").agg(F.count(F.lit(1)).alias("times"))
+    kept = times.groupBy("label").agg(F.min(F.struct("doc_id", "digest", "times")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.digest").alias("kept_digest"), "k.times")
+    # The columns travel under names of ours, so that none can clash; the two joins below read the same shuffle of them.
+    names = [f"column{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(F.col("doc_id").alias("of_id"), text_digest().alias("of_digest"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)))
     same = keyed.of_id.eqNullSafe(kept.kept_id) & (keyed.of_digest == kept.kept_digest)
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["of_id", "of_digest"]).select("row.*")
+    # Only rows that are there more than once are shuffled again, to take one of them.
+    once = keyed.join(kept.filter("times = 1"), same, "left_semi")
+    repeated = keyed.join(kept.filter("times > 1"), same, "left_semi").dropDuplicates(["of_id", "of_digest"])
+    return once.union(repeated).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))

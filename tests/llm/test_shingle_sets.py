@@ -108,3 +108,12 @@ def test_repeated_row_and_empty_table(spark):
     docs = documents(spark, [(1, "a b c d e f g h i j k l m n o p q r s t u v w x y z")] * 300 + [(2, "A b c d e f g h i j k l m n o p q r s t u v w x y z 1")])
     assert len(S.similar_links(docs, 0.8).collect()) == 1
     assert S.similar_links(empty(docs), 0.8).collect() == []
+
+
+def test_buckets_that_say_nothing_new_are_not_compared(spark):
+    rows = [(1, 5, 5), (1, 6, 6)]  # the head met the other node
+    rows += [(2, n, 7) for n in (7, 8, 9)]  # one group
+    rows += [(k, n, n) for k in (3, 4, 5) for n in (10, 11, 12)]  # the same nodes three times
+    rows += [(6, n, n) for n in (10, 11, 13)]
+    grouped = spark.createDataFrame(rows, "key long, node long, group long")
+    assert sorted(r.key for r in S.open_buckets(grouped).collect()) == [3, 6]

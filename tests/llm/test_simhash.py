@@ -107,3 +107,14 @@ def test_components_of_a_long_path_and_a_hub(spark):
     got = connected_components(spark.createDataFrame(path + hub + noise, "a long, b long"), "a", "b").collect()
     assert {(r.node, r.component) for r in got} == {(i, 0) for i in range(61)} | {(100 + i, 100) for i in range(80)}
     assert len(got) == 61 + 80
+
+
+def test_only_repeated_rows_are_shuffled_to_be_told_apart(spark):
+    texts = ["one two three four", "one two three four", "five six seven", "Five Six Seven", None]
+    docs = documents(spark, [(1, texts[0]), (1, texts[0]), (2, texts[1]), (3, texts[2]), (None, texts[4]), (None, texts[4]), (9, texts[3])])
+    kept = simhash.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, texts[0]), (3, texts[2]), (None, None)], key=str)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    union = plan[plan.index("Union"):]
+    assert union.count("times#") and "(k#" in union and " = 1)" in union and " > 1)" in union
