@@ -136,3 +136,22 @@ def test_words_of_binaries_are_read_once(spark):
     assert reads.value == more.count()
     pairs = findings.select("artifact_id").distinct().crossJoin(cat.components.select("component"))
     assert {r.raw for r in D.listed_symbols(more, cat, pairs).collect()} == {"id_clean", "id_hidden", "id_hit", "vuln_hit", "id_unverified"}
+
+
+def test_texts_that_begin_alike_are_joined_by_a_hash_first(spark):
+    left = spark.createDataFrame([("a", "pkg:x"), ("b", "pkg:y"), ("c", None)], "artifact_id string, component_purl string")
+    right = spark.createDataFrame([("pkg:x", 1), (None, 2)], "component_purl string, quality int")
+    joined = D.hashed_join(left, right, ["component_purl"], "left")
+    assert sorted((r.artifact_id, r.component_purl, r.quality) for r in joined.collect()) == [("a", "pkg:x", 1), ("b", "pkg:y", None), ("c", None, None)]
+    plan = D.hashed_join(left, right.hint("merge"), ["component_purl"])._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [__hash" in plan
+
+
+def test_symbols_of_one_entry_are_counted_over_all_texts_of_its_id(spark):
+    entries = spark.createDataFrame([("x", "CVE-1"), ("x", "CVE-2"), ("x", "CVE-3")], "component string, cve string")
+    listed = spark.createDataFrame([
+        ("x", "cve-1 ", "a", "definitive", True), ("x", "CVE-1", "b", "definitive", None), ("x", "CVE-1", "c", "probable", False),
+        ("x", " cve-2", "a", "definitive", True), ("x", "CVE-2", "b", "probable", False)],
+        "component string, cve string, symbol string, confidence string, dynsym_export_verified boolean")
+    facts = {r.cve: (r.n_symbols, r.n_definitive, r.all_exported) for r in D.entry_facts(entries, listed).collect()}
+    assert facts == {"CVE-1": (3, 2, False), "CVE-2": (2, 1, True), "CVE-3": (0, 0, False)}
