@@ -155,3 +155,25 @@ def test_symbols_of_one_entry_are_counted_over_all_texts_of_its_id(spark):
         "component string, cve string, symbol string, confidence string, dynsym_export_verified boolean")
     facts = {r.cve: (r.n_symbols, r.n_definitive, r.all_exported) for r in D.entry_facts(entries, listed).collect()}
     assert facts == {"CVE-1": (3, 2, False), "CVE-2": (2, 1, True), "CVE-3": (0, 0, False)}
+
+
+def test_purl_texts_stay_out_of_the_shuffle_to_entries(spark, monkeypatch):
+    """Findings meet entries by a number of their PURL, with a broadcast of the PURLs or without."""
+    findings, cat, facts = run(spark)
+    marked, resolution, purls = D.marked_findings(findings, cat)
+    assert set(marked.columns) == {"artifact_id", "cve", "component", "purl_number", "has_entry"}
+    assert resolution.select("purl_number").distinct().count() == purls == len({p for _, p in CASES})
+    resolved = D.resolved_findings(findings, cat)
+    monkeypatch.setattr(D.factors, "BROADCAST_ROWS", 0)
+    shuffled = D.resolved_findings(findings, cat)
+    assert sorted(map(repr, resolved.collect())) == sorted(map(repr, shuffled.collect()))
+
+
+def test_entries_are_cut_down_before_their_symbols_are_listed(spark):
+    entries = spark.createDataFrame([("x", " cve-1"), ("x", "CVE-2"), ("y", "CVE-1")], "component string, cve string")
+    words = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "c")], "component string, symbol string")
+    keys = spark.createDataFrame([("x", "CVE-1"), ("x", "CVE-1")], "component string, cve string")
+    cut = D.of_entries(entries.join(words, "component").select("component", "cve", "symbol"), keys)
+    assert sorted(map(tuple, cut.collect())) == [("x", "CVE-1", "a"), ("x", "CVE-1", "b")]
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Inner") < plan.index("LeftSemi")

@@ -1,5 +1,6 @@
 """Tables that are built once."""
 
+import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -49,3 +50,24 @@ def test_names_and_missing_inputs_are_apart(spark, tmp_path):
     a = T.once(spark, "a", [str(tmp_path / "none")], lambda: spark.range(1))
     b = T.once(spark, "b", [str(tmp_path / "none")], lambda: spark.range(2))
     assert (a.count(), b.count()) == (1, 2)
+
+
+def shuffle_files(spark):
+    return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+
+
+def test_shuffles_and_scratch_tables_go_with_the_build(spark, tmp_path):
+    """Nothing but the table itself keeps disk, however long the driver's memory is not collected."""
+    before, inside = shuffle_files(spark), []
+
+    def build():
+        some = T.stored(spark.range(1000).repartition(3, "id"))
+        with T.scratch(spark):
+            gone, kept = T.stored(some.where("id < 10")), T.stored(some.groupBy("id").count(), beyond=True)
+        inside.extend(x.inputFiles()[0].removeprefix("file:").rpartition("/")[0] for x in (some, gone, kept))
+        assert [os.path.exists(x) for x in inside] == [True, False, True]
+        return kept.join(some.hint("merge"), "id")
+
+    left = T.once(spark, "left", [str(tmp_path / "none")], build)
+    assert shuffle_files(spark) <= before
+    assert left.count() == 1000 and not any(map(os.path.exists, inside))
