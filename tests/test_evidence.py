@@ -188,3 +188,39 @@ def test_vex_rows_are_met_by_a_hash_first(spark):
     assert sorted((r.artifact_id, r.component_purl) for r in found.collect()) == [("a", "pkg:generic/x@1"), ("a", 'pkg:generic/x@1?z="q'), ("c", "pkg:generic/z@2")]
     plan = E.in_vex(s, vex.hint("merge"))._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin [__own" in plan
+
+
+def test_decisions_are_not_shuffled_for_the_pack(spark):
+    """Short lists of components and PURLs come to the decisions, whatever size the engine takes them for."""
+    rows = spark.range(40).selectExpr(
+        "'a' AS artifact_id", "'CVE-1' AS cve", "concat('pkg:npm/x', id) AS component_purl", "'UNDER_INVESTIGATION' AS verdict", "'D03' AS rule_id",
+        "'why' AS reason_code", "CAST(NULL AS STRING) AS justification", "concat('x', id % 3) AS component", "'s' AS statement_id", "id % 2 = 0 AS has_slice",
+        "1L AS n_component_inventories", "CAST(NULL AS ARRAY<STRING>) AS symbols_observed", "CAST(NULL AS ARRAY<STRING>) AS symbols_absent")
+    components = spark.createDataFrame([("x0", "verified"), ("x1", None)], "component string, provenance_status string")
+    identity = rows.selectExpr("component_purl", "'n' AS identity_source", "'direct' AS identity_status", "component AS identity_component").where("length(component_purl) = 10")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pack = E.evidence_pack(rows, components, identity)
+        assert "hashpartitioning" not in pack._jdf.queryExecution().executedPlan().toString()
+        got = {(r.component_purl, r.provenance, r.identity_component) for r in pack.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(f"pkg:npm/x{n}", "verified" if n % 6 == 0 else None, f"x{n % 3}" if n < 10 else None) for n in range(40)}
+
+
+def test_vex_rows_meet_statements_by_numbers_of_purls(spark, monkeypatch):
+    statements = spark.createDataFrame([
+        ("a", "CVE-1", "pkg:npm/x@1", "AFFECTED", None), ("a", "CVE-1", "pkg:npm/x@1?checksum=sha256:00", "AFFECTED", None),
+        ("b", "cve-1", " pkg:npm/x@1", "AFFECTED", None), ("a", "CVE-2", "pkg:npm/x@1", "AFFECTED", None), ("a", "CVE-1", "pkg:npm/y@1", "AFFECTED", None),
+        ("a", "CVE-1", "pkg:npm/x@1", "NOT_AFFECTED", "vulnerable_code_not_present"), ("a", "CVE-1", None, "AFFECTED", None)],
+        "artifact_id string, cve string, component_purl string, verdict string, justification string")
+    vex = spark.createDataFrame([
+        ("cve-1", "pkg:npm/x@1?checksum=sha256:11", "affected", None), ("CVE-1", "pkg:npm/x@1", "affected", None), ("CVE-3", "pkg:npm/y@1", "affected", None),
+        ("CVE-1", None, "affected", None)], "vulnerability string, product_purl string, status string, justification string")
+    numbered = E.in_vex(statements, vex)
+    assert "number" in numbered._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(E, "BROADCAST_ROWS", 0)
+    sorted_first = E.in_vex(statements, vex)
+    want = sorted(map(repr, statements.collect()[:3]))
+    assert [sorted(map(repr, x.collect())) for x in (numbered, sorted_first)] == [want, want] and numbered.columns == statements.columns
