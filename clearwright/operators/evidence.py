@@ -37,7 +37,9 @@ def slices(wanted: DataFrame, components: DataFrame, entry_symbols: DataFrame, c
         item = F.struct(*(F.col(c).alias(name) for name, c in fields.items()))
         return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias(out))
 
-    per_entry = listed(entry_symbols, ["component", "cve"], "vulnerable_symbols", name="symbol", confidence="confidence", dynsym_export_verified="dynsym_export_verified")
+    # Entries are cut down to the wanted ones before their symbols are listed.
+    of_wanted = entry_symbols.join(wanted.select("component", "cve").distinct(), ["component", "cve"], "left_semi")
+    per_entry = listed(of_wanted, ["component", "cve"], "vulnerable_symbols", name="symbol", confidence="confidence", dynsym_export_verified="dynsym_export_verified")
     about = components.select("component", "provenance_status").join(asked, "component", "left_semi")
     for rows, out, fields in (
         (component_purls, "purls", {"source_file": "source_file", "position": "purl_pos", "purl": "purl_text"}),
@@ -87,9 +89,16 @@ def observations(statements: DataFrame, symbols: DataFrame, members: DataFrame)
 
 
 def statement_files(statements: DataFrame, slice_rows: DataFrame, identities: DataFrame, artifact_hashes: DataFrame, version: str) -> DataFrame:
-    """One row per evidence file: artifact, file path, body and its SHA-256."""
+    """One row per evidence file: artifact, file path, body and its SHA-256.
+
+    Artifacts are few, and most statements have no source name: the slices they carry would be shuffled to a few tasks, so short lists of both
+    come to the statements.
+    """
     folder = F.concat_ws("/", F.lit("statements"), F.col("statement_id"), F.sha2("component_purl", 256))
-    rows = statements.join(slice_rows, ["component", "cve"], "left").join(identities, "source_name", "left").join(artifact_hashes, "artifact_id", "left")
+    identities, artifact_hashes = stored(identities), stored(artifact_hashes)
+    rows = statements.join(slice_rows, ["component", "cve"], "left")
+    rows = joined(rows, identities, identities.count(), "source_name", "left")
+    rows = joined(rows, artifact_hashes, artifact_hashes.count(), "artifact_id", "left")
     files = F.array(
         _file("statement.json", F.to_json(F.struct(*STATEMENT))),
         _file("inputs.json", F.to_json(F.struct("artifact_sha256"))),

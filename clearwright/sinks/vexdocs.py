@@ -19,6 +19,8 @@ from clearwright.functions import ids as I
 from clearwright.functions import purl as P
 from clearwright.functions import verdict as V
 from clearwright.functions.text import strip_space
+from clearwright.operators.factors import joined
+from clearwright.operators.tables import stored
 
 AUTHOR = "clearwright"
 VERSION = "1"
@@ -27,9 +29,14 @@ KEYS_PER_RANGE = 64
 
 
 def document_inputs(statements: DataFrame, bundles: DataFrame, hashes: DataFrame, version: str) -> DataFrame:
-    """Statements with the bundle id, artifact hash, pinned PURL and fixed timestamp of their document."""
-    joined = statements.join(bundles, "artifact_id").join(hashes, "artifact_id")
-    parsed = P.with_purl(joined, "component_purl", "__purl")
+    """Statements with the bundle id, artifact hash, pinned PURL and fixed timestamp of their document.
+
+    PURLs are parsed once per distinct text; lists of artifacts and PURLs come to the statements while they are short.
+    """
+    of_artifact = stored(bundles.join(hashes, "artifact_id"))
+    purls = stored(P.with_purl(statements.select("component_purl").distinct(), "component_purl", "__purl").select("component_purl", "__purl"))
+    placed = joined(statements, of_artifact, of_artifact.count(), "artifact_id")
+    parsed = joined(placed, purls, purls.count(), "component_purl")
     cve = F.upper(strip_space(F.col("cve")))
     return parsed.withColumn("pinned", P.pinned_canonical(F.col("__purl"), F.col("artifact_sha256"))).select(
         "artifact_id", "bundle_id", "artifact_sha256", I.timestamp_from(F.col("bundle_id")).alias("timestamp"),

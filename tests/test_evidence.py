@@ -1,5 +1,6 @@
 import glob
 import json
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -224,3 +225,40 @@ def test_vex_rows_meet_statements_by_numbers_of_purls(spark, monkeypatch):
     sorted_first = E.in_vex(statements, vex)
     want = sorted(map(repr, statements.collect()[:3]))
     assert [sorted(map(repr, x.collect())) for x in (numbered, sorted_first)] == [want, want] and numbered.columns == statements.columns
+
+
+def test_statements_are_not_dealt_by_artifact_or_source_name(spark):
+    """Few artifacts, and mostly no source name: neither may deal the statements with their slices to tasks."""
+    rows = spark.createDataFrame(ROWS, SCHEMA).selectExpr(
+        "*", "CASE WHEN artifact_id = 'b' THEN 'src' END AS source_name", "CAST(NULL AS ARRAY<STRING>) AS symbols_observed", "CAST(NULL AS ARRAY<STRING>) AS symbols_absent")
+    slices = spark.createDataFrame([("x", "CVE-2024-1", "{}", "00")], "component string, cve string, slice string, slice_sha256 string")
+    identities = spark.createDataFrame([("src", "{1}")], "source_name string, identity_slice string")
+    hashes = spark.createDataFrame([("a", "11"), ("b", "22")], "artifact_id string, artifact_sha256 string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = E.statement_files(rows, slices, identities, hashes, "1")
+        inputs = X.document_inputs(rows, hashes.selectExpr("artifact_id", "concat('b', artifact_id) AS bundle_id"), hashes, "1")
+        for df in (files, inputs):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"hashpartitioning\((artifact_id|source_name|component_purl)#", plan)
+        bodies = {(r.artifact_id, r.path.rpartition("/")[2]): r.body for r in files.collect() if r.path.endswith(("inputs.json", "identity-slice.json"))}
+        got = {(r.artifact_id, r.bundle_id, r.artifact_sha256, r.component_purl, r.name, r.version) for r in inputs.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert bodies == {("a", "inputs.json"): '{"artifact_sha256":"11"}', ("b", "inputs.json"): '{"artifact_sha256":"22"}', ("c", "inputs.json"): "{}",
+                      ("a", "identity-slice.json"): "{}", ("b", "identity-slice.json"): "{1}", ("c", "identity-slice.json"): "{}"}
+    assert got == {("a", "ba", "11", ROWS[0][3], "x", "1"), ("a", "ba", "11", "pkg:generic/y", "y", ""), ("a", "ba", "11", "pkg:generic/x@1", "x", "1"),
+                   ("b", "bb", "22", "pkg:generic/z@2", "z", "2")}
+
+
+def test_symbols_are_listed_for_wanted_entries_only(spark):
+    entries = spark.createDataFrame([("x", "CVE-1"), ("x", "CVE-2")], "component string, cve string")
+    words = spark.createDataFrame([("x", "f"), ("x", "g")], "component string, symbol string")
+    symbols = entries.join(words, "component").selectExpr("component", "cve", "symbol", "'definitive' AS confidence", "true AS dynsym_export_verified")
+    none = spark.createDataFrame([], "component string, source_file string, purl_pos int, purl_text string, symbol string, position int, pattern string")
+    cut = E.slices(entries.where("cve = 'CVE-2'"), spark.createDataFrame([("x", "verified")], "component string, provenance_status string"),
+                   symbols, none.select("component", "source_file", "purl_pos", "purl_text"), none.select("component", "symbol", "position"),
+                   none.select("component", "position", "pattern"), "1")
+    assert [(r.cve, len(json.loads(r.slice)["vulnerable_symbols"])) for r in cut.collect()] == [("CVE-2", 2)]
+    assert "LeftSemi" in cut._jdf.queryExecution().optimizedPlan().toString()
