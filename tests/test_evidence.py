@@ -262,3 +262,20 @@ def test_symbols_are_listed_for_wanted_entries_only(spark):
                    none.select("component", "position", "pattern"), "1")
     assert [(r.cve, len(json.loads(r.slice)["vulnerable_symbols"])) for r in cut.collect()] == [("CVE-2", 2)]
     assert "LeftSemi" in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_statements_are_not_shuffled_to_their_observed_symbols(spark, monkeypatch):
+    statements = spark.createDataFrame([("a", "CVE-1", "p", ["f", "g"]), ("a", "CVE-2", "p", ["f"]), ("b", "CVE-1", "q", None)],
+                                       "artifact_id string, cve string, component_purl string, symbols_observed array<string>")
+    symbols = spark.createDataFrame([("a", "bin/1", "_f", "f"), ("a", "bin/2", "f", "f"), ("a", "bin/2", "g", ""), ("a", "bin/2", "h", "h"), ("b", "bin/3", "f", "f")],
+                                    "artifact_id string, inventory_id string, raw string, normalized string").selectExpr("*", "true AS defined", "'dyn_syms' AS table_kind")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        short = E.observed_symbols(statements, symbols)
+        assert "Exchange hashpartitioning" not in short._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr("clearwright.operators.factors.BROADCAST_ROWS", 0)
+        got = [sorted((r.cve, r.inventory_id, r.raw, r.symbol) for r in x.collect()) for x in (short, E.observed_symbols(statements, symbols))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == 2 * [[("CVE-1", "bin/1", "_f", "f"), ("CVE-1", "bin/2", "f", "f"), ("CVE-1", "bin/2", "g", "g"), ("CVE-2", "bin/1", "_f", "f"), ("CVE-2", "bin/2", "f", "f")]]
